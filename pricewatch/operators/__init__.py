@@ -1,0 +1 @@
+"""Operators of the price and stock library."""

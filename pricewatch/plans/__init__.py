@@ -1,0 +1 @@
+"""Plans of the price and stock library."""

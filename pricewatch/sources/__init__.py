@@ -1,0 +1 @@
+"""Sources of the price and stock library."""

@@ -1,0 +1 @@
+"""Streaming of the price and stock library."""
