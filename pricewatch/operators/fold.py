@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
 from .skew import HOT_MIN_ROWS, HistoryScan
@@ -46,9 +46,10 @@ def sorted_fold(df: DataFrame, keys: list[str], order: list[str], start: Callabl
 
 
 def spaced_pick(df: DataFrame, keys: list[str], time: str, ties: list[str], seconds: int, out: str = "picked",
-                since: str | None = None, hot_min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+                since: str | None = None, eligible: Column | None = None,
+                hot_min_rows: int = HOT_MIN_ROWS) -> DataFrame:
     """Mark the rows a cooldown lets through: the first, then each first row at least `seconds` after the last one
-    let through. `since` names a column with the time of an earlier pick.
+    let through. `since` names a column with the time of an earlier pick; rows that are not `eligible` never pass.
 
     A row that comes `seconds` or more after the row before it always passes, so the history splits there into
     independent islands. In an island shorter than `seconds` only its first row passes. Only longer islands need
@@ -58,20 +59,21 @@ def spaced_pick(df: DataFrame, keys: list[str], time: str, ties: list[str], seco
     base = F.lit(None).cast("bigint") if since is None else F.unix_micros(F.col(since))
 
     def build(rows: DataFrame, scan: HistoryScan) -> DataFrame:
-        rows = rows.withColumn("_at", F.unix_micros(F.col(time)))
-        rows = scan.add(rows, {"_before": ("last", F.col("_at"))}, include_current=False)
+        ok = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
+        rows = rows.withColumns({"_at": F.unix_micros(F.col(time)), "_may": ok})
+        rows = scan.add(rows, {"_before": ("last", F.when(F.col("_may"), F.col("_at")))}, include_current=False)
         before = F.coalesce(F.col("_before"), base)
-        rows = rows.withColumn("_opens", before.isNull() | (F.col("_at") - before >= span))
+        rows = rows.withColumn("_opens", F.col("_may") & (before.isNull() | (F.col("_at") - before >= span)))
         rows = scan.add(
             rows,
             {"_island": ("sum", F.col("_opens").cast("bigint")), "_began": ("last", F.when(F.col("_opens"), F.col("_at")))},
             include_current=True,
         )
         rows = rows.withColumn("_began", F.coalesce(F.col("_began"), base))
-        rows = scan.any_in(rows, "_long", F.col("_at") - F.col("_began") >= span, ["_island"])
-        moment = Window.partitionBy(*keys, "_island", time).orderBy(*(ties or [time]))
-        rows = rows.withColumn("_fold", F.col("_long") & (F.row_number().over(moment) == 1))
-        return rows.drop("_before", "_long")
+        rows = scan.any_in(rows, "_long", F.col("_may") & F.coalesce(F.col("_at") - F.col("_began") >= span, F.lit(False)), ["_island"])
+        moment = Window.partitionBy(*keys, "_island", time, "_may").orderBy(*(ties or [time]))
+        rows = rows.withColumn("_fold", F.col("_long") & F.col("_may") & (F.row_number().over(moment) == 1))
+        return rows.drop("_before", "_long", "_may")
 
     def start(row):
         return None if row.opens else row.began
