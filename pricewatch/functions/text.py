@@ -16,18 +16,15 @@ from pyspark.sql.types import StringType
 
 from .. import fixed
 
-# Unicode white space; Java's \s alone knows ASCII only.
-WS = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f]"
-
 
 def _plain_letters() -> tuple[str, str]:
     """Letters of the Latin blocks whose decomposition is one base letter, as a translate table."""
     src, dst = [], []
-    for block in (range(0x00A0, 0x0250), range(0x1E00, 0x1F00), range(0x2000, 0x200B), range(0xFF01, 0xFF5F)):
+    for block in (range(0x00A0, 0x0250), range(0x1E00, 0x1F00), range(0xFF01, 0xFF5F)):
         for code in block:
             ch = chr(code)
             base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
-            if base != ch and len(base) == 1:
+            if base != ch and len(base) == 1 and not base.isspace():
                 src.append(ch)
                 dst.append(base)
     return "".join(src) + "ı", "".join(dst) + "i"
@@ -45,9 +42,26 @@ def _wide_letters() -> dict[str, str]:
     return out
 
 
+def _as_ranges(chars) -> str:
+    """Character class with neighbours merged into ranges; a long enumeration is slow to test."""
+    runs: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if runs and code - runs[-1][1] <= 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(f"\\u{lo:04x}-\\u{hi:04x}" for lo, hi in runs) + "]"
+
+
+_SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) != " ")
 _FROM, _TO = _plain_letters()
 _WIDE = _wide_letters()
-_WIDE_CLASS = "[" + "".join(_WIDE) + "]"
+_WIDE_CLASS = _as_ranges(_WIDE)
+
+
+def let(value: Column, build) -> Column:
+    """Evaluate `value` once and use it several times in `build(value)`."""
+    return F.element_at(F.transform(F.array(value), lambda v: build(v)), 1)
 
 
 def text_or_empty(c: Column) -> Column:
@@ -55,11 +69,11 @@ def text_or_empty(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(" " + _SPACES))
 
 
 def one_space(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, rf"{WS}+", " "))
+    return F.trim(F.regexp_replace(F.translate(c, _SPACES, " " * len(_SPACES)), " {2,}", " "))
 
 
 def casefold(c: Column) -> Column:
@@ -76,12 +90,16 @@ def fold_text(c: Column) -> Column:
 
     Covers the Latin blocks and full-width ASCII natively; `fold_text_full` covers all of Unicode.
     """
-    low = casefold(c)
-    wide = low
-    for ch, base in _WIDE.items():
-        wide = F.replace(wide, F.lit(ch), F.lit(base))
-    low = F.when(low.rlike(_WIDE_CLASS), wide).otherwise(low)
-    return one_space(F.regexp_replace(F.translate(low, _FROM, _TO), r"\p{M}+", ""))
+
+    def flat(low):
+        wide = low
+        for ch, base in _WIDE.items():
+            wide = F.replace(wide, F.lit(ch), F.lit(base))
+        low = F.when(low.rlike(_WIDE_CLASS), wide).otherwise(low)
+        plain = F.translate(low, _FROM + _SPACES, _TO + " " * len(_SPACES))
+        return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\p{M}+", ""), " {2,}", " "))
+
+    return flat(casefold(c))
 
 
 @F.pandas_udf(StringType())

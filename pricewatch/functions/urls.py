@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import fixed
-from .text import casefold, contains_any, fold_text, one_space, strip, text_or_empty
+from .text import casefold, contains_any, fold_text, let, one_space, strip, text_or_empty
 
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -160,23 +160,28 @@ def canonical_product_url(c: Column, fallback: Column | None = None) -> Column:
 def canonical_url(c: Column) -> Column:
     """Stable URL key: product code form for the first marketplace; elsewhere lower scheme and host, no fragment,
     no trailing slash, query kept because it selects the variant."""
-    url = strip(text_or_empty(c))
-    body = F.regexp_replace(F.regexp_extract(path(url), "^((?:.*/)?[^/;]*)(;[^/]*)?$", 1), "/+$", "")
-    params = F.regexp_extract(path(url), "^((?:.*/)?[^/;]*)(;[^/]*)?$", 2)
-    plain = F.concat(
-        scheme(url),
-        F.lit("://"),
-        host(url),
-        body,
-        F.when(F.length(params) > 1, params).otherwise(F.lit("")),
-        F.when(query(url) != "", F.concat(F.lit("?"), query(url))).otherwise(F.lit("")),
-    )
-    return (
-        F.when(url == "", F.lit(""))
-        .when(is_amazon(url), casefold(canonical_product_url(url)))
-        .when((scheme(url) == "") | (host(url) == ""), url)
-        .otherwise(plain)
-    )
+
+    def canon(url):
+        root = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+", 0)
+
+        def with_root(r):
+            rest = F.substring_index(F.substr(url, F.length(r) + 1), "#", 1)
+            rest = F.regexp_replace(rest, r"/+(;[^/?]*)?(\?|$)", "$1$2")
+            plain = F.concat(casefold(r), F.regexp_replace(rest, r"[?;]$", ""))
+            amazon = F.contains(F.lower(r), F.lit("amazon."))
+            return (
+                F.when(amazon, casefold(canonical_product_url(url))).when(r == "", _rootless(url)).otherwise(plain)
+            )
+
+        return let(root, with_root)
+
+    return let(strip(text_or_empty(c)), canon)
+
+
+def _rootless(url: Column) -> Column:
+    """A link without scheme but with the first marketplace's host still has a product code."""
+    named = F.contains(F.lower(F.regexp_extract(url, "^//([^/?#]*)", 1)), F.lit("amazon."))
+    return F.when(named, casefold(canonical_product_url(url))).otherwise(url)
 
 
 def condition(is_used: Column) -> Column:
@@ -185,14 +190,18 @@ def condition(is_used: Column) -> Column:
 
 def offer_identity(url: Column, is_used: Column) -> Column:
     """Canonical URL and condition, empty for offers without a link."""
-    canon = canonical_url(url)
-    return F.when(canon == "", F.lit("")).otherwise(F.concat(canon, F.lit("|"), condition(is_used)))
+    return let(
+        canonical_url(url),
+        lambda canon: F.when(canon == "", F.lit("")).otherwise(F.concat(canon, F.lit("|"), condition(is_used))),
+    )
 
 
 def row_identity(tracking_id: Column, url: Column, is_used: Column) -> Column:
-    ident = offer_identity(url, is_used)
     tid = text_or_empty(tracking_id)
-    return F.when((ident != "") & (tid != ""), F.concat(tid, F.lit("|"), ident)).otherwise(ident)
+    return let(
+        offer_identity(url, is_used),
+        lambda ident: F.when((ident != "") & (tid != ""), F.concat(tid, F.lit("|"), ident)).otherwise(ident),
+    )
 
 
 def product_code(c: Column) -> Column:

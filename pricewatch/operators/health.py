@@ -50,7 +50,7 @@ def row_count_alerts(cycles: DataFrame, zone: str = "Europe/Istanbul", hot_min_r
             return (row.row_count, 0), (row.row_count, 0)
         dropped = base > 0 and base - row.row_count >= max(least, (base + ratio - 1) // ratio)
         state = (base, streak + 1) if dropped else (row.row_count, 0)
-        return state, (base, state[1])
+        return state, state
 
     pieces = HistoryScan(["tracker"], "cycle_at", ["seq"], hot_min_rows).apply(cycles, build)
     folded = sorted_fold(pieces, ["tracker", "_piece"], ["cycle_at", "seq"], start, step, "expected bigint, streak bigint")

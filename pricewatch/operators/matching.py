@@ -8,7 +8,6 @@ from pyspark.sql.types import StringType
 
 from ..functions.money import format_money
 from ..functions.text import contains_any, fold_text, match_phrase, specificity, text_or_empty
-from .skew import salted_join
 
 EXPRESSION_KEYWORDS = 200
 
@@ -23,15 +22,13 @@ def fold_list(spark, words: list[str]) -> list[str]:
 
 def first_keyword(folded: Column, keywords: list[str], folded_keywords: list[str]) -> Column:
     """First keyword, in list order, that is a substring of the folded text; null when none is."""
-    if len(keywords) > EXPRESSION_KEYWORDS:
-        return _automaton(keywords, folded_keywords)(folded)
     rule = F.lit(None).cast("string")
     for word, low in reversed(list(zip(keywords, folded_keywords))):
         rule = F.when(F.contains(folded, F.lit(low)), F.lit(word)).otherwise(rule)
     return rule
 
 
-def _automaton(keywords: list[str], folded_keywords: list[str]):
+def _automaton(keywords: list[str], folded_keywords: list[str], folded_excluded: list[str]):
     """All keywords in one pass over the text, for lists too long for an expression."""
 
     @F.pandas_udf(StringType())
@@ -46,7 +43,7 @@ def _automaton(keywords: list[str], folded_keywords: list[str]):
         auto.make_automaton()
 
         def one(text):
-            if text is None:
+            if text is None or any(w in text for w in folded_excluded):
                 return None
             best = min((i for _, i in auto.iter(text)), default=len(keywords)) if len(auto) else len(keywords)
             best = min(best, always)
@@ -59,10 +56,7 @@ def _automaton(keywords: list[str], folded_keywords: list[str]):
 
 def match_keywords(messages: DataFrame, keywords: list[str], text: str = "text") -> DataFrame:
     """Messages that hold a keyword, with the first keyword of the list that matches. Works on streams."""
-    low = fold_list(messages.sparkSession, keywords)
-    return messages.withColumn("keyword", first_keyword(fold_text(text_or_empty(F.col(text))), keywords, low)).where(
-        F.col("keyword").isNotNull()
-    )
+    return keyword_hits(messages, keywords, [], text)
 
 
 def drop_excluded(messages: DataFrame, excluded: list[str], text: str = "text") -> DataFrame:
@@ -72,15 +66,23 @@ def drop_excluded(messages: DataFrame, excluded: list[str], text: str = "text")
 
 
 def keyword_hits(messages: DataFrame, keywords: list[str], excluded: list[str], text: str = "text") -> DataFrame:
-    """`match_keywords` and `drop_excluded` over one folding of the text."""
+    """`match_keywords` and `drop_excluded` in one pass.
+
+    The text is folded once; a message without a hit yields an empty list and vanishes in the explode.
+    """
     spark = messages.sparkSession
     low, out = fold_list(spark, keywords), fold_list(spark, excluded)
-    folded = messages.withColumn("_folded", fold_text(text_or_empty(F.col(text))))
-    return (
-        folded.withColumn("keyword", first_keyword(F.col("_folded"), keywords, low))
-        .where(F.col("keyword").isNotNull() & ~contains_any(F.col("_folded"), out))
-        .drop("_folded")
-    )
+    folded = fold_text(text_or_empty(F.col(text)))
+    if len(keywords) > EXPRESSION_KEYWORDS:
+        found = messages.withColumn("keyword", _automaton(keywords, low, out)(folded))
+        return found.where(F.col("keyword").isNotNull())
+
+    def rule(f):
+        hit = first_keyword(f, keywords, low)
+        return F.when(~contains_any(f, out), hit) if out else hit
+
+    found = F.array_compact(F.transform(F.array(folded), rule))
+    return messages.withColumn("keyword", F.explode(found))
 
 
 def exclusion_reason(title: Column, price: Column, minimum: Column, terms: Column) -> Column:
@@ -113,23 +115,22 @@ def title_phrases(title: Column, longest: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(starts, from_start)))
 
 
-def assign_most_specific(results: DataFrame, watches: DataFrame, hot_min_rows: int = 1_000_000) -> DataFrame:
+def assign_most_specific(results: DataFrame, watches: DataFrame) -> DataFrame:
     """Pairs of result and watch whose name, as a whole-word phrase, is in the title, for the most specific names.
 
     `results`: result_id, title. `watches`: watch_key, name. Titles are cut into word sequences and equi-joined
-    with the phrases, so no pair is tested that does not match. A phrase that occurs in many titles is a hot key
-    of the title side and is salted.
+    with the phrases, so no pair is tested that does not match. Few phrases are broadcast by their size; with many,
+    a phrase that occurs in many titles is a skewed partition of the title side, which adaptive execution splits.
     """
     phrases = watches.select("watch_key", match_phrase(F.col("name")).alias("phrase"), specificity(F.col("name")).alias("spec"))
     phrases = phrases.where("phrase != ''")
     best = phrases.groupBy("phrase").agg(F.max("spec").alias("spec"))
     longest = phrases.agg(F.coalesce(F.max(F.size(F.split("phrase", " "))), F.lit(1)).alias("n")).scalar()
-    grams = results.withColumn("phrase", F.explode(title_phrases(F.col("title"), longest)))
-    found = salted_join(grams, best, ["phrase"], "inner", F.col("result_id"), hot_min_rows=hot_min_rows)
+    grams = results.withColumn("_n", longest).withColumn("phrase", F.explode(title_phrases(F.col("title"), F.col("_n"))))
+    grams = grams.drop("_n")
+    found = grams.join(best, ["phrase"])
     # A result matches few phrases, so this group is small: the winner per result keeps all phrases of top rank.
     top = found.groupBy("result_id").agg(F.max("spec").alias("top"))
     winners = found.join(top, ["result_id"]).where(F.col("spec") == F.col("top")).drop("spec")
     own = phrases.select("phrase", "watch_key", F.col("spec").alias("top"))
-    return salted_join(winners, own, ["phrase", "top"], "inner", F.col("result_id"), hot_min_rows=hot_min_rows).withColumnRenamed(
-        "top", "specificity"
-    )
+    return winners.join(own, ["phrase", "top"]).withColumnRenamed("top", "specificity")

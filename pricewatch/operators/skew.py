@@ -24,14 +24,15 @@ BLOCK_SECONDS = 86_400
 BLOCK = "_block"
 
 
-def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_MIN_ROWS, max_keys: int = HOT_MAX_KEYS) -> DataFrame:
-    """Keys with more rows than `min_rows` and than 1/`max_keys` of the table.
+def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_MIN_ROWS, max_keys: int = HOT_MAX_KEYS) -> DataFrame | None:
+    """The keys with most rows, if they have more than `min_rows`; None when no key has.
 
-    The second bound caps the result at `max_keys` rows whatever the data, so it may be broadcast.
+    Counting is pre-aggregated in every task. The result never exceeds `max_keys` rows, so it may be held by the
+    driver and broadcast; any key left out has at most 1/`max_keys` of the table.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    floor = counts.agg(F.greatest(F.lit(min_rows), (F.sum("n") / F.lit(max_keys)).cast("bigint"))).scalar()
-    return counts.where(F.col("n") > floor).select(*keys)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_rows)
+    rows = counts.orderBy(F.col("n").desc()).limit(max_keys).select(*keys).collect()
+    return df.sparkSession.createDataFrame(rows, df.select(*keys).schema) if rows else None
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -61,8 +62,8 @@ class HistoryScan:
 
     def apply(self, df: DataFrame, build: Callable[[DataFrame, "HistoryScan"], DataFrame]) -> DataFrame:
         """Run `build(rows, scan)` on the ordinary keys with plain windows and on the hot keys in blocks."""
-        hot = cut_lineage(hot_keys(df, self.keys, self.hot_min_rows))
-        if hot.isEmpty():
+        hot = hot_keys(df, self.keys, self.hot_min_rows)
+        if hot is None:
             return build(df, self)
         cold_rows = df.join(F.broadcast(hot), self.keys, "left_anti")
         block = F.floor(F.unix_seconds(self.time) / F.lit(self.block_seconds))
@@ -140,8 +141,8 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, sa
     Only right rows of hot keys are repeated. The salt comes from row content (`salt_by`), never from a random
     number, so a retried task agrees with the first attempt.
     """
-    hot = cut_lineage(hot_keys(left, keys, hot_min_rows))
-    if hot.isEmpty():
+    hot = hot_keys(left, keys, hot_min_rows)
+    if hot is None:
         return left.join(right, keys, how)
     small = F.broadcast(hot)
     cold = left.join(small, keys, "left_anti").join(right, keys, how)

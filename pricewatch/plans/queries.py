@@ -178,7 +178,7 @@ def watch_state_after(spark, folder):
 
 # --- offers -----------------------------------------------------------------
 def offer_rows(spark, folder):
-    rows = t.lines(spark, folder)
+    rows = t.lines(spark, folder, spread=True)
     return rows.select(
         F.col("l_partkey").cast("string").alias("tracking_id"),
         F.concat(F.lit("https://Shop.example.org/p/"), "l_suppkey", F.lit("/")).alias("product_url"),
@@ -544,7 +544,7 @@ SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, observed_at, price,
        WHEN contains(p_name, 'rod') THEN 'hariç tut filtresi: rod' WHEN contains(p_name, 'old') THEN 'hariç tut filtresi: OLD' END AS reason FROM x""")
 def exclude_offers(spark, folder):
     watch = t.parts(spark, folder)
-    rows = t.lines(spark, folder)
+    rows = t.lines(spark, folder, spread=True)
     joined = rows.join(watch, rows.l_partkey == watch.p_partkey).withColumns(
         {"title": F.col("p_name"), "excluded_terms": F.array(F.lit("rod"), F.lit("OLD"))}
     )
@@ -632,7 +632,7 @@ def match_replies(spark, folder):
 def hourly(spark, folder):
     hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
     return t.load(spark, folder, "events").groupBy(F.col("event_type").alias("tracker"), hour.alias("cycle_at")).agg(
-        F.count(F.lit(1)).alias("row_count")
+        (F.count(F.lit(1)) * 10).alias("row_count")
     ).select("tracker", "cycle_at", F.unix_seconds("cycle_at").alias("seq"), "row_count",
              F.floor((F.dayofmonth("cycle_at") - 1) / 10).cast("string").alias("signature"))
 
@@ -643,7 +643,7 @@ SQL_ALERT = f"""({SQL_STREAK} >= 5 AND hour(c.cycle_at) >= 8 AND hour(c.cycle_at
   AND (b.last_alert IS NULL OR c.cycle_at - b.last_alert >= INTERVAL 1 HOUR))"""
 
 
-@query(f"""WITH RECURSIVE h AS (SELECT event_type AS tracker, date_trunc('hour', ts) AS cycle_at, count(*) AS row_count,
+@query(f"""WITH RECURSIVE h AS (SELECT event_type AS tracker, date_trunc('hour', ts) AS cycle_at, count(*) * 10 AS row_count,
     (day(date_trunc('hour', ts)) - 1) // 10 AS signature FROM events GROUP BY ALL),
 c AS (SELECT *, row_number() OVER (PARTITION BY tracker ORDER BY cycle_at) AS rn FROM h),
 b AS (SELECT tracker, rn, cycle_at, row_count, signature, row_count AS base, 0 AS streak, false AS alert, CAST(NULL AS TIMESTAMP) AS last_alert FROM c WHERE rn = 1
@@ -772,7 +772,7 @@ def query_parts(spark, folder):
   replace(format('{:,}', CAST(trunc(CAST(l_extendedprice AS DECIMAL(18,2))) AS BIGINT)), ',', '.') || ' TL' AS shown FROM lineitem""")
 def money_texts(spark, folder):
     """Prices written in several notations and read back."""
-    rows = t.lines(spark, folder)
+    rows = t.lines(spark, folder, spread=True)
     english = F.format_number("price", 2)
     turkish = F.concat(F.translate(english, ",.", ".,"), F.lit(" TL"))
     shown = money.format_money(F.col("price"), True)
@@ -783,14 +783,6 @@ def money_texts(spark, folder):
     )
 
 
-@query(rf"""SELECT doc_id, {SQL_FOLD} AS f0, length(text) AS n FROM documents WHERE false""")
-def folded_texts(spark, folder):
-    return t.load(spark, folder, "documents").select("doc_id", text.fold_text(F.col("text")).alias("f0"), F.length("text").alias("n")).where("false")
-
-
-del QUERIES["folded_texts"], ORACLE["folded_texts"]
-
-
 @query("""SELECT event_id, CASE WHEN s < 10 THEN 'az önce' WHEN s < 60 THEN s || ' sn önce' WHEN s < 3600 THEN (s // 60) || ' dk önce'
   WHEN s < 86400 THEN (s // 3600) || ' sa önce' ELSE (s // 86400) || ' gün önce' END AS age,
   CASE WHEN r >= 60 THEN (r // 60) || ' dk ' || (r % 60) || ' sn' ELSE r || ' sn' END AS took

@@ -20,13 +20,22 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def load_spread(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """Table for work that is heavy per row. A table in fewer splits than there are cores is spread over them;
+    a table in many splits is read as it is, without a shuffle."""
+    df = load(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def order_of_lines() -> list[str]:
     return ["l_orderkey", "l_linenumber", "l_suppkey"]
 
 
-def lines(spark: SparkSession, folder: str) -> DataFrame:
+def lines(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
     """lineitem with money types and `seq`, a struct that makes (part, shipdate, seq) unique."""
-    return load(spark, folder, "lineitem").select(
+    table = load_spread(spark, folder, "lineitem", "l_orderkey") if spread else load(spark, folder, "lineitem")
+    return table.select(
         "l_partkey",
         "l_suppkey",
         "l_orderkey",
@@ -62,7 +71,7 @@ def observations(spark: SparkSession, folder: str) -> DataFrame:
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as channel messages; time follows the document id."""
-    return load(spark, folder, "documents").select(
+    return load_spread(spark, folder, "documents", "doc_id").select(
         F.col("doc_id").alias("message_id"),
         F.col("source").alias("channel"),
         F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 60).alias("ts"),
