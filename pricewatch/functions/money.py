@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import fixed
-from .text import one_space, strip, text_or_empty
+from .text import let, one_space, strip, text_or_empty
 
 MONEY = "decimal(18,4)"
 
@@ -16,7 +16,10 @@ def parse_money(c: Column) -> Column:
     With both marks present the last one is the decimal mark. A comma alone is a decimal mark. Dots alone
     separate thousands when every later group has three characters, otherwise the dot is the decimal mark.
     """
-    raw = F.regexp_replace(c.cast("string"), "[^0-9,.-]", "")
+    return let(F.regexp_replace(c.cast("string"), "[^0-9,.-]", ""), _amount)
+
+
+def _amount(raw: Column) -> Column:
     comma, dot = F.contains(raw, F.lit(",")), F.contains(raw, F.lit("."))
     no_dots, no_commas = F.replace(raw, F.lit("."), F.lit("")), F.replace(raw, F.lit(","), F.lit(""))
     text = (
@@ -53,7 +56,10 @@ def money_from_text(c: Column) -> Column:
 def display_money(c: Column, signed: bool = False) -> Column:
     """Rewrite display text as whole liras; text that is no amount passes through."""
     text = strip(text_or_empty(c))
-    amount = money_from_text(text)
+    return let(text, lambda x: _display(x, money_from_text(x), signed))
+
+
+def _display(text: Column, amount: Column, signed: bool) -> Column:
     body = F.concat(_thousands(F.abs(amount).cast("bigint")), F.lit(" TL"))
     if signed:
         minus = (amount < 0) | text.startswith("-")
@@ -122,9 +128,13 @@ def price_in_range(c: Column, low=fixed.LISTING_MIN_PRICE, high=fixed.LISTING_MA
 
 def listing_price(c: Column) -> Column:
     """Marketplace amount text: dots without a comma are always thousands; must lie in the accepted range."""
-    clean = one_space(text_or_empty(c))
-    found = F.regexp_extract(clean, fixed.LISTING_PRICE_PATTERN, 1)
-    text = F.when(found != "", found).otherwise(clean)
-    only_dots = F.contains(text, F.lit(".")) & ~F.contains(text, F.lit(","))
-    amount = parse_money(F.when(only_dots, F.replace(text, F.lit("."), F.lit(""))).otherwise(text))
-    return F.when(price_in_range(amount), amount)
+    def amount_text(clean):
+        found = F.regexp_extract(clean, fixed.LISTING_PRICE_PATTERN, 1)
+        return F.coalesce(F.nullif(found, F.lit("")), clean)
+
+    def amount(text):
+        only_dots = F.contains(text, F.lit(".")) & ~F.contains(text, F.lit(","))
+        return parse_money(F.when(only_dots, F.replace(text, F.lit("."), F.lit(""))).otherwise(text))
+
+    text = let(one_space(text_or_empty(c)), amount_text)
+    return let(let(text, amount), lambda a: F.when(price_in_range(a), a))

@@ -60,10 +60,19 @@ _WIDE_CLASS = _as_ranges(_WIDE)
 
 
 def let(value: Column, build) -> Column:
-    """Evaluate `value` once and use it several times in `build(value)`."""
+    """Evaluate `value` once and use it several times in `build(value)`.
+
+    Without it, every use repeats the whole expression, and nested uses multiply.
+    """
     return F.element_at(F.transform(F.array(value), lambda v: build(v)), 1)
 
 
+def lets(build, *values: Column) -> Column:
+    """`let` for several values: `build(v1, v2, ...)`."""
+    packed = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return let(packed, lambda s: build(*[s[f"v{i}"] for i in range(len(values))]))
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -99,7 +108,7 @@ def fold_text(c: Column) -> Column:
         plain = F.translate(low, _FROM + _SPACES, _TO + " " * len(_SPACES))
         return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\p{M}+", ""), " {2,}", " "))
 
-    return flat(casefold(c))
+    return let(casefold(c), flat)
 
 
 @F.pandas_udf(StringType())
@@ -213,9 +222,8 @@ def match_phrase(c: Column) -> Column:
 
 def title_matches(title: Column, phrase: Column) -> Column:
     """Whole-word phrase test; an empty phrase never matches."""
-    p = match_phrase(phrase)
-    hit = F.contains(F.concat(F.lit(" "), match_phrase(title), F.lit(" ")), F.concat(F.lit(" "), p, F.lit(" ")))
-    return (p != "") & hit
+    pad = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
+    return let(match_phrase(phrase), lambda p: (p != "") & F.contains(pad(match_phrase(title)), pad(p)))
 
 
 def specificity(c: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import fixed
-from .text import casefold, contains_any, fold_text, let, one_space, strip, text_or_empty
+from .text import casefold, contains_any, fold_text, let, lets, one_space, strip, text_or_empty
 
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -87,11 +87,13 @@ def query_name(c: Column) -> Column:
 # --- sites ------------------------------------------------------------------
 def detect_site(c: Column, hosts: list[tuple[str, str]] | None = None) -> Column:
     """Site of the first host fragment that matches, in list order; null when no site supports the link."""
-    h = host(c)
-    rule = F.lit(None).cast("string")
-    for fragment, site in reversed(fixed.SITE_HOSTS if hosts is None else hosts):
-        rule = F.when(F.contains(h, F.lit(fragment)), F.lit(site)).otherwise(rule)
-    return rule
+    def first_match(h):
+        rule = F.lit(None).cast("string")
+        for fragment, site in reversed(fixed.SITE_HOSTS if hosts is None else hosts):
+            rule = F.when(F.contains(h, F.lit(fragment)), F.lit(site)).otherwise(rule)
+        return rule
+
+    return let(host(c), first_match)
 
 
 def site_label(c: Column, labels: dict[str, str] | None = None) -> Column:
@@ -152,9 +154,11 @@ def asin(c: Column) -> Column:
 
 
 def canonical_product_url(c: Column, fallback: Column | None = None) -> Column:
-    full = absolute_url(c)
-    code = asin(full) if fallback is None else F.coalesce(asin(full), F.nullif(fallback, F.lit("")))
-    return F.coalesce(F.concat(F.lit(fixed.AMAZON_BASE + "/dp/"), code), before_query(full))
+    def canon(full):
+        code = asin(full) if fallback is None else F.coalesce(asin(full), F.nullif(fallback, F.lit("")))
+        return F.coalesce(F.concat(F.lit(fixed.AMAZON_BASE + "/dp/"), code), before_query(full))
+
+    return let(absolute_url(c), canon)
 
 
 def canonical_url(c: Column) -> Column:
@@ -206,34 +210,37 @@ def row_identity(tracking_id: Column, url: Column, is_used: Column) -> Column:
 
 def product_code(c: Column) -> Column:
     """Marketplace product code, upper case, or the article number of a product page; empty when absent."""
-    code = F.upper(F.regexp_extract(text_or_empty(c), "(?i)-(?:p|pm)-([A-Z0-9]+)", 1))
-    return F.when(code != "", code).otherwise(F.regexp_extract(text_or_empty(c), r"productpage\.(\d+)\.html", 1))
+    code = F.nullif(F.upper(F.regexp_extract(text_or_empty(c), "(?i)-(?:p|pm)-([A-Z0-9]+)", 1)), F.lit(""))
+    return F.coalesce(code, F.regexp_extract(text_or_empty(c), r"productpage\.(\d+)\.html", 1))
 
 
 def canonical_listing_url(c: Column) -> Column:
     """Product link of the listing marketplace without query; empty for other hosts and review pages."""
-    raw = strip(text_or_empty(c))
-    full = F.when(raw.startswith("/"), F.concat(F.lit(fixed.LISTING_BASE), raw)).otherwise(raw)
-    product = F.regexp_extract(path(full), fixed.LISTING_URL_PATTERN, 0)
-    ok = (
-        scheme(full).isin("http", "https")
-        & host(full).isin(fixed.LISTING_HOSTS)
-        & ~contains_any(fold_text(path(full)), fixed.REVIEW_PATH_WORDS)
-        & (product != "")
-    )
-    return F.when(ok, F.concat(F.lit(fixed.LISTING_BASE), product)).otherwise(F.lit(""))
+    def canon(full, p):
+        product = F.regexp_extract(p, fixed.LISTING_URL_PATTERN, 0)
+        ok = (
+            scheme(full).isin("http", "https")
+            & host(full).isin(fixed.LISTING_HOSTS)
+            & ~contains_any(fold_text(p), fixed.REVIEW_PATH_WORDS)
+        )
+        return F.when(ok, F.concat(F.lit(fixed.LISTING_BASE), F.nullif(product, F.lit(""))))
+
+    base = F.lit(fixed.LISTING_BASE)
+    full = let(strip(text_or_empty(c)), lambda r: F.when(r.startswith("/"), F.concat(base, r)).otherwise(r))
+    return F.coalesce(let(full, lambda u: lets(canon, u, path(u))), F.lit(""))
 
 
 def variation_url(c: Column, code: Column | None = None) -> Column:
     """Product link that keeps only the parameters selecting a variation or an offer."""
-    raw, alt = text_or_empty(c), text_or_empty(code) if code is not None else F.lit("")
-    full = F.when(raw == "", F.lit("")).otherwise(absolute_url(raw))
-    canon = canonical_product_url(full, alt)
-    kept = kept_query(full, fixed.VARIATION_PARAMS)
-    with_params = F.concat(F.lit(fixed.AMAZON_BASE), path(canon), F.lit("?"), kept)
-    return (
-        F.when((raw == "") & (alt == ""), F.lit("")).when(kept == "", canon).otherwise(with_params)
-    )
+    def join(raw, alt, canon, kept):
+        with_params = F.concat(F.lit(fixed.AMAZON_BASE), path(canon), F.lit("?"), kept)
+        return F.when((raw == "") & (alt == ""), F.lit("")).when(kept == "", canon).otherwise(with_params)
+
+    def parts(raw, alt):
+        full = F.when(raw == "", F.lit("")).otherwise(absolute_url(raw))
+        return let(full, lambda f: lets(join, raw, alt, canonical_product_url(f, alt), kept_query(f, fixed.VARIATION_PARAMS)))
+
+    return lets(parts, text_or_empty(c), text_or_empty(code) if code is not None else F.lit(""))
 
 
 def same_variation(a: Column, b: Column) -> Column:

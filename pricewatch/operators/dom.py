@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.text import let
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SILENT = {"script", "style", "template"}
 ASSIGNMENT = re.compile(r"([A-Za-z_$][\w$.]*)\s*=\s*(?=[{\[])")
@@ -233,9 +235,9 @@ def select(nodes: Column, selector: str) -> Column:
     test = _test(last)
     if not outer:
         return F.filter(nodes, lambda n: test(n))
-    around = select(nodes, " ".join(outer))
     hits = F.filter(nodes, lambda n: test(n))
-    return F.filter(hits, lambda n: F.exists(around, lambda a: inside(n, a)))
+    around = select(nodes, " ".join(outer))
+    return let(around, lambda found: F.filter(hits, lambda n: F.exists(found, lambda a: inside(n, a))))
 
 
 def first(nodes: Column, selector: str) -> Column:
@@ -243,7 +245,7 @@ def first(nodes: Column, selector: str) -> Column:
 
 
 def node_text(tokens: Column, node: Column) -> Column:
-    return F.array_join(F.slice(tokens, node["t0"] + 1, node["t1"] - node["t0"]), " ")
+    return let(node, lambda n: F.array_join(F.slice(tokens, n["t0"] + 1, n["t1"] - n["t0"]), " "))
 
 
 def page_text(tokens: Column) -> Column:

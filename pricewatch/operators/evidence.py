@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed
 from ..functions.money import MONEY, listing_price, parse_money, price_in_range
-from ..functions.text import contains_any, fold_text, one_space, strip, text_or_empty
+from ..functions.text import contains_any, fold_text, let, lets, one_space, strip, text_or_empty
 from .dom import first, inside, node_text, page_text, select
 
 # --- Fixed values: where sites show titles and prices -----------------------
@@ -69,9 +69,8 @@ def page_title(nodes: Column, tokens: Column) -> Column:
     """First non-empty title of the ordered places."""
     out = []
     for s in TITLE_SELECTORS:
-        raw = F.coalesce(
-            F.when(first(nodes, s)["tag"] == "meta", first(nodes, s)["attrs"]["content"]),
-            node_text(tokens, first(nodes, s)),
+        raw = let(
+            first(nodes, s), lambda n: F.coalesce(F.when(n["tag"] == "meta", n["attrs"]["content"]), node_text(tokens, n))
         )
         out.append(F.nullif(strip(raw), F.lit("")))
     return F.coalesce(*out)
@@ -86,9 +85,11 @@ def meta_price(nodes: Column) -> Column:
 
 
 def _shown(nodes: Column, tokens: Column, selector: str) -> Column:
-    n = first(nodes, selector)
-    raw = strip(F.coalesce(F.nullif(n["attrs"]["content"], F.lit("")), F.nullif(n["attrs"]["value"], F.lit("")), F.lit("")))
-    return F.nullif(F.when(raw != "", raw).otherwise(node_text(tokens, n)), F.lit(""))
+    def text(n):
+        raw = [F.nullif(strip(n["attrs"][a]), F.lit("")) for a in ("content", "value")]
+        return F.nullif(F.coalesce(*raw, node_text(tokens, n)), F.lit(""))
+
+    return let(first(nodes, selector), text)
 
 
 def selector_price(nodes: Column, tokens: Column, selectors: list[str], parse=parse_money) -> Column:
@@ -98,11 +99,13 @@ def selector_price(nodes: Column, tokens: Column, selectors: list[str], parse=pa
 
 def visible_price(c: Column) -> Column:
     """Amount of visible text in which the fraction may directly follow the whole part."""
-    text = strip(text_or_empty(c))
     joined = r"(?i)^.*?(\d{1,3}(?:\.\d{3})+)(\d{2})\s*TL.*$"
-    fixed_text = F.when(text.rlike(joined), F.regexp_replace(text, joined, "$1,$2 TL")).otherwise(text)
-    dots = F.contains(fixed_text, F.lit("TL")) & ~F.contains(fixed_text, F.lit(",")) & F.contains(fixed_text, F.lit("."))
-    return parse_money(F.when(dots, F.replace(fixed_text, F.lit("."), F.lit(""))).otherwise(F.nullif(fixed_text, F.lit(""))))
+
+    def amount(x):
+        dots = F.contains(x, F.lit("TL")) & ~F.contains(x, F.lit(",")) & F.contains(x, F.lit("."))
+        return parse_money(F.when(dots, F.replace(x, F.lit("."), F.lit(""))).otherwise(F.nullif(x, F.lit(""))))
+
+    return let(F.regexp_replace(strip(text_or_empty(c)), joined, "$1,$2 TL"), amount)
 
 
 def script_price(html: Column) -> Column:
@@ -123,10 +126,11 @@ def basket_price(text: Column) -> Column:
 
 
 def no_trade_in_price(text: Column) -> Column:
-    low = fold_text(text)
-    part = [F.regexp_extract(low, fixed.NO_TRADE_IN_PATTERN, i) for i in (1, 2, 3)]
-    fraction = F.coalesce(F.nullif(part[1], F.lit("")), F.nullif(part[2], F.lit("")), F.lit("00"))
-    return F.when(part[0] != "", visible_price(F.concat(part[0], F.lit(","), fraction, F.lit(" TL"))))
+    def amount(low):
+        part = [F.nullif(F.regexp_extract(low, fixed.NO_TRADE_IN_PATTERN, i), F.lit("")) for i in (1, 2, 3)]
+        return visible_price(F.concat(part[0], F.lit(","), F.coalesce(part[1], part[2], F.lit("00")), F.lit(" TL")))
+
+    return let(fold_text(text), amount)
 
 
 def active_row_price(nodes: Column) -> Column:
@@ -139,32 +143,44 @@ def active_row_price(nodes: Column) -> Column:
         lambda n: (n["attrs"]["data-csa-c-is-in-initial-active-row"] == "true")
         | F.array_contains(n["classes"], "a-accordion-active"),
     )
-    chosen = F.filter(inputs, lambda n: F.exists(active, lambda a: inside(n, a) | (n["pos"] == a["pos"])))
-
     def amounts(rows):
         return F.array_compact(F.transform(rows, lambda n: visible_price(n["attrs"]["value"])))
 
-    return F.coalesce(F.try_element_at(amounts(chosen), F.lit(1)), F.array_min(amounts(inputs)))
+    def choose(posted, rows):
+        chosen = F.filter(posted, lambda n: F.exists(rows, lambda a: inside(n, a) | (n["pos"] == a["pos"])))
+        return F.coalesce(F.try_element_at(amounts(chosen), F.lit(1)), F.array_min(amounts(posted)))
 
+    return lets(choose, inputs, active)
 
-def split_price(nodes: Column, tokens: Column, around: Column | None = None) -> Column:
-    """First amount shown as separate whole and fraction parts, strike-through prices left out."""
-    prices = F.filter(
+
+def prices_of(nodes: Column) -> Column:
+    """Price elements that are not struck through."""
+    return F.filter(
         select(nodes, ".a-price"),
         lambda n: ~F.array_contains(n["classes"], "a-text-price")
         & ~F.coalesce(n["attrs"]["data-a-strike"] == "true", F.lit(False)),
     )
-    wholes, fractions = select(nodes, ".a-price-whole"), select(nodes, ".a-price-fraction")
 
+
+def split_price(nodes: Column, tokens: Column, around: Column | None = None) -> Column:
+    """First amount shown as separate whole and fraction parts, strike-through prices left out."""
+    prices = prices_of(nodes)
+    if around is not None:
+        prices = let(around, lambda blocks: F.filter(prices_of(nodes), lambda p: F.exists(blocks, lambda a: inside(p, a))))
+    return lets(
+        lambda ps, wholes, fractions: _first_split(tokens, ps, wholes, fractions),
+        prices, select(nodes, ".a-price-whole"), select(nodes, ".a-price-fraction"),
+    )
+
+
+def _first_split(tokens: Column, prices: Column, wholes: Column, fractions: Column) -> Column:
     def amount(p):
         whole = F.try_element_at(F.filter(wholes, lambda w: inside(w, p)), F.lit(1))
         fraction = F.try_element_at(F.filter(fractions, lambda w: inside(w, p)), F.lit(1))
-        w = F.regexp_replace(node_text(tokens, whole), r"[^\d.]", "")
+        w = F.nullif(F.regexp_replace(node_text(tokens, whole), r"[^\d.]", ""), F.lit(""))
         f = F.coalesce(F.nullif(F.regexp_replace(node_text(tokens, fraction), r"\D", ""), F.lit("")), F.lit("00"))
-        return F.when(w != "", visible_price(F.concat(w, F.lit(","), F.rpad(F.substring(f, 1, 2), 2, "0"), F.lit(" TL"))))
+        return visible_price(F.concat(w, F.lit(","), F.rpad(F.substring(f, 1, 2), 2, "0"), F.lit(" TL")))
 
-    if around is not None:
-        prices = F.filter(prices, lambda p: F.exists(around, lambda a: inside(p, a)))
     return F.try_element_at(F.array_compact(F.transform(prices, amount)), F.lit(1))
 
 
@@ -194,15 +210,18 @@ def offers_price(objects: Column, p: Column, keys: list[str] | None = None, step
     """Lowest price of the offers of an object, at any depth of nested offers; an offer's own price hides deeper ones."""
     keys = keys or fixed.OFFER_PRICE_KEYS
     steps = steps or ["offers"]
-    chain = F.filter(
-        objects,
-        lambda o: _below(o, p)
-        & (F.try_element_at(relative_path(o, p), F.lit(1)) == "offers")
-        & (F.size(F.array_except(relative_path(o, p), F.array(*[F.lit(s) for s in steps]))) == 0),
-    )
-    priced = F.filter(chain, lambda o: own_price(o, keys).isNotNull())
-    top = F.filter(priced, lambda o: ~F.exists(priced, lambda q: _below(o, q)))
-    return F.array_min(F.transform(top, lambda o: own_price(o, keys)))
+    def on_chain(path):
+        allowed = F.array(*[F.lit(s) for s in steps])
+        return (F.try_element_at(path, F.lit(1)) == "offers") & (F.size(F.array_except(path, allowed)) == 0)
+
+    chain = F.filter(objects, lambda o: _below(o, p) & let(relative_path(o, p), on_chain))
+    rows = F.transform(chain, lambda o: F.struct(own_price(o, keys).alias("price"), o["ord"].alias("ord"), o["above"].alias("above")))
+
+    def lowest(priced):
+        top = F.filter(priced, lambda o: ~F.exists(priced, lambda q: F.array_contains(o["above"], q["ord"])))
+        return F.array_min(F.transform(top, lambda o: o["price"]))
+
+    return let(F.filter(rows, lambda r: r["price"].isNotNull()), lowest)
 
 
 def jsonld_products(objects: Column) -> Column:
@@ -232,6 +251,10 @@ def _amounts(text: Column, pattern: str) -> Column:
     The text is cut before each match, so the surroundings come from the neighbouring pieces.
     """
     pieces = F.split(F.regexp_replace(text, pattern, "\x1e$1\x1f"), "\x1e")
+    return let(pieces, _around)
+
+
+def _around(pieces: Column) -> Column:
     reach = 16  # pieces that can make up 56 characters
 
     def joined(some):
@@ -278,7 +301,9 @@ def _after_marker(text: Column, markers: list[str], window: int = 160) -> Column
         return F.when(~campaign, listing_price(m["amount"]))
 
     def pick(raw):
-        segment = F.substring(raw, 1, window)
+        return let(F.substring(raw, 1, window), in_window)
+
+    def in_window(segment):
         firsts = [
             F.try_element_at(F.array_compact(F.transform(_amounts(segment, p), judged)), F.lit(1))
             for p in (fixed.LISTING_PRICE_PATTERN, fixed.LISTING_PRICE_LIKE_PATTERN)
@@ -311,13 +336,8 @@ def label_price(nodes: Column) -> Column:
 
 def prefer_member_price(text: Column, nodes: Column) -> Column:
     """Accepted amounts of a card: the lowest member price, else the labelled one, else the lowest cart price, else all."""
-    member, cart, label = member_prices(text), cart_prices(text), label_price(nodes)
-    return (
-        F.when(F.size(member) > 0, F.array(F.array_min(member)))
-        .when(label.isNotNull(), F.array(label))
-        .when(F.size(cart) > 0, F.array(F.array_min(cart)))
-        .otherwise(clean_text_prices(text))
-    )
+    lowest = F.coalesce(F.array_min(member_prices(text)), label_price(nodes), F.array_min(cart_prices(text)))
+    return let(lowest, lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(clean_text_prices(text)))
 
 
 def drop_noise_prices(evidence: DataFrame) -> DataFrame:
@@ -411,7 +431,7 @@ def extract_evidence(parsed: DataFrame, site: str) -> DataFrame:
         "split": lambda: main_split_price(nodes, tokens),
         "no_trade_in": lambda: no_trade_in_price(text),
         "member": lambda: F.array_min(F.concat(cart_prices(text), member_prices(text))),
-        "listing_text": lambda: F.array_min(clean_text_prices(lines_before_details(tokens))),
+        "listing_text": lambda: F.array_min(clean_text_prices(F.array_join(lines_before_details(tokens), " "))),
     }
     title = F.coalesce(jsonld_title(objects), page_title(nodes, tokens))
     rows = F.array(
@@ -422,9 +442,12 @@ def extract_evidence(parsed: DataFrame, site: str) -> DataFrame:
 
 
 def lines_before_details(tokens: Column) -> Column:
-    """Visible text before the product description."""
+    """Visible text pieces before the product description."""
     stop = F.array_position(F.transform(tokens, lambda x: contains_any(fold_text(x), fixed.DETAIL_STOP_WORDS)), True)
-    return F.array_join(F.slice(tokens, F.lit(1), F.when(stop > 0, stop.cast("int") - 1).otherwise(F.size(tokens))), " ")
+    return let(
+        stop.cast("int"),
+        lambda at: F.slice(tokens, F.lit(1), F.when(at > 0, at - 1).otherwise(F.size(tokens))),
+    )
 
 
 def policy_table(spark: SparkSession) -> DataFrame:

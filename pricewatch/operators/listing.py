@@ -10,11 +10,11 @@ from ..functions.labels import (
     ordered_variant_label, title_with_part,
 )
 from ..functions.money import MONEY, listing_price, parse_money, price_in_range
-from ..functions.text import contains_any, fold_text, key_text, one_space, strip, text_or_empty
+from ..functions.text import contains_any, fold_text, key_text, let, lets, one_space, strip, text_or_empty
 from ..functions.urls import canonical_listing_url, product_code, used_listing_url, variation_url
 from .dom import first, inside, node_text, page_text, select
 from .evidence import (
-    _below, has_used_wording, is_member_context, page_title, prefer_member_price, reference_floor, relative_path,
+    _below, has_used_wording, is_member_context, lines_before_details, page_title, prefer_member_price, reference_floor, relative_path,
     used_card_price,
 )
 from .offers import dedup_candidates, last_value_by
@@ -182,13 +182,18 @@ def card_words(text: Column, sub: Column) -> Column:
 
 def title_with_search_label(title: Column, label: Column) -> Column:
     """Title and variant label; a colour that ends the title moves into the label."""
-    clean, values = one_space(text_or_empty(title)), F.split(clean_label(label), " / ")
-    colour = F.try_element_at(F.filter(values, lambda v: colour_label(v) != ""), F.lit(1))
-    ends = fold_text(clean).endswith(fold_text(colour)) & (F.length(clean) > F.length(colour) + 1)
-    cut = F.regexp_replace(F.substr(clean, F.lit(1), F.length(clean) - F.length(colour)), r"[\s,/-]+$", "")
-    separated = F.substr(clean, F.length(clean) - F.length(colour), F.lit(1)).rlike(r"[\s,/-]")
-    base = F.when(colour.isNotNull() & ends & separated, cut).otherwise(clean)
-    return F.when(clean_label(label) == "", clean).otherwise(title_with_part(base, clean_label(label)))
+    def join(clean, shown):
+        colour = F.try_element_at(F.filter(F.split(shown, " / "), lambda v: colour_label(v) != ""), F.lit(1))
+
+        def without(c):
+            n = F.length(clean) - F.length(c)
+            ends = fold_text(clean).endswith(fold_text(c)) & (n > 1) & F.substr(clean, n, F.lit(1)).rlike(r"[\s,/-]")
+            return F.when(ends, F.regexp_replace(F.substr(clean, F.lit(1), n), r"[\s,/-]+$", ""))
+
+        base = F.coalesce(let(colour, without), clean)
+        return F.when(shown == "", clean).otherwise(title_with_part(base, shown))
+
+    return lets(join, one_space(text_or_empty(title)), clean_label(label))
 
 
 def _object_link(o: Column) -> Column:
@@ -259,27 +264,32 @@ def object_variant_label(objects: Column, o: Column) -> Column:
 
 def line_variant_labels(tokens: Column) -> Column:
     """Values that follow a variant field name in the text before the product description, within 80 lines."""
-    stop = F.array_position(F.transform(tokens, lambda x: contains_any(fold_text(x), fixed.DETAIL_STOP_WORDS)), True)
-    lines = F.slice(tokens, F.lit(1), F.when(stop > 0, stop.cast("int") - 1).otherwise(F.size(tokens)))
+    return let(lines_before_details(tokens), _line_values)
+
+
+def _line_values(lines: Column) -> Column:
     names = sorted(fixed.VARIANT_FIELDS, key=len, reverse=True)
     pattern = "^(" + "|".join(names) + ")(?=$|[ :])"
 
     def value(line, i):
         low = F.regexp_replace(fold_text(line), "[ :]+$", "")
-        name = F.regexp_extract(low, pattern, 1)
-        following = clean_variant_value(F.try_element_at(lines, i + 2))
-        after_colon = clean_variant_value(F.regexp_replace(line, "^[^:]*:", ""))
-        after_name = clean_variant_value(F.substr(line, F.length(name) + 1))
-        return (
-            F.when(name == "", F.lit(""))
-            .when(low == name, following)
-            .when(low.startswith(F.concat(name, F.lit(":"))), after_colon)
-            .otherwise(after_name)
-        )
+        return let(low, lambda x: lets(lambda a, b: _named_value(lines, line, i, a, b), x, F.regexp_extract(x, pattern, 1)))
 
     return F.filter(F.transform(F.slice(lines, 1, 80), value), lambda v: F.coalesce(v != "", F.lit(False)))
 
 
+def _named_value(lines: Column, line: Column, i: Column, low: Column, name: Column) -> Column:
+    following = clean_variant_value(F.try_element_at(lines, i + 2))
+    after_colon = clean_variant_value(F.regexp_replace(line, "^[^:]*:", ""))
+    after_name = clean_variant_value(F.substr(line, F.length(name) + 1))
+    return (
+        F.when(name == "", F.lit(""))
+        .when(low == name, following)
+        .when(low.startswith(F.concat(name, F.lit(":"))), after_colon)
+        .otherwise(after_name)
+    )
+
+
 def variant_labels(parsed: DataFrame) -> DataFrame:
     """Label of the selected variant of a page: from its lines, else from the JSON record of its product code."""
     objects, code = F.col("objects"), product_code(F.col("url"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed
 from ..functions.labels import clean_size, display_title, size_matches, text_available
 from ..functions.money import MONEY, parse_money
-from ..functions.text import contains_any, fold_text, one_space, text_or_empty
+from ..functions.text import contains_any, fold_text, let, lets, one_space, text_or_empty
 from .dom import node_text
 from .evidence import _below, is_type, offers_price, own_price, relative_path
 from .skew import top_per_key
@@ -34,7 +34,7 @@ def field(o: Column, keys: list[str]) -> Column:
 def children(objects: Column, p: Column, step: str, item: bool | None = None) -> Column:
     """Objects directly under a field of `p`; `item` asks for list items or for the field's own object."""
     rule = lambda o: (
-        _below(o, p) & (F.size(relative_path(o, p)) == 1) & (F.try_element_at(relative_path(o, p), F.lit(1)) == step)
+        (o["parent"] == p["ord"]) & (F.element_at(o["path"], -1) == step)
         & (F.lit(True) if item is None else (o["item"] == item))
     )
     return F.filter(objects, rule)
@@ -71,8 +71,8 @@ def object_available(o: Column) -> Column:
 # --- one extractor per data layout ------------------------------------------
 def _zara(objects: Column, url: Column) -> Column:
     products = F.filter(objects, lambda o: (o["source"] == "ld+json") & is_type(o, "product"))
-    containers = F.filter(products, lambda p: F.size(children(objects, p, "hasVariant")) > 0)
-    chosen = F.when(F.size(containers) > 0, containers).otherwise(products)
+    holders = F.filter(products, lambda p: F.exists(objects, lambda o: (o["parent"] == p["ord"]) & (F.element_at(o["path"], -1) == "hasVariant")))
+    chosen = _first_filled(holders, products)
     keys = ["price", "lowPrice", "highPrice"]
 
     def size_of(v):
@@ -80,14 +80,17 @@ def _zara(objects: Column, url: Column) -> Column:
         return clean_size(F.coalesce(field(v, ["size", "skuSize", "productSize"]), named))
 
     def row(p, v):
-        colour, size = one_space(text_or_empty(F.coalesce(field(v, ["color"]), field(p, ["color"])))), size_of(v)
-        name = F.coalesce(field(p, ["name"]), field(v, ["name"]), F.lit("Zara ürünü"))
-        name = clean_size(name)
-        for part in (size, colour):
-            tail = F.concat(F.lit(" - "), part)
-            cut = (part != "") & fold_text(name).endswith(fold_text(tail))
-            name = F.when(cut, F.substr(name, F.lit(1), F.length(name) - F.length(tail))).otherwise(name)
-        offers = children(objects, v, "offers")
+        colour = one_space(text_or_empty(F.coalesce(field(v, ["color"]), field(p, ["color"]))))
+        return lets(lambda c, z, offers: shaped(p, v, c, z, offers), colour, size_of(v), children(objects, v, "offers"))
+
+    def without_tail(name, part):
+        tail = F.concat(F.lit(" - "), part)
+        cut = (part != "") & fold_text(name).endswith(fold_text(tail))
+        return F.when(cut, F.substr(name, F.lit(1), F.length(name) - F.length(tail))).otherwise(name)
+
+    def shaped(p, v, colour, size, offers):
+        name = clean_size(F.coalesce(field(p, ["name"]), field(v, ["name"]), F.lit("Zara ürünü")))
+        name = let(let(name, lambda n: without_tail(n, size)), lambda n: without_tail(n, colour))
         stock = fold_text(F.array_join(F.transform(offers, lambda o: text_or_empty(o["text"]["availability"])), " "))
         offer_url = field(F.try_element_at(F.filter(offers, lambda o: ~o["item"]), F.lit(1)), ["url"])
         price = F.coalesce(offers_price(objects, v, keys, ZARA_PRICE_STEPS), offers_price(objects, p, keys, ZARA_PRICE_STEPS))
@@ -99,8 +102,8 @@ def _zara(objects: Column, url: Column) -> Column:
         )
 
     def rows(p):
-        parts = children(objects, p, "hasVariant")
-        return F.when(F.size(parts) > 0, F.transform(parts, lambda v: row(p, v))).otherwise(F.array(row(p, p)))
+        parts = _first_filled(children(objects, p, "hasVariant"), F.array(p))
+        return F.transform(parts, lambda v: row(p, v))
 
     return F.flatten(F.transform(chosen, rows))
 
@@ -150,10 +153,14 @@ def _holder_sizes(objects: Column, p: Column) -> Column:
 
     out = F.array().cast("array<struct<size:string,available:boolean>>")
     for k in reversed(SIZE_HOLDERS):
-        out = F.when(F.size(one(k)) > 0, one(k)).otherwise(out)
+        out = _first_filled(one(k), out)
     return out
 
 
+def _first_filled(a: Column, b: Column) -> Column:
+    return let(a, lambda x: F.when(F.size(x) > 0, x).otherwise(b))
+
+
 def _hm(objects: Column, url: Column) -> Column:
     def parts(p):
         groups = [F.concat(children(objects, p, k, item=True), mapped(objects, p, k)) for k in VARIANT_HOLDERS]
@@ -166,27 +173,27 @@ def _hm(objects: Column, url: Column) -> Column:
     )
 
     def rows(p):
-        base_price = _holder_price(objects, p)
-
-        def of_variant(v):
-            name = F.coalesce(field(v, NAME_KEYS), field(p, NAME_KEYS), F.lit("H&M ürünü"))
-            colour = text_or_empty(F.coalesce(field(v, COLOUR_KEYS), field(p, COLOUR_KEYS)))
-            link = F.coalesce(field(v, URL_KEYS), field(p, URL_KEYS))
-            root = F.regexp_extract(url, "^[a-z]+://[^/?#]+", 0)
-            link = F.when(link.rlike("^https?://"), link).when(link.startswith("/"), F.concat(root, link)).otherwise(url)
-            price = F.coalesce(_holder_price(objects, v), base_price).cast(MONEY)
-            sizes = _holder_sizes(objects, v)
-            bare = F.array(F.struct(F.lit("").alias("size"), F.lit(True).alias("available")))
-            return F.transform(
-                F.when(F.size(sizes) > 0, sizes).otherwise(bare),
-                lambda s: F.struct(
-                    display_title(name, colour, s["size"]).alias("title"), one_space(colour).alias("colour"),
-                    s["size"].alias("size"), F.array(s["size"]).alias("sizes"), price.alias("price"),
-                    s["available"].alias("available"), link.alias("url"), F.lit("H&M").alias("seller"),
-                ),
-            )
-
-        return F.flatten(F.transform(F.concat(F.array(p), parts(p)), of_variant))
+        return let(_holder_price(objects, p), lambda base: F.flatten(F.transform(F.concat(F.array(p), parts(p)), lambda v: of_variant(p, v, base))))
+
+    def of_variant(p, v, base):
+        name = F.coalesce(field(v, NAME_KEYS), field(p, NAME_KEYS), F.lit("H&M ürünü"))
+        colour = text_or_empty(F.coalesce(field(v, COLOUR_KEYS), field(p, COLOUR_KEYS)))
+        raw = F.coalesce(field(v, URL_KEYS), field(p, URL_KEYS))
+        root = F.regexp_extract(url, "^[a-z]+://[^/?#]+", 0)
+        link = let(raw, lambda x: F.when(x.rlike("^https?://"), x).when(x.startswith("/"), F.concat(root, x)).otherwise(url))
+        price = F.coalesce(_holder_price(objects, v), base).cast(MONEY)
+        bare = F.array(F.struct(F.lit("").alias("size"), F.lit(True).alias("available")))
+        return lets(sized, one_space(name), one_space(colour), link, price, _first_filled(_holder_sizes(objects, v), bare))
+
+    def sized(name, colour, link, price, sizes):
+        return F.transform(
+            sizes,
+            lambda s: F.struct(
+                display_title(name, colour, s["size"]).alias("title"), colour.alias("colour"), s["size"].alias("size"),
+                F.array(s["size"]).alias("sizes"), price.alias("price"), s["available"].alias("available"),
+                link.alias("url"), F.lit("H&M").alias("seller"),
+            ),
+        )
 
     return F.flatten(F.transform(like, rows))
 
@@ -200,11 +207,13 @@ def _bengurme(objects: Column, url: Column) -> Column:
             F.transform(F.array(*[v["text"][f"option{i}"] for i in (1, 2, 3)]), lambda x: one_space(text_or_empty(x))),
             lambda x: (x != "") & ~fold_text(x).isin(fixed.DEFAULT_VARIANT_NAMES),
         )
-        return F.when(fold_text(shown).isin(fixed.DEFAULT_VARIANT_NAMES), F.array_join(options, " / ")).otherwise(shown)
+        return let(shown, lambda x: F.when(fold_text(x).isin(fixed.DEFAULT_VARIANT_NAMES), F.array_join(options, " / ")).otherwise(x))
 
     def row(p, v):
         title = one_space(F.coalesce(field(p, ["title", "name"]), F.lit("Ben Gurme ürünü")))
-        label = label_of(v)
+        return lets(lambda a, b: shaped(v, a, b), title, label_of(v))
+
+    def shaped(v, title, label):
         raw, kind = v["text"]["price"], v["kind"]["price"]
         price = F.when(kind == "n", raw.try_cast(MONEY) / 100).otherwise(parse_money(F.nullif(raw, F.lit(""))))
         flag, fkind = v["text"]["available"], v["kind"]["available"]
