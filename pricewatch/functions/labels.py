@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 from .. import fixed
-from .text import contains_any, fold_text, let, lets, one_space, strip, text_or_empty
+from .text import contains_any, fold_text, let, lets, one_space, rec, strip, text_or_empty
 
 
 # --- sizes and stock --------------------------------------------------------
@@ -222,7 +222,7 @@ def ordered_variant_label(values: Column, *fallback: Column) -> Column:
     """Capacity, colour, then up to two other values; the fallback texts fill in a missing capacity or colour."""
     clean = F.filter(F.transform(values, clean_variant_value), lambda v: v != "")
     judged = F.transform(
-        clean, lambda v: F.struct(v.alias("v"), capacity_label(v).alias("cap"), colour_label(v).alias("col"))
+        clean, lambda v: rec(v=v, cap=capacity_label(v), col=colour_label(v))
     )
     extra = F.concat_ws(" ", *[F.translate(text_or_empty(t), "-_", "  ") for t in fallback]) if fallback else F.lit("")
 

@@ -67,9 +67,14 @@ def let(value: Column, build) -> Column:
     return F.element_at(F.transform(F.array(value), lambda v: build(v)), 1)
 
 
+def rec(**fields: Column) -> Column:
+    """Struct with fixed field names; an alias inside a lambda may lose its name."""
+    return F.named_struct(*[x for name, c in fields.items() for x in (F.lit(name), c)])
+
+
 def lets(build, *values: Column) -> Column:
     """`let` for several values: `build(v1, v2, ...)`."""
-    packed = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    packed = rec(**{f"v{i}": v for i, v in enumerate(values)})
     return let(packed, lambda s: build(*[s[f"v{i}"] for i in range(len(values))]))
 
 

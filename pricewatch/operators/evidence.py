@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed
 from ..functions.money import MONEY, listing_price, parse_money, price_in_range
-from ..functions.text import contains_any, fold_text, let, lets, one_space, strip, text_or_empty
+from ..functions.text import contains_any, fold_text, let, lets, one_space, rec, strip, text_or_empty
 from .dom import first, inside, node_text, page_text, select
 
 # --- Fixed values: where sites show titles and prices -----------------------
@@ -215,7 +215,7 @@ def offers_price(objects: Column, p: Column, keys: list[str] | None = None, step
         return (F.try_element_at(path, F.lit(1)) == "offers") & (F.size(F.array_except(path, allowed)) == 0)
 
     chain = F.filter(objects, lambda o: _below(o, p) & let(relative_path(o, p), on_chain))
-    rows = F.transform(chain, lambda o: F.struct(own_price(o, keys).alias("price"), o["ord"].alias("ord"), o["above"].alias("above")))
+    rows = F.transform(chain, lambda o: rec(price=own_price(o, keys), ord=o["ord"], above=o["above"]))
 
     def lowest(priced):
         top = F.filter(priced, lambda o: ~F.exists(priced, lambda q: F.array_contains(o["above"], q["ord"])))
@@ -229,10 +229,9 @@ def jsonld_products(objects: Column) -> Column:
     typed = F.filter(objects, lambda o: (o["source"] == "ld+json") & is_type(o, "product"))
     return F.transform(
         typed,
-        lambda p: F.struct(
-            F.nullif(strip(text_or_empty(p["text"]["name"])), F.lit("")).alias("title"),
-            offers_price(objects, p).alias("price"),
-        ),
+        lambda p: rec(
+            title=F.nullif(strip(text_or_empty(p["text"]["name"])), F.lit("")),
+            price=offers_price(objects, p)),
     )
 
 
@@ -264,12 +263,11 @@ def _around(pieces: Column) -> Column:
         rest = F.regexp_replace(piece, "^[^\x1f]*\x1f", "")
         before = joined(F.slice(pieces, F.greatest(F.lit(1), i - reach + 1), F.least(i, F.lit(reach))))
         after = F.concat(rest, joined(F.slice(pieces, i + 2, F.lit(reach))))
-        return F.struct(
-            F.substring_index(piece, "\x1f", 1).alias("amount"),
-            F.right(before, F.lit(56)).alias("before"),
-            F.left(after, F.lit(56)).alias("after"),
-            i.alias("i"),
-        )
+        return rec(
+            amount=F.substring_index(piece, "\x1f", 1),
+            before=F.right(before, F.lit(56)),
+            after=F.left(after, F.lit(56)),
+            i=i)
 
     return F.filter(F.transform(pieces, one), lambda m: m["i"] > 0)
 
@@ -435,7 +433,7 @@ def extract_evidence(parsed: DataFrame, site: str) -> DataFrame:
     }
     title = F.coalesce(jsonld_title(objects), page_title(nodes, tokens))
     rows = F.array(
-        *[F.struct(F.lit(k).alias("kind"), F.lit(i).alias("rank"), prices[k]().cast(MONEY).alias("price")) for i, k in enumerate(rules.kinds)]
+        *[rec(kind=F.lit(k), rank=F.lit(i), price=prices[k]().cast(MONEY)) for i, k in enumerate(rules.kinds)]
     )
     found = parsed.where(F.col("site") == site).select("page_id", "site", "url", title.alias("title"), F.explode(rows).alias("e"))
     return found.select("page_id", "site", "url", "e.kind", "e.rank", "e.price", "title").where(F.col("price").isNotNull())

@@ -10,7 +10,7 @@ from ..functions.labels import (
     ordered_variant_label, title_with_part,
 )
 from ..functions.money import MONEY, listing_price, parse_money, price_in_range
-from ..functions.text import contains_any, fold_text, key_text, let, lets, one_space, strip, text_or_empty
+from ..functions.text import contains_any, fold_text, key_text, let, lets, one_space, rec, strip, text_or_empty
 from ..functions.urls import canonical_listing_url, product_code, used_listing_url, variation_url
 from .dom import first, inside, node_text, page_text, select
 from .evidence import (
@@ -76,7 +76,7 @@ def search_cards(parsed: DataFrame, limit: int = fixed.SCAN_LIMIT, depot_search:
     rows = top_per_key(rows, ["page_id"], [F.col("at")], max(1, int(limit)))
     used = used_card_price(F.col("text"))
     primary_used = F.lit(depot_search) & has_used_wording(F.col("text")) & (used.isNull() | (used == F.col("primary")))
-    offer = lambda price, flag: F.struct(price.cast(MONEY).alias("price"), flag.alias("is_warehouse"))
+    offer = lambda price, flag: rec(price=price.cast(MONEY), is_warehouse=flag)
     offers = F.filter(
         F.array(
             offer(F.col("primary"), primary_used),
@@ -317,7 +317,7 @@ def listing_evidence(parsed: DataFrame) -> DataFrame:
     rows = parsed.select("page_id", "url", "objects", F.explode(listings).alias("o"))
     rows = rows.where(text_or_empty(F.col("o.text.merchantName")) != "")
     o = F.col("o")
-    entry = lambda price, context: F.struct(price.try_cast(MONEY).alias("price"), context.alias("context"))
+    entry = lambda price, context: rec(price=price.try_cast(MONEY), context=context)
     plain = [entry(o["text"][k], F.lit(k)) for k in OFFER_PRICE_FIELDS]
 
     def words(x):
@@ -400,13 +400,12 @@ def colour_links(parsed: DataFrame, limit: int = fixed.SCAN_LIMIT) -> DataFrame:
     )
     from_state = F.transform(
         state,
-        lambda o: F.struct(
-            clean_colour(o["text"]["dimensionValueDisplayText"]).alias("label"),
-            variation_url(
+        lambda o: rec(
+            label=clean_colour(o["text"]["dimensionValueDisplayText"]),
+            url=variation_url(
                 F.coalesce(F.nullif(o["text"]["pageLoadURL"], F.lit("")), F.when(fold_text(o["text"]["dimensionValueState"]) == "selected", F.col("url"))),
                 o["text"]["defaultAsin"],
-            ).alias("url"),
-        ),
+            )),
     )
 
     def swatch(n):
@@ -414,7 +413,7 @@ def colour_links(parsed: DataFrame, limit: int = fixed.SCAN_LIMIT) -> DataFrame:
         img = F.try_element_at(F.filter(nodes, lambda x: inside(x, n) & (x["tag"] == "img")), F.lit(1))
         names = F.array(*[clean_colour(x["attrs"][k]) for x in (n, a, img) for k in ("title", "aria-label", "alt")], clean_colour(node_text(tokens, n)))
         code = F.coalesce(*[F.nullif(x["attrs"][k], F.lit("")) for x in (n, a) for k in ("data-asin", "data-defaultasin")])
-        return F.struct(F.try_element_at(F.filter(names, lambda x: x != ""), F.lit(1)).alias("label"), variation_url(a["attrs"]["href"], code).alias("url"))
+        return rec(label=F.try_element_at(F.filter(names, lambda x: x != ""), F.lit(1)), url=variation_url(a["attrs"]["href"], code))
 
     found = F.array().cast("array<struct<label:string,url:string>>")
     for s in reversed(SWATCHES):

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed
 from ..functions.labels import clean_size, display_title, size_matches, text_available
 from ..functions.money import MONEY, parse_money
-from ..functions.text import contains_any, fold_text, let, lets, one_space, text_or_empty
+from ..functions.text import contains_any, fold_text, let, lets, one_space, rec, text_or_empty
 from .dom import node_text
 from .evidence import _below, is_type, offers_price, own_price, relative_path
 from .skew import top_per_key
@@ -94,12 +94,11 @@ def _zara(objects: Column, url: Column) -> Column:
         stock = fold_text(F.array_join(F.transform(offers, lambda o: text_or_empty(o["text"]["availability"])), " "))
         offer_url = field(F.try_element_at(F.filter(offers, lambda o: ~o["item"]), F.lit(1)), ["url"])
         price = F.coalesce(offers_price(objects, v, keys, ZARA_PRICE_STEPS), offers_price(objects, p, keys, ZARA_PRICE_STEPS))
-        return F.struct(
-            display_title(name, colour, size).alias("title"), colour.alias("colour"), size.alias("size"),
-            F.array(size).alias("sizes"), price.cast(MONEY).alias("price"),
-            (~contains_any(stock, fixed.ZARA_SOLD_OUT_WORDS)).alias("available"),
-            F.coalesce(field(v, ["url"]), offer_url, url).alias("url"), F.lit("Zara").alias("seller"),
-        )
+        return rec(
+            title=display_title(name, colour, size), colour=colour, size=size,
+            sizes=F.array(size), price=price.cast(MONEY),
+            available=(~contains_any(stock, fixed.ZARA_SOLD_OUT_WORDS)),
+            url=F.coalesce(field(v, ["url"]), offer_url, url), seller=F.lit("Zara"))
 
     def rows(p):
         parts = _first_filled(children(objects, p, "hasVariant"), F.array(p))
@@ -117,86 +116,88 @@ def _holder_price(objects: Column, p: Column) -> Column:
     return F.coalesce(*out)
 
 
-def _holder_sizes(objects: Column, p: Column) -> Column:
-    """Array of (size, available) of a product record, from a list of texts, of records, or a map."""
+def _holder_sizes(objects: Column, p: Column) -> dict[str, Column]:
+    """Arrays of (size, available) of a product record per field, from a list of texts, of records, or a map."""
     words = ["benzer urunler", "stokta yok", "tukendi", "out of stock", "sold out", "unavailable", "not available"]
 
     def one(k):
-        texts = F.transform(
-            F.split(p["text"][k], "\x1f"), lambda t: F.struct(clean_size(t).alias("size"), F.lit(True).alias("available"))
-        )
-        listed = F.when(p["kind"][k] == "l", texts).otherwise(F.array().cast("array<struct<size:string,available:boolean>>"))
-        items = F.transform(
-            children(objects, p, k, item=True),
-            lambda o: F.struct(clean_size(field(o, SIZE_NAMES)).alias("size"), object_available(o).alias("available")),
-        )
-        own = children(objects, p, k, item=False)
-        flat = F.flatten(
-            F.transform(
-                own,
-                lambda o: F.transform(
-                    F.map_entries(o["text"]),
-                    lambda e: F.struct(
-                        clean_size(e["key"]).alias("size"), scalar_available(e["value"], o["kind"][e["key"]], words).alias("available")
-                    ),
+        return _sizes_of(objects, p, k, words)
+
+    return {k: one(k) for k in SIZE_HOLDERS}
+
+
+def _sizes_of(objects: Column, p: Column, k: str, words: list[str]) -> Column:
+    texts = F.transform(
+        F.split(p["text"][k], "\x1f"), lambda t: rec(size=clean_size(t), available=F.lit(True))
+    )
+    listed = F.when(p["kind"][k] == "l", texts).otherwise(F.array().cast("array<struct<size:string,available:boolean>>"))
+    items = F.transform(
+        children(objects, p, k, item=True),
+        lambda o: rec(size=clean_size(field(o, SIZE_NAMES)), available=object_available(o)),
+    )
+    own = children(objects, p, k, item=False)
+    flat = F.flatten(
+        F.transform(
+            own,
+            lambda o: F.transform(
+                F.map_entries(o["text"]),
+                lambda e: rec(
+                    size=clean_size(e["key"]), available=scalar_available(e["value"], o["kind"][e["key"]], words)
                 ),
-            )
-        )
-        by_key = F.transform(
-            mapped(objects, p, k),
-            lambda o: F.struct(
-                clean_size(F.coalesce(field(o, SIZE_NAMES), F.element_at(o["path"], -1))).alias("size"),
-                object_available(o).alias("available"),
             ),
         )
-        return F.filter(F.concat(listed, items, flat, by_key), lambda s: s["size"] != "")
-
-    out = F.array().cast("array<struct<size:string,available:boolean>>")
-    for k in reversed(SIZE_HOLDERS):
-        out = _first_filled(one(k), out)
-    return out
+    )
+    by_key = F.transform(
+        mapped(objects, p, k),
+        lambda o: rec(
+            size=clean_size(F.coalesce(field(o, SIZE_NAMES), F.element_at(o["path"], -1))),
+            available=object_available(o)),
+    )
+    return F.filter(F.concat(listed, items, flat, by_key), lambda s: s["size"] != "")
 
 
 def _first_filled(a: Column, b: Column) -> Column:
     return let(a, lambda x: F.when(F.size(x) > 0, x).otherwise(b))
 
 
-def _hm(objects: Column, url: Column) -> Column:
-    def parts(p):
-        groups = [F.concat(children(objects, p, k, item=True), mapped(objects, p, k)) for k in VARIANT_HOLDERS]
-        return F.concat(*groups)
+def _with_sizes(rows: DataFrame, owner: str, name: str) -> DataFrame:
+    """Add the sizes of the first field that has any. One column per field keeps the expressions flat."""
+    found = _holder_sizes(F.col("objects"), F.col(owner))
+    rows = rows.withColumns({f"_{k}": v for k, v in found.items()})
+    first = F.coalesce(*[F.when(F.size(f"_{k}") > 0, F.col(f"_{k}")) for k in found], F.lit(None))
+    return rows.withColumn(name, first).drop(*[f"_{k}" for k in found])
 
+
+def _hm_variants(parsed: DataFrame) -> DataFrame:
+    """Product records, then their colour variants, then the sizes of each, one explode after the other."""
+    objects, p, v = F.col("objects"), F.col("p"), F.col("v")
     named = F.filter(objects, lambda o: field(o, NAME_KEYS).isNotNull())
-    like = F.filter(
-        named,
-        lambda p: _holder_price(objects, p).isNotNull() | (F.size(_holder_sizes(objects, p)) > 0) | (F.size(parts(p)) > 0),
+    rows = parsed.select("page_id", "site", F.col("url").alias("page_url"), "objects", F.posexplode(named).alias("pi", "p"))
+    parts = F.concat(*[F.concat(children(objects, p, k, item=True), mapped(objects, p, k)) for k in VARIANT_HOLDERS])
+    rows = rows.withColumns({"base": _holder_price(objects, p), "parts": parts})
+    rows = _with_sizes(rows, "p", "base_sizes")
+    rows = rows.where(F.col("base").isNotNull() | F.col("base_sizes").isNotNull() | (F.size("parts") > 0))
+    rows = rows.select("page_id", "site", "page_url", "objects", "pi", "p", "base", F.posexplode(F.concat(F.array("p"), "parts")).alias("vi", "v"))
+    rows = rows.withColumn("price", F.coalesce(_holder_price(objects, v), F.col("base")).cast(MONEY))
+    rows = _with_sizes(rows, "v", "found")
+    bare = F.array(rec(size=F.lit(""), available=F.lit(True)))
+    rows = rows.withColumns(
+        {
+            "name": one_space(F.coalesce(field(v, NAME_KEYS), field(p, NAME_KEYS))),
+            "colour": one_space(text_or_empty(F.coalesce(field(v, COLOUR_KEYS), field(p, COLOUR_KEYS)))),
+            "raw": F.coalesce(field(v, URL_KEYS), field(p, URL_KEYS)),
+            "found": F.coalesce("found", bare),
+        }
+    ).select("page_id", "site", "page_url", "pi", "vi", "name", "colour", "raw", "price", F.posexplode("found").alias("si", "s"))
+    root = F.regexp_extract("page_url", "^[a-z]+://[^/?#]+", 0)
+    raw = F.col("raw")
+    link = F.when(raw.rlike("^https?://"), raw).when(raw.startswith("/"), F.concat(root, raw)).otherwise(F.col("page_url"))
+    return rows.select(
+        "page_id", "site", F.struct("pi", "vi", "si").alias("seq"), display_title(F.col("name"), F.col("colour"), F.col("s.size")).alias("title"),
+        "colour", F.col("s.size").alias("size"), F.array("s.size").alias("sizes"), "price", F.col("s.available").alias("available"),
+        link.alias("url"), F.lit("H&M").alias("seller"),
     )
 
-    def rows(p):
-        return let(_holder_price(objects, p), lambda base: F.flatten(F.transform(F.concat(F.array(p), parts(p)), lambda v: of_variant(p, v, base))))
-
-    def of_variant(p, v, base):
-        name = F.coalesce(field(v, NAME_KEYS), field(p, NAME_KEYS), F.lit("H&M ürünü"))
-        colour = text_or_empty(F.coalesce(field(v, COLOUR_KEYS), field(p, COLOUR_KEYS)))
-        raw = F.coalesce(field(v, URL_KEYS), field(p, URL_KEYS))
-        root = F.regexp_extract(url, "^[a-z]+://[^/?#]+", 0)
-        link = let(raw, lambda x: F.when(x.rlike("^https?://"), x).when(x.startswith("/"), F.concat(root, x)).otherwise(url))
-        price = F.coalesce(_holder_price(objects, v), base).cast(MONEY)
-        bare = F.array(F.struct(F.lit("").alias("size"), F.lit(True).alias("available")))
-        return lets(sized, one_space(name), one_space(colour), link, price, _first_filled(_holder_sizes(objects, v), bare))
-
-    def sized(name, colour, link, price, sizes):
-        return F.transform(
-            sizes,
-            lambda s: F.struct(
-                display_title(name, colour, s["size"]).alias("title"), colour.alias("colour"), s["size"].alias("size"),
-                F.array(s["size"]).alias("sizes"), price.alias("price"), s["available"].alias("available"),
-                link.alias("url"), F.lit("H&M").alias("seller"),
-            ),
-        )
-
-    return F.flatten(F.transform(like, rows))
-
 
 def _bengurme(objects: Column, url: Column) -> Column:
     products = F.filter(objects, lambda p: F.size(children(objects, p, "variants", item=True)) > 0)
@@ -225,21 +226,22 @@ def _bengurme(objects: Column, url: Column) -> Column:
         )
         shown = F.when((label != "") & ~F.contains(fold_text(title), fold_text(label)), F.concat(title, F.lit(" / "), label)).otherwise(title)
         sizes = F.concat(F.array(label), F.array_compact(F.array(*[v["text"][f"option{i}"] for i in (1, 2, 3)])))
-        return F.struct(
-            shown.alias("title"), F.lit("").alias("colour"), label.alias("size"), sizes.alias("sizes"),
-            price.cast(MONEY).alias("price"), available.alias("available"), url.alias("url"), F.lit("Ben Gurme").alias("seller"),
-        )
+        return rec(
+            title=shown, colour=F.lit(""), size=label, sizes=sizes,
+            price=price.cast(MONEY), available=available, url=url, seller=F.lit("Ben Gurme"))
 
     return F.flatten(F.transform(products, lambda p: F.transform(children(objects, p, "variants", item=True), lambda v: row(p, v))))
 
 
-LAYOUTS = {"zara": _zara, "hm": _hm, "bengurme": _bengurme}
+LAYOUTS = {"zara": _zara, "bengurme": _bengurme}
 
 
 def explode_variants(parsed: DataFrame, site: str) -> DataFrame:
     """One row per variant of the pages of a site: page_id, seq, title, colour, size, sizes, price, available, url,
     seller. Missing prices, colours and links come from the product; whole-number prices of the shop system that
     counts in minor units are divided by 100."""
+    if site == "hm":
+        return _hm_variants(parsed.where(F.col("site") == site))
     rows = LAYOUTS[site](F.col("objects"), F.col("url"))
     return parsed.where(F.col("site") == site).select("page_id", "site", F.posexplode(rows).alias("seq", "v")).select(
         "page_id", "site", "seq", "v.*"
@@ -294,7 +296,7 @@ def apply_size(variants: DataFrame, requests: DataFrame) -> tuple[DataFrame, Dat
 # --- is a size on the page, and available -----------------------------------
 def _state(rows: Column) -> Column:
     """(found, available) over an array of availability flags."""
-    return F.struct((F.size(rows) > 0).alias("found"), F.exists(rows, lambda a: a).alias("available"))
+    return rec(found=(F.size(rows) > 0), available=F.exists(rows, lambda a: a))
 
 
 def json_size_state(objects: Column, requested: Column) -> Column:

@@ -89,7 +89,7 @@ def test_resolve_price_by_site_order(spark):
 
 def test_marketplace_texts(spark):
     t = lambda f, s: one(spark, "x", f(F.lit(s)))
-    assert t(evidence.clean_text_prices, "Fiyat 18.399 TL 9 x 2.044 TL taksit 100 TL kupon kazan") == [18399]
+    assert t(evidence.clean_text_prices, "Fiyat 18.399 TL " + "ürün hakkında uzun bir açıklama metni " * 3 + "9 x 2.044 TL taksit 100 TL kupon kazan") == [18399]
     assert t(evidence.member_prices, "18.999 TL Premium ile 500 TL indirim 18.049,50 TL") == []
     assert t(evidence.member_prices, "Premium ile 18.099 TL") == [18099]
     assert t(evidence.cart_prices, "Sepete özel fiyat 17.500 TL, sonra 20.000 TL") == [17500]
