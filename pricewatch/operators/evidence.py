@@ -203,7 +203,10 @@ def is_type(o: Column, name: str) -> Column:
 
 
 def own_price(o: Column, keys: list[str]) -> Column:
-    return F.coalesce(*[parse_money(F.nullif(o["text"][k], F.lit(""))) for k in keys])
+    """First readable amount among the fields of an object."""
+    names = F.array(*[F.lit(k) for k in keys])
+    amounts = F.transform(names, lambda k: parse_money(F.nullif(o["text"][k], F.lit(""))))
+    return F.try_element_at(F.array_compact(amounts), F.lit(1))
 
 
 def offers_price(objects: Column, p: Column, keys: list[str] | None = None, steps: list[str] | None = None) -> Column:

@@ -40,14 +40,13 @@ def children(objects: Column, p: Column, step: str, item: bool | None = None) ->
     return F.filter(objects, rule)
 
 
-def under(objects: Column, p: Column, step: str) -> Column:
-    """Objects at any depth under a field of `p`."""
-    return F.filter(objects, lambda o: _below(o, p) & (F.try_element_at(relative_path(o, p), F.lit(1)) == step))
-
-
 def mapped(objects: Column, p: Column, step: str) -> Column:
     """Objects that are the values of a map under a field of `p`."""
-    return F.filter(under(objects, p, step), lambda o: ~o["item"] & (F.size(relative_path(o, p)) == 2))
+    return F.filter(
+        objects,
+        lambda o: ~o["item"] & (F.try_element_at(o["above"], F.lit(-2)) == p["ord"])
+        & (F.try_element_at(o["path"], F.lit(-2)) == step),
+    )
 
 
 def scalar_available(text: Column, kind: Column, words: list[str] | None = None) -> Column:
@@ -62,10 +61,15 @@ def scalar_available(text: Column, kind: Column, words: list[str] | None = None)
 
 def object_available(o: Column) -> Column:
     """First stock field of an object, else the wording of all its fields."""
-    rule = text_available(F.array_join(F.map_values(o["text"]), " "))
-    for k in reversed(STOCK_KEYS):
-        rule = F.when(F.map_contains_key(o["text"], k), scalar_available(o["text"][k], o["kind"][k])).otherwise(rule)
-    return rule
+    names = F.filter(F.array(*[F.lit(k) for k in STOCK_KEYS]), lambda k: F.map_contains_key(o["text"], k))
+
+    def rule(key):
+        words = F.array_join(F.map_values(o["text"]), " ")
+        value = F.when(key.isNull(), words).otherwise(o["text"][key])
+        kind = F.when(key.isNull(), F.lit("s")).otherwise(o["kind"][key])
+        return lets(scalar_available, value, kind)
+
+    return let(F.try_element_at(names, F.lit(1)), rule)
 
 
 # --- one extractor per data layout ------------------------------------------
@@ -109,51 +113,63 @@ def _zara(objects: Column, url: Column) -> Column:
 
 def _holder_price(objects: Column, p: Column) -> Column:
     """Price of a product record: plain values or nested price objects of its price fields, in field order."""
-    out = []
-    for k in PRICE_HOLDERS:
-        out.append(parse_money(F.nullif(p["text"][k], F.lit(""))))
-        out.append(F.array_min(F.transform(under(objects, p, k), lambda o: own_price(o, PRICE_VALUES))))
-    return F.coalesce(*out)
+    holders = F.array(*[F.lit(k) for k in PRICE_HOLDERS])
+    inner = F.filter(objects, lambda o: _below(o, p))
+    nested = F.transform(
+        inner, lambda o: rec(holder=F.try_element_at(relative_path(o, p), F.lit(1)), price=own_price(o, PRICE_VALUES))
+    )
 
+    def by_holder(rows):
+        def price(k):
+            below = F.array_min(F.transform(F.filter(rows, lambda r: r["holder"] == k), lambda r: r["price"]))
+            return F.coalesce(parse_money(F.nullif(p["text"][k], F.lit(""))), below)
 
-def _holder_sizes(objects: Column, p: Column) -> dict[str, Column]:
-    """Arrays of (size, available) of a product record per field, from a list of texts, of records, or a map."""
-    words = ["benzer urunler", "stokta yok", "tukendi", "out of stock", "sold out", "unavailable", "not available"]
+        return F.try_element_at(F.array_compact(F.transform(holders, price)), F.lit(1))
+
+    return let(nested, by_holder)
 
-    def one(k):
-        return _sizes_of(objects, p, k, words)
 
-    return {k: one(k) for k in SIZE_HOLDERS}
+def _holder_sizes(objects: Column, p: Column) -> Column:
+    """Array of (rank, size, available) of a product record: from a list of texts, of records, or a map. Only the
+    first of the size fields that has any counts."""
+    words = ["benzer urunler", "stokta yok", "tukendi", "out of stock", "sold out", "unavailable", "not available"]
+    holders = F.array(*[F.lit(k) for k in SIZE_HOLDERS])
+
+    def size(rank, name, available):
+        return rec(rank=rank.cast("bigint"), size=clean_size(name), available=available)
 
+    def holder(o, back):
+        return F.array_position(holders, F.try_element_at(o["path"], F.lit(back)))
 
-def _sizes_of(objects: Column, p: Column, k: str, words: list[str]) -> Column:
-    texts = F.transform(
-        F.split(p["text"][k], "\x1f"), lambda t: rec(size=clean_size(t), available=F.lit(True))
+    texts = F.flatten(
+        F.transform(
+            F.filter(holders, lambda k: F.coalesce(p["kind"][k] == "l", F.lit(False))),
+            lambda k: F.transform(
+                F.split(p["text"][k], "\x1f"), lambda t: size(F.array_position(holders, k), t, F.lit(True))
+            ),
+        )
     )
-    listed = F.when(p["kind"][k] == "l", texts).otherwise(F.array().cast("array<struct<size:string,available:boolean>>"))
-    items = F.transform(
-        children(objects, p, k, item=True),
-        lambda o: rec(size=clean_size(field(o, SIZE_NAMES)), available=object_available(o)),
+    own = F.filter(objects, lambda o: (o["parent"] == p["ord"]) & (holder(o, -1) > 0))
+    listed = F.transform(
+        F.filter(own, lambda o: o["item"]), lambda o: size(holder(o, -1), field(o, SIZE_NAMES), object_available(o))
     )
-    own = children(objects, p, k, item=False)
     flat = F.flatten(
         F.transform(
-            own,
+            F.filter(own, lambda o: ~o["item"]),
             lambda o: F.transform(
                 F.map_entries(o["text"]),
-                lambda e: rec(
-                    size=clean_size(e["key"]), available=scalar_available(e["value"], o["kind"][e["key"]], words)
-                ),
+                lambda e: size(holder(o, -1), e["key"], scalar_available(e["value"], o["kind"][e["key"]], words)),
             ),
         )
     )
+    deep = F.filter(
+        objects, lambda o: ~o["item"] & (F.try_element_at(o["above"], F.lit(-2)) == p["ord"]) & (holder(o, -2) > 0)
+    )
     by_key = F.transform(
-        mapped(objects, p, k),
-        lambda o: rec(
-            size=clean_size(F.coalesce(field(o, SIZE_NAMES), F.element_at(o["path"], -1))),
-            available=object_available(o)),
+        deep,
+        lambda o: size(holder(o, -2), F.coalesce(field(o, SIZE_NAMES), F.element_at(o["path"], -1)), object_available(o)),
     )
-    return F.filter(F.concat(listed, items, flat, by_key), lambda s: s["size"] != "")
+    return F.filter(F.concat(texts, listed, flat, by_key), lambda x: x["size"] != "")
 
 
 def _first_filled(a: Column, b: Column) -> Column:
@@ -161,11 +177,14 @@ def _first_filled(a: Column, b: Column) -> Column:
 
 
 def _with_sizes(rows: DataFrame, owner: str, name: str) -> DataFrame:
-    """Add the sizes of the first field that has any. One column per field keeps the expressions flat."""
+    """Add the sizes of the first field that has any, null when none has."""
     found = _holder_sizes(F.col("objects"), F.col(owner))
-    rows = rows.withColumns({f"_{k}": v for k, v in found.items()})
-    first = F.coalesce(*[F.when(F.size(f"_{k}") > 0, F.col(f"_{k}")) for k in found], F.lit(None))
-    return rows.withColumn(name, first).drop(*[f"_{k}" for k in found])
+
+    def first(sizes):
+        rank = F.array_min(F.transform(sizes, lambda x: x["rank"]))
+        return let(rank, lambda r: F.when(r.isNotNull(), F.filter(sizes, lambda x: x["rank"] == r)))
+
+    return rows.withColumn(name, let(found, first))
 
 
 def _hm_variants(parsed: DataFrame) -> DataFrame:
@@ -180,7 +199,7 @@ def _hm_variants(parsed: DataFrame) -> DataFrame:
     rows = rows.select("page_id", "site", "page_url", "objects", "pi", "p", "base", F.posexplode(F.concat(F.array("p"), "parts")).alias("vi", "v"))
     rows = rows.withColumn("price", F.coalesce(_holder_price(objects, v), F.col("base")).cast(MONEY))
     rows = _with_sizes(rows, "v", "found")
-    bare = F.array(rec(size=F.lit(""), available=F.lit(True)))
+    bare = F.array(rec(rank=F.lit(0).cast("bigint"), size=F.lit(""), available=F.lit(True)))
     rows = rows.withColumns(
         {
             "name": one_space(F.coalesce(field(v, NAME_KEYS), field(p, NAME_KEYS))),
