@@ -115,7 +115,7 @@ def size_outcomes(spark, folder):
 
 
 @query("""SELECT DISTINCT l_partkey AS page_id, 'https://www.hepsiburada.com/urun-p-HB' || l_suppkey AS url FROM lineitem""")
-def variant_links(spark, folder):
+def listing_urls(spark, folder):
     """Distinct product links per part, cleaned of their parameters."""
     raw = F.concat(F.lit("/urun-p-HB"), "l_suppkey", F.lit("?order="), "l_orderkey")
     rows = t.lines(spark, folder, spread=True).select(F.col("l_partkey").alias("page_id"), canonical_listing_url(raw).alias("url"))

@@ -100,3 +100,33 @@ def test_price_cycle(spark):
     assert sorted((r.product_title, r.price, r.is_target_hit) for r in cyc.rows.collect()) == [
         ("Eski ürün", 60, False), ("Tablet", 90, True), ("Tablet", 120, False)]
     assert [r.price for r in cyc.decided.where("sent").collect()] == [90] and cyc.state.count() == 2
+
+
+def test_json_documents(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    with open(folder + "/state.json", "w") as f:
+        json.dump({"_meta": {"x": 1}, "k1": {"last_price": "10", "offer_keys": ["a"]}, "k2": 5}, f)
+    got = tables.read_json_state(spark, folder + "/state.json")
+    assert [(r.key, r.p) for r in got.select("key", F.try_variant_get("value", "$.last_price", "string").alias("p")).collect()] == [("k1", "10")]
+    row = {"seller": "A", "product_title": "t", "product_url": "u", "price": "1.500 TL", "target": "2.000 TL"}
+    with open(folder + "/summary.json", "w") as f:
+        json.dump({"rows": [row, {**row, "price": "yok"}], "stock_rows": [{"seller": "B", "target": "5 TL", "reason": "r"}]}, f)
+    rows, stock = tables.read_summary(spark, folder + "/summary.json")
+    assert [(r.price, r.min_price, r.target_price) for r in rows.collect()] == [(1500, 1500, 2000)]
+    assert [(r.target_price, r.reason) for r in stock.collect()] == [(5, "r")]
+
+
+def test_merge_and_groups(spark):
+    ddl = "seq bigint, tracking_id string, product_url string, is_warehouse boolean, price decimal(18,4)"
+    prev = spark.createDataFrame([(1, "", "https://e.org/a", False, D(200)), (2, "", "https://e.org/b", False, D(8899)), (3, "", "https://e.org/c", False, D(1))], ddl)
+    fresh = spark.createDataFrame([(9, "", "https://e.org/b", True, D(8787))], ddl)
+    stock = "product_url string"
+    rows, gaps = summary.merge_summary(prev, fresh, spark.createDataFrame([("https://e.org/b/",), ("https://e.org/z",)], stock), spark.createDataFrame([("https://e.org/c",)], stock))
+    assert sorted(r.seq for r in rows.collect()) == [1, 2, 9]
+    assert sorted(r.product_url for r in gaps.collect()) == ["https://e.org/c", "https://e.org/z"]
+
+
+def test_number_rows(spark):
+    df = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("v"))
+    got = summary.number_rows(df, [F.col("v")]).collect()
+    assert all(r.no == r.v + 1 for r in got) and len(got) == 1000
