@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
 from ..functions.dates import quiet_hours, within_hours
 from ..functions.text import (
-    clean_error, error_links, item_key, keyword_caption, one_space, preview, strip, text_or_empty, unique_text,
+    clean_error, error_links, item_key, keyword_caption, preview, strip, text_or_empty, unique_text,
 )
 from ..functions.urls import detect_site, first_url, site_label
 from .fold import sorted_fold, spaced_pick

@@ -34,11 +34,11 @@ def reset_alert_memory(state: DataFrame) -> tuple[DataFrame, DataFrame]:
 def without_keys(watch_state: DataFrame, removed: DataFrame) -> DataFrame:
     """Watch state whose offer_keys no longer name the removed offers."""
     kept = (
-        watch_state.select("watch_key", F.explode("offer_keys").alias("offer_key"))
+        watch_state.select("watch_key", F.posexplode("offer_keys").alias("pos", "offer_key"))
         .join(removed.select("offer_key").distinct(), ["offer_key"], "left_anti")
         # At most the scan limit of one check per watch.
         .groupBy("watch_key")
-        .agg(F.sort_array(F.collect_list("offer_key")).alias("_kept"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "offer_key")))["offer_key"].alias("_kept"))
     )
     return watch_state.join(kept, ["watch_key"], "left").withColumn(
         "offer_keys", F.coalesce("_kept", F.array().cast("array<string>"))

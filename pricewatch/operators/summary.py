@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.labels import variant_group_label
 from ..functions.money import is_target_hit
 from ..functions.text import casefold, item_key, strip, text_or_empty
-from ..functions.urls import canonical_url, detect_site, is_search_url, row_identity, title_from_url, url_keys
+from ..functions.urls import canonical_url, condition, detect_site, is_search_url, title_from_url, url_keys
 from ..session import cut_lineage
 from .offers import money_text
 from .skew import top_per_key
@@ -55,8 +55,6 @@ def number_rows(rows: DataFrame, order: list[Column], name: str = "no") -> DataF
     placed = cut_lineage(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftright("_at", 33))
     sizes = placed.groupBy("_part").count()
-    from pyspark.sql import Window
-
     # One row per partition, so this single-task window is bounded by the number of partitions.
     earlier = F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("_part", F.coalesce(earlier, F.lit(0)).alias("_off"))
@@ -74,20 +72,23 @@ def merge_summary(prev: DataFrame, fresh: DataFrame, prev_stock: DataFrame, fres
     A previous price row stays unless its identity is fresh or removed, or its link is newly out of stock. A
     previous stock row stays unless its link is fresh in either. `removed` has a column `identity`.
     """
-    ident = row_identity(F.col("tracking_id"), F.col("product_url"), F.col("is_warehouse"))
     link = canonical_url(F.col("product_url"))
-    gone = fresh.select(ident.alias("_id"))
+
+    def with_keys(rows):
+        """Canonical link once, and the identity built from it."""
+        linked = rows.withColumn("_url", link)
+        tid = text_or_empty(F.col("tracking_id"))
+        ident = F.concat_ws("|", F.nullif(tid, F.lit("")), F.col("_url"), condition(F.col("is_warehouse")))
+        return linked.withColumn("_id", F.when(F.col("_url") == "", F.lit("")).otherwise(ident))
+
+    keyed = with_keys(fresh)
+    gone = keyed.select("_id")
     if removed is not None:
         gone = gone.union(removed.select(F.col("identity").alias("_id")))
     gone = gone.where("_id != ''").distinct()
     stock_links = fresh_stock.select(link.alias("_url")).where("_url != ''").distinct()
-    fresh_links = fresh.select(link.alias("_url")).where("_url != ''").union(stock_links).distinct()
-    kept = (
-        prev.withColumns({"_id": ident, "_url": link})
-        .join(gone, ["_id"], "left_anti")
-        .join(stock_links, ["_url"], "left_anti")
-        .drop("_id", "_url")
-    )
+    fresh_links = keyed.select("_url").where("_url != ''").union(stock_links).distinct()
+    kept = with_keys(prev).join(gone, ["_id"], "left_anti").join(stock_links, ["_url"], "left_anti").drop("_id", "_url")
     kept_stock = prev_stock.withColumn("_url", link).join(fresh_links, ["_url"], "left_anti").drop("_url")
     return kept.unionByName(fresh), kept_stock.unionByName(fresh_stock)
 

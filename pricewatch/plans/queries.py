@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import dates, money, text, urls
-from ..operators import alerts, fold, health, history, maintenance, matching, offers, summary
+from ..functions import dates, money, urls
+from ..operators import alerts, health, history, maintenance, matching, offers, summary
 from . import tables as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
