@@ -130,3 +130,22 @@ def test_number_rows(spark):
     df = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("v"))
     got = summary.number_rows(df, [F.col("v")]).collect()
     assert all(r.no == r.v + 1 for r in got) and len(got) == 1000
+
+
+def test_watch_changes(spark):
+    from pricewatch.operators import maintenance
+
+    c = spark.createDataFrame([(0, "a", "1"), (1, "b", "2"), (2, "c", "3")], "card_pos int, name string, target_price string")
+    ch = spark.createDataFrame([("update", 0, None, "9"), ("delete", 1, None, None), ("add", 0, "d", "4")],
+                               "op string, card_pos int, name string, target_price string")
+    got = maintenance.apply_watch_changes(c, ch).orderBy("card_pos").collect()
+    assert [tuple(r) for r in got] == [(0, "a", "9"), (2, "c", "3"), (3, "d", "4")]
+
+
+def test_mark_forced(spark):
+    from pricewatch.operators import alerts
+
+    obs = spark.createDataFrame([("w", 1), ("w", 2), ("v", 1)], "watch_key string, seq bigint")
+    back = spark.createDataFrame([("w", 2)], "watch_key string, seq bigint")
+    got = {(r.watch_key, r.seq): r.forced_sent for r in alerts.mark_forced(obs, back).collect()}
+    assert got == {("w", 1): False, ("w", 2): True, ("v", 1): False}
