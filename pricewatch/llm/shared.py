@@ -38,12 +38,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def map_texts(
     df: DataFrame, keep: list[str], text: str, fields: list[tuple[str, str]],
-    make: Callable[[], Callable[[list[str]], list[pa.Array]]],
+    make: Callable[[], Callable[[list[str]], list[pa.Array]]], rows: int = 512,
 ) -> DataFrame:
     """Keep some columns and add columns that a task computes from whole texts, an Arrow batch at a time.
 
     `make` runs once for each task and returns a function from a list of texts (null: empty) to one Arrow array for each
-    field. Batches are bounded in rows and bytes by Spark's own settings.
+    field. Spark's own settings bound a batch in rows and bytes; it is cut again into slices of at most `rows`.
     """
     base = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(df[text].cast("string"), F.lit("")).alias("t"))
     schema = T.StructType([T.StructField(f"k{i}", df.schema[c].dataType) for i, c in enumerate(keep)]
@@ -53,7 +53,7 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, rows):
                 made = work(part.column(len(keep)).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + made, names=names)
 
