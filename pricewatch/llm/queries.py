@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewatch.llm import bpe, chat, exact_dedup, packing, pii, simhash, toxicity
+from pricewatch.llm import bpe, chat, compact_windows, exact_dedup, lm_score, packing, partition_index, pii, simhash, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_partition_ann(spark: SparkSession, folder: str) -> DataFrame:
+    return partition_index.search(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
@@ -44,6 +48,10 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_cross_entropy(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.cross_entropy_difference(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.spans(table(spark, folder, "documents"))
 
@@ -67,14 +75,21 @@ def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
                        "formatted_chars")
 
 
+def op10_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return compact_windows.shared_passages(table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "op1_partition_ann": op1_partition_ann,
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
+    "op7_cross_entropy": op7_cross_entropy,
     "op8_pii": op8_pii,
     "op9_chat_format": op9_chat_format,
+    "op10_compact_windows": op10_compact_windows,
 }
 
 ORACLE = {

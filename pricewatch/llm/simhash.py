@@ -123,3 +123,22 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: st
     least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     known = stored(rooted.join(least, "root").select("fp", "component_id"), "known")
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+
+
+def dedup(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: the one of the smallest id (nulls last), then of the least text hash."""
+    key = {"__id": F.col(id_col), "__raw": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))}
+    plain = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).withColumn("__raw", F.xxhash64(F.coalesce(F.col("__text").cast("string"), F.lit(""))))
+
+    def make():
+        return lambda texts: [pa.array([fingerprint(shingle_hashes(t, width)) for t in texts], type=pa.int64())]
+
+    prints = stored(map_texts(plain, ["__id", "__raw"], "__text", [("fp", "long")], make), "prints")
+    first = F.min(F.struct(F.col("__id").isNull().alias("z"), F.col("__id").alias("d"), F.col("__raw").alias("r")))
+    classes = stored(prints.groupBy("fp").agg(first.alias("first")), "classes")
+    roots = connected_components(links(classes.select("fp"), radius))
+    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
+    kept = stored(rooted.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.d").alias("__id"), F.col("f.r").alias("__raw")), "kept")
+    keyed = docs.withColumns(key)
+    on = [keyed[c].eqNullSafe(kept[c]) for c in key]
+    return keyed.join(kept, on, "left_semi").dropDuplicates(list(key)).select(*docs.columns)
