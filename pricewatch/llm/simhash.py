@@ -25,11 +25,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricewatch.llm.bitmap import in_filter, repeated_filter
 from pricewatch.llm.components import connected_components
-from pricewatch.llm.shared import map_texts, stored, words_of
+from pricewatch.llm.shared import map_texts, mix, slices, stored, words_of
 
 #: Fingerprints under one table key beyond which their pairs are found the other way.
 BUCKET = 16
+#: Independent fingerprints for similarity: 64 bits, two segments each.
+PRINTS = 4
 SEED = 42
 
 
@@ -125,20 +128,110 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: st
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
-def dedup(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with all its columns: the one of the smallest id (nulls last), then of the least text hash."""
-    key = {"__id": F.col(id_col), "__raw": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))}
-    plain = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).withColumn("__raw", F.xxhash64(F.coalesce(F.col("__text").cast("string"), F.lit(""))))
+
+def distance_limit(similarity: float, bits: int) -> int:
+    """Bits that differ, at most 1.5 standard deviations above the mean, between texts whose shingles have this Jaccard similarity."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * share + 1.5 * np.sqrt(bits * share * (1 - share)))
+
+
+def wide_prints(text: str) -> list[int]:
+    """The fingerprint of three-word shingles, then PRINTS independent ones of three-word and PRINTS of five-word shingles."""
+    three, five = shingle_hashes(text, 3), shingle_hashes(text, 5)
+    return [fingerprint(three), *(fingerprint(mix(three, i)) for i in range(PRINTS)), *(fingerprint(mix(five, i)) for i in range(PRINTS))]
+
+
+def ball_keys(prints: np.ndarray) -> np.ndarray:
+    """Keys of the balls of radius 1 around each 32-bit segment of the three-word fingerprints, segment number in front."""
+    halves = np.ascontiguousarray(prints).view(np.uint32).astype(np.int64)
+    masks = np.array(_ball(range(32), 1), dtype=np.int64)
+    keys = (halves[:, :, None] ^ masks) | (np.arange(halves.shape[1], dtype=np.int64) << 32)[None, :, None]
+    return keys.reshape(len(prints), -1)
+
+
+def _keys(classes: DataFrame, bitmap=None) -> DataFrame:
+    """key, id of every class; only keys in the bit map, if there is one."""
+    shared = None if bitmap is None else classes.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 4096):
+                prints = np.stack([np.asarray(c) for c in part.column(1).to_pylist()])[:, 1:1 + PRINTS].astype(np.int64)
+                keys = ball_keys(prints)
+                ids = np.repeat(part.column(0).to_numpy(), keys.shape[1])
+                keys = keys.ravel()
+                if shared is not None:
+                    keep = in_filter(shared.value, mix(keys.view(np.uint64), 7))
+                    keys, ids = keys[keep], ids[keep]
+                for at in range(0, len(keys), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at:at + 200_000]), pa.array(ids[at:at + 200_000])], names=["key", "id"])
+
+    return classes.select("id", "prints").mapInArrow(run, "key long, id long")
+
+
+def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
+    """Links (src, dst) among classes (id, prints as wide_prints gives them) by fingerprints of 32 * 2 * PRINTS bits.
+
+    Both sides enumerate the ball of radius 1 around each segment of the three-word fingerprints, so classes meet that differ in at
+    most 2 bits of some segment. Two under one key are a pair; of more, each is a pair with two of them that a hash of key and class
+    draws, different ones under each key. Pairs are verified on the complete five-word fingerprints.
+    """
+    often = _keys(classes).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    bitmap = repeated_filter(_mixed(often))
+    met = stored(_keys(classes, bitmap).withColumn("w", F.struct(F.xxhash64("key", "id").alias("h"), "id")), "met")
+    groups = stored(met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("x"), F.max("w").alias("y")).where("n > 1")
+                    .select("key", "n", F.col("x.id").alias("x"), F.col("y.id").alias("y")), "groups")
+    pairs = groups.where("n = 2").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    many = met.join(groups.where("n > 2").select("key", "x", "y"), "key").select("id", F.explode(F.array("x", "y")).alias("o"))
+    pairs = pairs.union(many.where("id <> o").select(F.least("id", "o"), F.greatest("id", "o"))).distinct()
+    five = classes.select("id", F.slice("prints", 2 + PRINTS, PRINTS).alias("p"))
+    both = (pairs.join(five.select(F.col("id").alias("a"), F.col("p").alias("p")), "a")
+            .join(five.select(F.col("id").alias("b"), F.col("p").alias("q")), "b"))
+    far = sum((F.bit_count(F.col("p")[i].bitwiseXOR(F.col("q")[i])) for i in range(PRINTS)), F.lit(0))
+    return both.where(far <= distance_limit(similarity, 64 * PRINTS)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def _mixed(keys: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column(0).to_numpy().view(np.uint64), 7).view(np.int64))], names=["key"])
+
+    return keys.mapInArrow(run, "key long")
+
+
+def dedup(docs: DataFrame, similarity: float | None = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of near copies, with all its columns: that of the smallest id (nulls last), then of the least text hash.
+
+    Near copies differ in at most `radius` bits of the 64-bit fingerprint of three-word shingles, as in near_duplicates(), or are
+    alike by `similarity` (an estimate of the Jaccard similarity of five-word shingles, see similar_links); None: only the former.
+    """
+    raw = F.xxhash64(F.coalesce(F.col("__text").cast("string"), F.lit("")))
+    plain = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).withColumn("__raw", raw)
 
     def make():
-        return lambda texts: [pa.array([fingerprint(shingle_hashes(t, width)) for t in texts], type=pa.int64())]
+        def work(texts: list[str]) -> list[pa.Array]:
+            if similarity is None:
+                return [pa.array([[fingerprint(shingle_hashes(t, 3))] for t in texts], type=pa.list_(pa.int64()))]
+            return [pa.array([wide_prints(t) for t in texts], type=pa.list_(pa.int64()))]
+
+        return work
 
-    prints = stored(map_texts(plain, ["__id", "__raw"], "__text", [("fp", "long")], make), "prints")
+    prints = stored(map_texts(plain, ["__id", "__raw"], "__text", [("prints", "array<long>")], make), "prints")
     first = F.min(F.struct(F.col("__id").isNull().alias("z"), F.col("__id").alias("d"), F.col("__raw").alias("r")))
-    classes = stored(prints.groupBy("fp").agg(first.alias("first")), "classes")
-    roots = connected_components(links(classes.select("fp"), radius))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
+    classes = stored(prints.groupBy("prints").agg(first.alias("first")).withColumn("id", F.monotonically_increasing_id()), "classes")
+    by_print = F.col("prints")[0].alias("fp")
+    heads = stored(classes.groupBy(by_print).agg(F.min("id").alias("head")), "heads")
+    near = links(heads.select("fp"), radius)
+    near = (near.join(heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src")
+            .join(heads.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    same = classes.select(by_print, "id").join(heads, "fp").where("id <> head").select(F.col("id").alias("src"), F.col("head").alias("dst"))
+    edges = near.union(same)
+    if similarity is not None:
+        edges = edges.union(similar_links(classes, similarity))
+    roots = connected_components(edges)
+    rooted = classes.join(roots, classes["id"] == roots["node"], "left").select("first", F.coalesce("root", "id").alias("root"))
     kept = stored(rooted.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.d").alias("__id"), F.col("f.r").alias("__raw")), "kept")
+    key = {"__id": F.col(id_col), "__raw": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))}
     keyed = docs.withColumns(key)
     on = [keyed[c].eqNullSafe(kept[c]) for c in key]
     return keyed.join(kept, on, "left_semi").dropDuplicates(list(key)).select(*docs.columns)
