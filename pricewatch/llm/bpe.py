@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricewatch.llm.shared import map_texts
+from pricewatch.llm.shared import map_texts, slices
 
 NONE = np.int32(2**31 - 1)
 EMPTY = np.int64(-1)
-#: Pieces a task remembers, and the longest of them in bytes; further or longer ones are encoded anew.
-CACHE_PIECES, CACHE_BYTES = 400_000, 64
+#: Pieces a task remembers, with four ids each on average; beyond that it starts anew.
+CACHE_PIECES = 300_000
 #: Cells of a matrix.
 CELLS = 1 << 22
 
@@ -86,75 +87,74 @@ class Ranks:
             left = left[~hit & (found != EMPTY)]
         return out
 
-    def merge_rows(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece. Buckets of like length, cut so that a matrix stays within CELLS."""
-        out: list[np.ndarray] = [None] * len(pieces)  # type: ignore[list-item]
-        lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        order = np.argsort(lengths, kind="stable")
-        at = 0
+    def merge_rows(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, and how many each has. Buckets of like length, cut so that a matrix stays within CELLS."""
+        n = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        flat = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        starts = np.cumsum(n) - n
+        order = np.argsort(n, kind="stable")
+        ordered = n[order]
+        made: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # places of pieces, their counts, their ids in a row
+        at = int(np.searchsorted(ordered, 1))
         while at < len(order):
-            low = lengths[order[at]]
-            end = int(np.searchsorted(lengths[order], low + max(1, low // 4), side="right"))
-            width = int(lengths[order[end - 1]])
-            end = min(end, at + max(1, CELLS // max(1, width)))
+            low = int(ordered[at])
+            end = int(np.searchsorted(ordered, low + low // 4, side="right"))
+            end = min(end, at + max(1, CELLS // int(ordered[end - 1])))
             rows = order[at:end]
-            for i, ids in zip(rows.tolist(), self._merge([pieces[i] for i in rows], lengths[rows], width)):
-                out[i] = ids
+            if len(rows) == 1 and n[rows[0]] > 4096:
+                ids = self._merge_long(flat[starts[rows[0]]:starts[rows[0]] + n[rows[0]]])
+                made.append((rows, np.array([len(ids)]), ids))
+            else:
+                made += self._merge(flat, starts[rows], n[rows], rows)
             at = end
-        return out
-
-    def _merge(self, pieces: list[bytes], n: np.ndarray, width: int) -> list[np.ndarray]:
-        if width == 0:
-            return [np.zeros(0, dtype=np.int32) for _ in pieces]
-        if len(pieces) == 1 and width > 4096:
-            return [self._merge_long(pieces[0])]
-        raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), dtype=np.uint8).reshape(len(pieces), width)
-        ids, n, columns = self.bytes[raw], n.copy(), np.arange(width)
-        ids[columns >= n[:, None]] = -1
-        ranks = np.full((len(pieces), width), NONE, dtype=np.int32)
-        pairs = columns[:-1] < n[:, None] - 1
+        counts = np.zeros(len(pieces), dtype=np.int64)
+        if not made:
+            return np.zeros(0, dtype=np.int32), counts
+        where, sizes, ids = (np.concatenate(x) for x in zip(*made))
+        counts[where] = sizes
+        begins = np.zeros(len(pieces), dtype=np.int64)
+        begins[where] = np.cumsum(sizes) - sizes
+        return ids[runs(begins, counts)], counts
+
+    def _merge(self, flat: np.ndarray, starts: np.ndarray, n: np.ndarray, live: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        width = int(n.max())
+        columns = np.arange(width)
+        inside = columns < n[:, None]
+        ids = np.where(inside, self.bytes[flat[np.minimum(starts[:, None] + columns, len(flat) - 1)]], np.int32(-1))
+        ranks = np.full(ids.shape, NONE, dtype=np.int32)
+        pairs = inside[:, 1:]
         ranks[:, :-1][pairs] = self.merged(ids[:, :-1][pairs], ids[:, 1:][pairs])
-        out: list[np.ndarray] = [None] * len(pieces)  # type: ignore[list-item]
-        live = np.arange(len(pieces))
+        made = []
         while len(live):
-            row = np.arange(len(live))
             m = ranks.argmin(axis=1)
-            new = ranks[row, m]
+            new = ranks[np.arange(len(live)), m]
             done = new == NONE
             if done.any():
-                for r in np.flatnonzero(done):
-                    out[live[r]] = ids[r, : n[r]].copy()
-                go = ~done
-                width = max(1, int(n[go].max(initial=1)))
-                ids, ranks, n, live, m, new = ids[go][:, :width], ranks[go][:, :width], n[go], live[go], m[go], new[go]
-                if not len(live):
+                made.append((live[done], n[done], ids[done][np.arange(ids.shape[1]) < n[done][:, None]]))
+                go = np.flatnonzero(~done)
+                if not len(go):
                     break
-                row = np.arange(len(live))
+                width = int(n[go].max())
+                ids, ranks, n, live, m, new = ids[go, :width], ranks[go, :width], n[go], live[go], m[go], new[go]
+            row = np.arange(len(live))
             ids[row, m] = new
-            if ids.shape[1] > 1:  # close the gap right of m
-                take = np.arange(ids.shape[1] - 1)
-                take = take + (take > m[:, None])
-                tail = np.full((len(live), 1), -1, dtype=np.int32)
-                ids = np.concatenate([np.take_along_axis(ids, take, 1), tail], axis=1)
-                take = np.arange(ranks.shape[1] - 1)
-                take = take + (take >= m[:, None])
-                ranks = np.concatenate([np.take_along_axis(ranks, take, 1), np.full((len(live), 1), NONE, dtype=np.int32)], axis=1)
-            n -= 1
-            right = np.flatnonzero(m < n - 1)
-            ranks[right, m[right]] = self.merged(ids[right, m[right]], ids[right, m[right] + 1])
-            last = np.flatnonzero(m >= n - 1)
+            columns = np.arange(ids.shape[1] - 1)  # close the gap right of m
+            ids = np.where(columns > m[:, None], ids[:, 1:], ids[:, :-1])
+            ranks = np.where(columns >= m[:, None], ranks[:, 1:], ranks[:, :-1])
+            n = n - 1
+            right, last, left = np.flatnonzero(m < n - 1), np.flatnonzero((m == n - 1) & (m < ranks.shape[1])), np.flatnonzero(m > 0)
             ranks[last, m[last]] = NONE
-            left = np.flatnonzero(m > 0)
+            ranks[right, m[right]] = self.merged(ids[right, m[right]], ids[right, m[right] + 1])
             ranks[left, m[left] - 1] = self.merged(ids[left, m[left] - 1], ids[left, m[left]])
-        return out
+        return made
 
-    def _merge_long(self, piece: bytes) -> np.ndarray:
+    def _merge_long(self, piece: np.ndarray) -> np.ndarray:
         """A very long piece by itself. A round merges, for the least rank, all its pairs from the left that don't overlap.
 
         That is what merging the leftmost one again and again does, as long as no merge makes a pair of a lower rank beside
         it; a run of merges is cut before the first that does.
         """
-        ids = self.bytes[np.frombuffer(piece, dtype=np.uint8)]
+        ids = self.bytes[piece]
         ranks = self.merged(ids[:-1], ids[1:])
         while len(ranks):
             least = ranks.min()
@@ -197,6 +197,14 @@ class Ranks:
         return ids
 
 
+class Known(dict):
+    """Numbers of pieces in the order in which they were first asked for."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        return n
+
+
 class Encoder:
     """Texts to ids with a bounded memory of pieces."""
 
@@ -205,36 +213,44 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.known = Known()
+        self.ids, self.counts = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's begin (one more offset than texts)."""
-        if len(self.ids) > CACHE_PIECES:
+        if len(self.counts) > CACHE_PIECES or len(self.ids) > 4 * CACHE_PIECES:
             self._clear()
-        pieces: list[str] = []
-        ends = np.zeros(len(texts) + 1, dtype=np.int64)
+        known, before, ask = self.known, len(self.known), self.known.__getitem__
+        places, ends = [], np.zeros(len(texts) + 1, dtype=np.int64)
         for i, t in enumerate(texts):
-            pieces += self.find(t)
-            ends[i + 1] = len(pieces)
-        known, before = self.known, len(self.ids)
-        places = [known.get(p, -1) for p in pieces]
-        new = dict.fromkeys([p for p, k in zip(pieces, places) if k < 0])
-        if new:
-            raw = [p.encode("utf-8", "surrogatepass") for p in new]
-            whole = [self.vocabulary.ranks.get(r) for r in raw]
-            todo = [i for i, w in enumerate(whole) if w is None]
-            made = iter(self.vocabulary.merge_rows([raw[i] for i in todo]))
-            for i, p in enumerate(new):
-                new[p] = known[p] = before + i
-                self.ids.append(next(made) if whole[i] is None else np.array([whole[i]], dtype=np.int32))
-            places = [known[p] for p in pieces] if len(new) > 1000 else [new[p] if k < 0 else k for p, k in zip(pieces, places)]
-        table = self.ids
-        counts = np.fromiter((len(table[k]) for k in places), dtype=np.int64, count=len(places))
-        out = np.concatenate([table[k] for k in places]) if places else np.zeros(0, dtype=np.int32)
-        for p in [p for p in new if len(p) > CACHE_BYTES]:
-            table[known.pop(p)] = np.zeros(0, dtype=np.int32)
-        return out, np.concatenate([[0], np.cumsum(counts)])[ends]
+            found = np.fromiter(map(ask, self.find(t)), dtype=np.int32)
+            places.append(found)
+            ends[i + 1] = ends[i] + len(found)
+        if len(known) > before:
+            ids, counts = self._encode(list(islice(known, before, None)))
+            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+        place = np.concatenate([np.zeros(0, dtype=np.int32), *places])
+        counts = self.counts[place]
+        begins = np.cumsum(self.counts) - self.counts
+        return self.ids[runs(begins[place], counts)], np.concatenate([[0], np.cumsum(counts)])[ends]
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, and how many each has. A piece that is a token as a whole is that token."""
+        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        whole = np.fromiter((self.vocabulary.ranks.get(r, -1) for r in raw), dtype=np.int32, count=len(raw))
+        todo = np.flatnonzero(whole < 0)
+        made, sizes = self.vocabulary.merge_rows([raw[i] for i in todo.tolist()])
+        counts = np.ones(len(raw), dtype=np.int64)
+        counts[todo] = sizes
+        ids = np.repeat(whole, counts)
+        ids[np.repeat(whole < 0, counts)] = made
+        return ids, counts
+
+
+def runs(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The indices begins[i], begins[i] + 1, ... of counts[i] each, end to end."""
+    ends = np.cumsum(counts)
+    return np.repeat(begins - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
 @lru_cache(maxsize=2)
@@ -261,7 +277,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = No
 
         return work
 
-    return map_texts(docs, keep or ["doc_id"], text_col, [("ids", "array<int>")], make, rows=4096)
+    return map_texts(docs, keep or ["doc_id"], text_col, [("ids", "array<int>")], make, rows=1024)
 
 
 def decode(rows: DataFrame, path: str, keep: list[str], ids_col: str = "ids") -> DataFrame:
@@ -273,16 +289,17 @@ def decode(rows: DataFrame, path: str, keep: list[str], ids_col: str = "ids") ->
     def run(batches):
         v = _vocabulary(tuple(lines.value))
         for batch in batches:
-            column = batch.column(len(keep))
-            offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
-            ids = column.flatten().to_numpy(zero_copy_only=False)
-            if len(ids) and (ids.min() < 0 or ids.max() >= len(v.lengths) or (v.lengths[ids] == 0).any()):
-                raise ValueError("an id is not in the vocabulary")
-            n = v.lengths[ids]
-            ends = np.concatenate([[0], np.cumsum(n)])
-            flat = v.flat[np.repeat(v.starts[ids] - ends[:-1], n) + np.arange(ends[-1])]
-            data = pa.LargeBinaryArray.from_buffers(
-                pa.large_binary(), len(batch), [None, pa.py_buffer(ends[offsets].astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [data], names=schema.names)
+            for part in slices(batch, 256, 1 << 20):
+                column = part.column(len(keep))
+                offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
+                ids = column.flatten().to_numpy(zero_copy_only=False)
+                if len(ids) and (ids.min() < 0 or ids.max() >= len(v.lengths) or (v.lengths[ids] == 0).any()):
+                    raise ValueError("an id is not in the vocabulary")
+                n = v.lengths[ids]
+                ends = np.concatenate([[0], np.cumsum(n)])
+                flat = v.flat[runs(v.starts[ids], n)]
+                data = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), len(part), [None, pa.py_buffer(ends[offsets].astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + [data], names=schema.names)
 
     return base.mapInArrow(run, schema)

@@ -61,7 +61,7 @@ def map_texts(
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[n for n, _ in fields])
 
 
-def slices(batch: pa.RecordBatch, rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into pieces of bounded rows and, above one row, bounded bytes."""
     at = 0
     per_row = max(1, batch.nbytes // max(1, batch.num_rows))
