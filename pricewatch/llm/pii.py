@@ -80,7 +80,7 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str]
                 continue
             if at >= done["ip"] and (m := _ip(text, at)):
                 done["ip"] = m.end()
-                if all(len(p.lstrip("0")) <= 3 and int(p[-9:]) <= 255 and not p[:-9].strip("0") for p in m.groups()):
+                if all(len(v := p.lstrip("0")) <= 3 and int(v or 0) <= 255 for p in m.groups()):
                     spans.append((at, m.end(), "ip"))
             if at >= done["card"] and (m := _card(text, at)):
                 done["card"] = m.end()
