@@ -174,7 +174,7 @@ def _with_parts(base: Column, low: Column, parts: Column) -> Column:
         return (F.length(v) >= 12) & ~v.rlike(r"\d") & (((lv != "") & F.contains(low, lv)) | begins)
 
     rest = F.filter(
-        F.transform(F.slice(parts, 2, 10_000), clean_variant_value), lambda v: (v != "") & ~repeats(v)
+        F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1))), clean_variant_value), lambda v: (v != "") & ~repeats(v)
     )
     return F.concat_ws(" / ", base, F.nullif(F.array_join(_first_spellings(rest), " / "), F.lit("")))
 

@@ -1,8 +1,9 @@
 """Text columns: folding, keys, shortening, term lists, phrase tests.
 
-Everything here is a built-in expression that stays in generated JVM code, except
-`repair_mojibake` and `fold_text_full`, which need Python codecs and run as Arrow
-batches.
+Everything here is a built-in expression of the JVM, except `repair_mojibake` and
+`fold_text_full`, which need Python codecs and run as Arrow batches. `let` and `lets` are
+lambda functions, which Spark evaluates outside whole-stage code generation: they save
+repeated work within an expression; for keys of very large tables use `withColumn` stages.
 """
 
 from __future__ import annotations
@@ -17,29 +18,35 @@ from pyspark.sql.types import StringType
 from .. import fixed
 
 
-def _plain_letters() -> tuple[str, str]:
-    """Letters of the Latin blocks whose decomposition is one base letter, as a translate table."""
-    src, dst = [], []
-    for block in (range(0x00A0, 0x0250), range(0x1E00, 0x1F00), range(0xFF01, 0xFF5F)):
-        for code in block:
-            ch = chr(code)
-            base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
-            if base != ch and len(base) == 1 and not base.isspace():
-                src.append(ch)
-                dst.append(base)
-    return "".join(src) + "ı", "".join(dst) + "i"
+#: Blocks folded natively: Latin, combining marks, Greek, Cyrillic, punctuation, sub- and superscripts, enclosed and full-width
+#: letters. `fold_text_full` covers the rest of Unicode.
+_BLOCKS = (range(0x00A0, 0x0530), range(0x1AB0, 0x1ABE), range(0x1D00, 0x2190), range(0x2460, 0x24EB), range(0x2C60, 0x2C80),
+           range(0xA640, 0xA69E), range(0xA720, 0xA7FF), range(0xFB00, 0xFB07), range(0xFF01, 0xFF5F))
 
 
-def _wide_letters() -> dict[str, str]:
-    """Compatibility characters that expand to several letters (ligatures, fractions, ellipsis)."""
-    out = {}
-    for block in (range(0x00A0, 0x0250), range(0x2000, 0x2190), range(0xFB00, 0xFB07)):
-        for code in block:
-            ch = chr(code)
-            base = "".join(c for c in unicodedata.normalize("NFKD", ch.casefold()) if not unicodedata.combining(c))
-            if len(base) > 1:
-                out[ch] = base
-    return out
+def fold_word(word: str) -> str:
+    """`fold_text` of one word in Python, for constants and for the tables below."""
+    flat = unicodedata.normalize("NFKD", word.casefold())
+    return " ".join("".join(c for c in flat if not unicodedata.combining(c)).replace("ı", "i").split())
+
+
+def _letters() -> tuple[str, str, dict[str, str]]:
+    """What single letters fold to: a translate table (letters without a counterpart vanish), and those that become several."""
+    one, gone, several = {}, [], {}
+    for code in (c for block in _BLOCKS for c in block):
+        ch = chr(code)
+        if ch.isspace():
+            continue
+        base = fold_word(ch)
+        if " " in unicodedata.normalize("NFKD", ch.casefold()):
+            several[ch] = "".join(c for c in unicodedata.normalize("NFKD", ch.casefold()) if not unicodedata.combining(c))
+        elif base == "":
+            gone.append(ch)
+        elif len(base) > 1:
+            several[ch] = base
+        elif base != ch:
+            one[ch] = base
+    return "".join(one) + "".join(gone), "".join(one.values()), several
 
 
 def _as_ranges(chars) -> str:
@@ -54,8 +61,7 @@ def _as_ranges(chars) -> str:
 
 
 _SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) != " ")
-_FROM, _TO = _plain_letters()
-_WIDE = _wide_letters()
+_FROM, _TO, _WIDE = _letters()
 _WIDE_CLASS = _as_ranges(_WIDE)
 
 
@@ -102,31 +108,28 @@ def squash(c: Column) -> Column:
 def fold_text(c: Column) -> Column:
     """Case, accent and dotless-i insensitive text with single spaces.
 
-    Covers the Latin blocks and full-width ASCII natively; `fold_text_full` covers all of Unicode.
+    Covers the scripts of _BLOCKS natively; `fold_text_full` covers all of Unicode.
     """
+    # white space first: it lines up with the blanks, and what has no counterpart vanishes
+    source, target = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _SPACES + _FROM, "abcdefghijklmnopqrstuvwxyz" + " " * len(_SPACES) + _TO
 
     def flat(low):
-        wide = low
-        for ch, base in _WIDE.items():
-            wide = F.replace(wide, F.lit(ch), F.lit(base))
-        low = F.when(low.rlike(_WIDE_CLASS), wide).otherwise(low)
-        plain = F.translate(low, _FROM + _SPACES, _TO + " " * len(_SPACES))
-        return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\p{M}+", ""), " {2,}", " "))
+        return F.trim(F.regexp_replace(F.when(low.rlike(_WIDE_CLASS), _spelled_out(low)).otherwise(low), " {2,}", " "))
+
+    return let(F.translate(c, source, target), flat)
+
 
-    return let(casefold(c), flat)
+def _spelled_out(raw: Column) -> Column:
+    """Text with the letters that fold to several replaced; one pass, for the rare text that has any."""
+    table = F.str_to_map(F.lit("\x1e".join(f"{k}\x1f{v}" for k, v in _WIDE.items())), F.lit("\x1e"), F.lit("\x1f"))
+    return let(table, lambda m: F.array_join(F.transform(F.split(raw, ""), lambda ch: F.coalesce(F.try_element_at(m, ch), ch)), ""))
 
 
 @F.pandas_udf(StringType())
 def fold_text_full(s: pd.Series) -> pd.Series:
     """`fold_text` with the full Unicode decomposition."""
 
-    def one(v):
-        if v is None:
-            return None
-        flat = unicodedata.normalize("NFKD", v.casefold())
-        return " ".join("".join(c for c in flat if not unicodedata.combining(c)).replace("ı", "i").split())
-
-    return s.map(one)
+    return s.map(lambda v: None if v is None else fold_word(v))
 
 
 @F.pandas_udf(StringType())

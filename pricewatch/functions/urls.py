@@ -310,7 +310,7 @@ def title_from_url(c: Column, hosts: list[tuple[str, str]] | None = None) -> Col
     slug = F.replace(F.replace(F.substring_index(last, "-p", 1), F.lit(".html"), F.lit("")), F.lit("-"), F.lit(" "))
     words = F.filter(F.split(one_space(slug), " "), lambda w: w != "")
     named = F.array_join(
-        F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20)))), " "
+        F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), " "
     )
     bare_host = F.upper(F.substring_index(F.regexp_replace(host(url), r"^www\.", ""), ".", 1))
     return (

@@ -247,8 +247,12 @@ def jsonld_price(objects: Column) -> Column:
 
 
 # --- marketplace texts ------------------------------------------------------
+#: Characters of context on either side of an amount.
+CONTEXT_CHARS = 56
+
+
 def _amounts(text: Column, pattern: str) -> Column:
-    """Array of (amount, before, after): every match of the pattern with up to 56 characters on either side.
+    """Array of (amount, before, after): every match of the pattern with up to CONTEXT_CHARS characters on either side.
 
     The text is cut before each match, so the surroundings come from the neighbouring pieces.
     """
@@ -257,7 +261,7 @@ def _amounts(text: Column, pattern: str) -> Column:
 
 
 def _around(pieces: Column) -> Column:
-    reach = 16  # pieces that can make up 56 characters
+    reach = CONTEXT_CHARS + 1  # every piece after the first holds an amount, so at least one character
 
     def joined(some):
         return F.replace(F.array_join(some, ""), F.lit("\x1f"), F.lit(""))
@@ -268,8 +272,8 @@ def _around(pieces: Column) -> Column:
         after = F.concat(rest, joined(F.slice(pieces, i + 2, F.lit(reach))))
         return rec(
             amount=F.substring_index(piece, "\x1f", 1),
-            before=F.right(before, F.lit(56)),
-            after=F.left(after, F.lit(56)),
+            before=F.right(before, F.lit(CONTEXT_CHARS)),
+            after=F.left(after, F.lit(CONTEXT_CHARS)),
             i=i)
 
     return F.filter(F.transform(pieces, one), lambda m: m["i"] > 0)

@@ -2,56 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
 
 from ..functions.money import format_money
-from ..functions.text import contains_any, fold_text, match_phrase, specificity, text_or_empty
+from ..functions.text import contains_any, fold_text, fold_word, match_phrase, rec, specificity, text_or_empty
 
-EXPRESSION_KEYWORDS = 200
 
-
-def fold_list(spark, words: list[str]) -> list[str]:
-    """Fold a short list with the same expression that folds the text."""
-    if not words:
-        return []
-    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string")
-    return [r["w"] for r in df.select("i", fold_text(F.col("w")).alias("w")).orderBy("i").collect()]
-
-
-def first_keyword(folded: Column, keywords: list[str], folded_keywords: list[str]) -> Column:
-    """First keyword, in list order, that is a substring of the folded text; null when none is."""
-    rule = F.lit(None).cast("string")
-    for word, low in reversed(list(zip(keywords, folded_keywords))):
-        rule = F.when(F.contains(folded, F.lit(low)), F.lit(word)).otherwise(rule)
-    return rule
-
-
-def _automaton(keywords: list[str], folded_keywords: list[str], folded_excluded: list[str]):
-    """All keywords in one pass over the text, for lists too long for an expression."""
-
-    @F.pandas_udf(StringType())
-    def first(texts: pd.Series) -> pd.Series:
-        import ahocorasick
-
-        auto = ahocorasick.Automaton()
-        for i, low in reversed(list(enumerate(folded_keywords))):
-            if low:
-                auto.add_word(low, i)
-        always = min((i for i, low in enumerate(folded_keywords) if not low), default=len(keywords))
-        auto.make_automaton()
-
-        def one(text):
-            if text is None or any(w in text for w in folded_excluded):
-                return None
-            best = min((i for _, i in auto.iter(text)), default=len(keywords)) if len(auto) else len(keywords)
-            best = min(best, always)
-            return keywords[best] if best < len(keywords) else None
-
-        return texts.map(one)
-
-    return first
+def first_keyword(folded: Column, keywords: list[str]) -> Column:
+    """First keyword, in list order, that is a substring of the folded text; null when none is. One literal list of any length."""
+    if not keywords:
+        return F.lit(None).cast("string")
+    listed = F.array(*[rec(word=F.lit(w), low=F.lit(fold_word(w))) for w in keywords])
+    return F.try_element_at(F.filter(listed, lambda k: F.contains(folded, k["low"])), F.lit(1))["word"]
 
 
 def match_keywords(messages: DataFrame, keywords: list[str], text: str = "text") -> DataFrame:
@@ -61,7 +23,7 @@ def match_keywords(messages: DataFrame, keywords: list[str], text: str = "text")
 
 def drop_excluded(messages: DataFrame, excluded: list[str], text: str = "text") -> DataFrame:
     """Messages that hold none of the excluded words."""
-    low = fold_list(messages.sparkSession, excluded)
+    low = [fold_word(w) for w in excluded]
     return messages.where(~contains_any(fold_text(text_or_empty(F.col(text))), low))
 
 
@@ -70,15 +32,11 @@ def keyword_hits(messages: DataFrame, keywords: list[str], excluded: list[str],
 
     The text is folded once; a message without a hit yields an empty list and vanishes in the explode.
     """
-    spark = messages.sparkSession
-    low, out = fold_list(spark, keywords), fold_list(spark, excluded)
+    out = [fold_word(w) for w in excluded]
     folded = fold_text(text_or_empty(F.col(text)))
-    if len(keywords) > EXPRESSION_KEYWORDS:
-        found = messages.withColumn("keyword", _automaton(keywords, low, out)(folded))
-        return found.where(F.col("keyword").isNotNull())
 
     def rule(f):
-        hit = first_keyword(f, keywords, low)
+        hit = first_keyword(f, keywords)
         return F.when(~contains_any(f, out), hit) if out else hit
 
     found = F.array_compact(F.transform(F.array(folded), rule))

@@ -209,3 +209,32 @@ def test_checks(spark):
     assert values(spark, checks.empty_search_is_normal, rows, "a string, b string") == [True, False, True]
     assert values(spark, lambda a: checks.block_error(F.lit(200), a), ["Amazon bot korumasi", "x"]) == [True, False]
     assert values(spark, checks.missing_price_error, ["Fiyat yakalanamadı", "captcha"]) == [True, False]
+
+
+def test_fold_text_on_every_letter_of_its_blocks(spark):
+    from pricewatch.functions import text
+
+    letters = [chr(c) for block in text._BLOCKS for c in block] + [chr(c) for c in range(0xA0)]
+    rows = spark.createDataFrame([(x,) for c in letters for x in (c, f"a{c}b {c}")], "s string")
+    for r in rows.select("s", text.fold_text(F.col("s")).alias("f")).collect():
+        assert r.f == text.fold_word(r.s), r.s
+
+
+def test_long_keyword_lists_use_the_same_rule(spark):
+    from pricewatch.operators import matching
+
+    words = [f"kelime{i}x" for i in range(400)] + ["ÇANTA", "canta"]
+    rows = spark.createDataFrame([(1, "bir kelime399x ve kelime12x"), (2, "Sırt çantası"), (3, "yok"), (4, None)], "id int, text string")
+    assert [(r.id, r.keyword) for r in matching.match_keywords(rows, words).orderBy("id").collect()] == [(1, "kelime12x"), (2, "ÇANTA")]
+    assert matching.keyword_hits(rows, words, ["sirt"]).count() == 1 and matching.match_keywords(rows, []).count() == 0
+
+
+def test_long_lists_are_not_cut(spark):
+    from pricewatch.functions import labels, urls
+
+    parts = " / ".join(f"deger{i}" for i in range(10_500))
+    got = spark.createDataFrame([(f"Urun / {parts}",)], "t string").select(labels.clean_display_title(F.col("t")).alias("t")).first().t
+    assert got.endswith("deger10499")
+    word = "a" * 5000
+    got = spark.createDataFrame([(f"https://shop.example.org/{word}-p-1",)], "u string").select(urls.title_from_url(F.col("u")).alias("t")).first().t
+    assert got == "A" + word[1:]

@@ -227,3 +227,10 @@ def test_colour_links_and_used_list(spark):
     p = parsed(spark, ("amazon", "https://www.amazon.com.tr/dp/B000000001", html))
     assert [(r.label, r.url) for r in listing.colour_links(p).collect()] == [("Mavi", "https://www.amazon.com.tr/dp/B000000001?th=1")]
     assert listing.used_offer_links(p).first().used_url == "https://www.amazon.com.tr/gp/offer-listing/B000000001?condition=used"
+
+
+def test_member_price_context_reaches_past_many_amounts(spark):
+    for n in (3, 12, 16):
+        text = "premium ile kupon" + "1TL" * n + " 99TL"
+        row = spark.createDataFrame([(text,)], "t string").select(evidence.member_prices(F.col("t")).alias("p")).first()
+        assert D("99") not in [x for x in row.p or []], n
