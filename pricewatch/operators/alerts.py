@@ -199,21 +199,28 @@ def mark_forced(obs: DataFrame, returns: DataFrame) -> DataFrame:
 
 
 def clear_alerts_after_missing(obs: DataFrame, missing: DataFrame, reset_scope: str = "watch") -> DataFrame:
-    """Effect of a vanished item or price on the alert memory.
+    """Effect of a vanished item or price on the alert memory: an `epoch` of each observation, for `decisions_by_epoch`.
 
     With scope `watch` (the default) only the watch entry is cleared; offer entries keep their memory, so an item
-    that returns at the same price is not alerted again before the usual rules say so. With scope `offer` the
-    memory of the offers restarts at every disappearance: observations get an `epoch` counting the disappearances
-    before them and a new offer key per epoch. `missing`: watch_key, missing_at.
+    that returns at the same price is not alerted again before the usual rules say so: the epoch is 0. With scope `offer`
+    the memory of the offers restarts at every disappearance: the epoch counts the disappearances up to an observation.
+    Offer keys, and so the price bounds, stay as they are. `missing`: watch_key, missing_at.
     """
     if reset_scope == "watch":
         return obs.withColumn("epoch", F.lit(0).cast("bigint"))
-    marks = missing.select(
-        "watch_key", F.col("missing_at").alias(TIME), F.lit(1).alias("_gone"), F.lit(-1).cast("bigint").alias("seq")
-    )
+    # a disappearance comes before the observations of its moment
+    marks = missing.select("watch_key", F.col("missing_at").alias(TIME), F.lit(1).alias("_gone"))
     both = obs.withColumn("_gone", F.lit(0)).unionByName(marks, allowMissingColumns=True)
-    scan = HistoryScan(["watch_key"], TIME, ["seq"])
+    both = both.withColumn("_order", F.lit(1) - F.col("_gone"))
+    scan = HistoryScan(["watch_key"], TIME, ["_order", "seq"])
     counted = scan.apply(both, lambda r, s: s.add(r, {"epoch": ("sum", F.col("_gone").cast("bigint"))}, True))
-    return counted.where("_gone = 0").drop("_gone").withColumn(
-        "offer_key", F.concat_ws("#", "offer_key", F.col("epoch").cast("string"))
-    )
+    return counted.where("_gone = 0").drop("_gone", "_order")
+
+
+def decisions_by_epoch(obs: DataFrame, state: DataFrame | None = None, **options) -> DataFrame:
+    """`alert_decisions` whose memory restarts with each epoch of an offer; the memory in `state` belongs to epoch 0."""
+    own = F.when(F.col("epoch") == 0, F.col("offer_key").cast("string")).otherwise(F.concat_ws("#", "offer_key", "epoch"))
+    keyed = obs.withColumns({"_offer_key": F.col("offer_key"), "offer_key": own})
+    if state is not None:
+        state = state.withColumn("offer_key", F.col("offer_key").cast("string"))
+    return alert_decisions(keyed, state, **options).withColumn("offer_key", F.col("_offer_key")).drop("_offer_key")

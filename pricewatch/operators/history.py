@@ -112,28 +112,30 @@ def state_after(decided: DataFrame) -> DataFrame:
     )
 
 
-def watch_state_after(cycles: DataFrame, offers: DataFrame, reset_scope: str = "watch") -> DataFrame:
+def watch_state_after(cycles: DataFrame, offers: DataFrame, alerts: DataFrame | None = None, sites: list[str] | None = None) -> DataFrame:
     """Watch state after its last check: error fields, last time out of stock, keys of the offers of that check.
 
-    `cycles`: watch_key, observed_at, seq, outcome, reason, status_code. `offers`: watch_key, seq, offer_key.
-    A success clears the out-of-stock memory only when its stock alert was due (see `stock_return`), which is the
-    case for every success that follows out-of-stock; failures and empty searches in between keep it.
-    `last_missing_at` is the last check whose outcome means that the item or its price vanished.
+    `cycles`: watch_key, site, observed_at, seq, outcome, reason, status_code. `offers`: watch_key, seq, offer_key.
+    `alerts`: watch_key, observed_at, seq of checks that left an alert memory in the watch entry.
+    On the sites with stock alerts (see `stock_return`) a success clears the out-of-stock memory; on all others it stays.
+    Failures and empty searches keep it. `last_missing_at` is the last check at which the item or its price vanished while
+    the entry held an alert memory; vanishing clears that memory, so a second one in a row leaves no mark.
     """
     from ..functions.checks import missing_price_error
 
     keys = ["watch_key"]
+    wanted = fixed.STOCK_RETURN_SITES if sites is None else sites
     pos = F.struct("observed_at", "seq")
     missing = (F.col("outcome") == "out_of_stock") | (
         (F.col("outcome") == "failed") & missing_price_error(F.col("reason"))
     )
     state = cycles.groupBy(*keys).agg(
-        F.max(F.struct("observed_at", "seq", "outcome", "reason", "status_code")).alias("last"),
+        F.max(F.struct("observed_at", "seq", "outcome", "reason", "status_code", "site")).alias("last"),
         F.max(F.when(F.col("outcome") == "out_of_stock", pos)).alias("oos"),
         F.max(F.when(F.col("outcome") == "ok", pos)).alias("ok"),
-        F.max(F.when(missing, F.col("observed_at"))).alias("last_missing_at"),
     )
     failed = F.col("last.outcome") == "failed"
+    kept = ~F.col("last.site").isin(wanted) | F.col("ok").isNull() | (F.col("oos") > F.col("ok"))
     state = state.select(
         *keys,
         F.col("last.seq").alias("seq"),
@@ -141,11 +143,17 @@ def watch_state_after(cycles: DataFrame, offers: DataFrame, reset_scope: str = "
         F.col("last.outcome").alias("last_outcome"),
         F.when(failed, F.col("last.reason")).alias("last_error"),
         F.when(failed, F.col("last.status_code")).alias("last_error_status"),
-        F.when(F.col("ok").isNull() | (F.col("oos") > F.col("ok")), F.col("oos.observed_at")).alias(
-            "last_out_of_stock_at"
-        ),
-        "last_missing_at",
+        F.when(F.coalesce(kept, F.lit(True)), F.col("oos.observed_at")).alias("last_out_of_stock_at"),
     )
+    if alerts is None:
+        state = state.withColumn("last_missing_at", F.lit(None).cast("timestamp"))
+    else:
+        marks = cycles.where(missing).select(*keys, "observed_at", "seq", F.lit("missing").alias("kind")).union(
+            alerts.select(*keys, "observed_at", "seq", F.lit("alert")))
+        scan = HistoryScan(keys, "observed_at", ["seq"])
+        after = scan.apply(marks, lambda r, s: s.add(r, {"_before": ("last", F.col("kind"))}, include_current=False))
+        stamped = after.where("kind = 'missing' and _before = 'alert'").groupBy(*keys).agg(F.max("observed_at").alias("last_missing_at"))
+        state = state.join(stamped, keys, "left")
     # The offers of one check of one watch are at most the scan limit, so this list is bounded.
     keys_of_check = offers.groupBy("watch_key", "seq").agg(F.sort_array(F.collect_set("offer_key")).alias("offer_keys"))
     return state.join(keys_of_check, ["watch_key", "seq"], "left").withColumn(

@@ -74,20 +74,26 @@ def price_bounds(spark, folder):
     )
 
 
-def alert_fold(obs: str, order: str, cols: str) -> str:
-    hit = """(o.price <= o.target_price AND (f.lap IS NULL OR o.price < f.lap OR
+SQL_HIT = """(o.price <= o.target_price AND (f.lap IS NULL OR o.price < f.lap OR
       (CASE WHEN o.daily THEN o.observed_at - f.lat >= INTERVAL 24 HOUR ELSE NOT f.below END)))"""
+
+
+def fold_tables(order: str) -> str:
+    """Tables o (observations numbered) and f (alert memory after each), by the rule row after row. Needs obs and WITH RECURSIVE."""
     return f"""
-WITH RECURSIVE {obs},
 o AS (SELECT *, row_number() OVER (PARTITION BY offer_key ORDER BY {order}) AS rn FROM obs),
 f AS (
   SELECT offer_key, rn, price <= target_price AS below, price <= target_price AS sent,
          CASE WHEN price <= target_price THEN price END AS lap, CASE WHEN price <= target_price THEN observed_at END AS lat
   FROM o WHERE rn = 1
   UNION ALL
-  SELECT o.offer_key, o.rn, o.price <= o.target_price, {hit}, CASE WHEN {hit} THEN o.price ELSE f.lap END,
-         CASE WHEN {hit} THEN o.observed_at ELSE f.lat END
-  FROM f JOIN o ON o.offer_key = f.offer_key AND o.rn = f.rn + 1)
+  SELECT o.offer_key, o.rn, o.price <= o.target_price, {SQL_HIT}, CASE WHEN {SQL_HIT} THEN o.price ELSE f.lap END,
+         CASE WHEN {SQL_HIT} THEN o.observed_at ELSE f.lat END
+  FROM f JOIN o ON o.offer_key = f.offer_key AND o.rn = f.rn + 1)"""
+
+
+def alert_fold(obs: str, order: str, cols: str) -> str:
+    return f"""WITH RECURSIVE {obs}, {fold_tables(order)}
 SELECT {cols}, f.sent FROM o JOIN f ON o.offer_key = f.offer_key AND o.rn = f.rn
 """
 
@@ -117,14 +123,55 @@ def alert_decisions_dense(spark, folder):
     return alerts.alert_decisions(e).select("offer_key", F.col("seq").alias("event_id"), "price", "sent")
 
 
-@query(f"""WITH {SQL_BOUNDS}
+LAST_LINE = "observed_at DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC"
+LINE_ORDER = "observed_at, l_orderkey, l_linenumber, l_suppkey"
+
+
+@query(f"""WITH RECURSIVE {SQL_BOUNDS}, {fold_tables(LINE_ORDER)},
+memory AS (SELECT offer_key, arg_max(lap, rn) AS last_alerted_price, arg_max(lat, rn) AS last_alerted_at FROM f WHERE sent GROUP BY 1),
+now AS (SELECT * FROM bounds QUALIFY row_number() OVER (PARTITION BY offer_key ORDER BY {LAST_LINE}) = 1)
 SELECT offer_key, price AS last_price, min_price, max_price, min_price_at, max_price_at, observed_at AS last_checked_at,
-       price <= target_price AS was_below_target
-FROM bounds QUALIFY row_number() OVER (PARTITION BY offer_key
-  ORDER BY observed_at DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC) = 1""")
+       price <= target_price AS was_below_target, last_alerted_price, last_alerted_at FROM now LEFT JOIN memory USING (offer_key)""")
 def state_after(spark, folder):
-    decided = bounded(spark, folder).withColumns({"sent": F.lit(False), "forced_sent": F.lit(False)})
-    return history.state_after(decided).drop("last_alerted_price", "last_alerted_at")
+    return history.state_after(alerts.alert_decisions(bounded(spark, folder)))
+
+
+SQL_GONE = "gone AS (SELECT DISTINCT l_partkey AS watch_key, CAST(l_shipdate AS TIMESTAMP) AS missing_at FROM lineitem WHERE l_quantity = 13)"
+
+
+@query(f"""WITH RECURSIVE {SQL_OBS}, {SQL_GONE},
+keyed AS (SELECT obs.* EXCLUDE (offer_key), offer_key AS own, offer_key || '#' ||
+  (SELECT count(*) FROM gone WHERE watch_key = offer_key AND missing_at <= observed_at) AS offer_key FROM obs),
+{fold_tables(LINE_ORDER).replace("FROM obs)", "FROM keyed)")}
+SELECT o.own AS offer_key, o.observed_at, o.l_orderkey, o.l_linenumber, o.l_suppkey, f.sent FROM o JOIN f ON o.offer_key = f.offer_key AND o.rn = f.rn""")
+def alerts_after_missing(spark, folder):
+    """Scope `offer`: the alert memory of an offer restarts whenever its item vanished."""
+    obs = t.observations(spark, folder).withColumn("watch_key", F.col("offer_key"))
+    gone = t.lines(spark, folder).where("l_quantity = 13").select(F.col("l_partkey").alias("watch_key"), F.col("observed_at").alias("missing_at")).distinct()
+    decided = alerts.decisions_by_epoch(alerts.clear_alerts_after_missing(obs, gone, "offer"))
+    return decided.select("offer_key", "observed_at", *t.order_of_lines(), "sent")
+
+
+@query(alert_fold(SQL_OBS, LINE_ORDER, "o.offer_key, o.observed_at, o.l_orderkey, o.l_linenumber, o.l_suppkey"))
+def alerts_after_missing_watch(spark, folder):
+    """Scope `watch`: offers keep their memory."""
+    obs = t.observations(spark, folder).withColumn("watch_key", F.col("offer_key"))
+    gone = t.lines(spark, folder).where("l_quantity = 13").select(F.col("l_partkey").alias("watch_key"), F.col("observed_at").alias("missing_at")).distinct()
+    decided = alerts.decisions_by_epoch(alerts.clear_alerts_after_missing(obs, gone, "watch"))
+    return decided.select("offer_key", "observed_at", *t.order_of_lines(), "sent")
+
+
+@query(f"""WITH RECURSIVE {SQL_BOUNDS}, {fold_tables(LINE_ORDER)}
+SELECT o.offer_key, o.observed_at, o.l_orderkey, o.l_linenumber, o.l_suppkey, b.min_price, b.max_price, b.min_price_at, f.sent
+FROM o JOIN f ON o.offer_key = f.offer_key AND o.rn = f.rn
+JOIN bounds b ON b.offer_key = o.offer_key AND b.rn = o.rn WHERE o.observed_at >= TIMESTAMP '{t.FIRST_HALF} 00:00:00'""")
+def alerts_from_state(spark, folder):
+    """The later half of the history, decided on the state that the first half left: equal to deciding on all of it."""
+    obs = t.observations(spark, folder)
+    early = F.col("observed_at") < F.lit(t.FIRST_HALF).cast("timestamp")
+    state = history.state_after(alerts.alert_decisions(history.price_bounds(obs.where(early))))
+    decided = alerts.alert_decisions(history.price_bounds(obs.where(~early), state), state)
+    return decided.select("offer_key", "observed_at", *t.order_of_lines(), "min_price", "max_price", "min_price_at", "sent")
 
 
 SQL_CYCLES = """cyc AS (
@@ -161,19 +208,28 @@ def stock_return(spark, folder):
 
 
 @query(f"""WITH {SQL_CYCLES},
-last AS (SELECT * FROM cyc QUALIFY row_number() OVER (PARTITION BY watch_key
-  ORDER BY observed_at DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC) = 1),
-pos AS (SELECT watch_key, max(CASE WHEN outcome = 'out_of_stock' THEN (observed_at, l_orderkey, l_linenumber, l_suppkey) END) AS oos,
-               max(CASE WHEN outcome = 'ok' THEN (observed_at, l_orderkey, l_linenumber, l_suppkey) END) AS ok,
-               max(CASE WHEN outcome = 'out_of_stock' THEN observed_at END) AS oos_at FROM cyc GROUP BY 1)
+c AS (SELECT *, row_number() OVER (PARTITION BY watch_key ORDER BY {LINE_ORDER}) AS rn, watch_key % 2 = 0 AS returns,
+        outcome = 'out_of_stock' OR (outcome = 'failed' AND l_suppkey % 2 = 0) AS missing, outcome = 'ok' AND price < 20000 AS alerted FROM cyc),
+m AS (SELECT *, last_value(CASE WHEN missing THEN 0 WHEN alerted THEN 1 END IGNORE NULLS) OVER (PARTITION BY watch_key ORDER BY rn
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS memory FROM c),
+pos AS (SELECT watch_key, max(rn) AS rn, max(CASE WHEN outcome = 'out_of_stock' THEN rn END) AS oos, max(CASE WHEN outcome = 'ok' THEN rn END) AS ok,
+          max(CASE WHEN outcome = 'out_of_stock' THEN observed_at END) AS oos_at, max(CASE WHEN missing AND memory = 1 THEN observed_at END) AS last_missing_at
+        FROM m GROUP BY 1)
 SELECT watch_key, observed_at AS last_checked_at, outcome AS last_outcome,
-       CASE WHEN oos IS NOT NULL AND (ok IS NULL OR oos > ok) THEN oos_at END AS last_out_of_stock_at
-FROM last JOIN pos USING (watch_key)""")
+  CASE WHEN outcome = 'failed' THEN CASE WHEN l_suppkey % 2 = 0 THEN 'Fiyat bulunamadı' ELSE 'x' END END AS last_error,
+  CASE WHEN outcome = 'failed' THEN CAST(500 + l_linenumber AS INTEGER) END AS last_error_status,
+  CASE WHEN NOT returns OR ok IS NULL OR oos > ok THEN oos_at END AS last_out_of_stock_at, last_missing_at,
+  CASE WHEN outcome = 'ok' THEN 'k' || l_suppkey ELSE '' END AS offer_keys
+FROM pos JOIN c USING (watch_key, rn)""")
 def watch_state_after(spark, folder):
-    c = cycles_of_lines(spark, folder).withColumns({"reason": F.col("outcome"), "status_code": F.lit(0)})
-    none = c.limit(0).select("watch_key", "seq", F.lit("").alias("offer_key"))
-    state = history.watch_state_after(c, none)
-    return state.select("watch_key", "last_checked_at", "last_outcome", "last_out_of_stock_at")
+    """Even watches are of a site with stock alerts, odd ones are not."""
+    vanished = F.col("l_suppkey") % 2 == 0
+    c = cycles_of_lines(spark, folder).withColumns({
+        "site": F.when(F.col("watch_key") % 2 == 0, "bengurme").otherwise("amazon"),
+        "reason": F.when(vanished, "Fiyat bulunamadı").otherwise("x"), "status_code": (500 + F.col("l_linenumber")).cast("int")})
+    told = c.where("outcome = 'ok' and price < 20000").select("watch_key", "observed_at", "seq")
+    found = c.where("outcome = 'ok'").select("watch_key", "seq", F.concat(F.lit("k"), "l_suppkey").alias("offer_key"))
+    return history.watch_state_after(c, found, told).withColumn("offer_keys", F.array_join("offer_keys", ","))
 
 
 # --- offers -----------------------------------------------------------------
@@ -266,11 +322,11 @@ def scan_limit(spark, folder):
 
 
 @query(f"""WITH {SQL_OBS} SELECT o.offer_key, o.observed_at, o.l_orderkey, o.l_linenumber, o.l_suppkey, o.price, p.p_brand
-FROM obs o JOIN part p ON o.offer_key = p.p_partkey WHERE p.p_size > 25""")
+FROM obs o JOIN part p ON o.offer_key = p.p_partkey""")
 def offers_for_watches(spark, folder):
     page = F.concat(F.lit("https://shop.example.org/p/"), F.col("l_partkey"), F.lit("/#top"))
     rows = t.lines(spark, folder).withColumns({"site": F.lit("org"), "page_url": page})
-    watches = t.parts(spark, folder).where("p_size > 25").select(
+    watches = t.parts(spark, folder).select(
         F.lit("org").alias("site"), F.concat(F.lit("HTTPS://SHOP.example.org/p/"), "p_partkey").alias("url"), "p_brand"
     )
     return offers.offers_for_watches(watches, rows).select(
@@ -451,23 +507,26 @@ def stock_by_seller(spark, folder):
     return summary.stock_by_seller(gaps).drop("product_title", "product_url")
 
 
-@query("""WITH st AS (SELECT *, row_number() OVER (PARTITION BY 'https://shop.example.org/o/' || l_suppkey
-    ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC) AS rn FROM lineitem WHERE l_returnflag = 'A'),
-first AS (SELECT l_partkey % 50 AS src, min((l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS pos FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1),
-lab AS (SELECT src, p_name AS label FROM first JOIN part ON p_partkey = pos[3])
-SELECT s_suppkey, CASE WHEN rn IS NOT NULL THEN 'state_result_group_org_https_shop_example_org_w_' || (st.l_partkey % 50) ELSE '' END AS search_group,
-  CASE WHEN rn IS NOT NULL THEN lab.label ELSE '' END AS search_group_label
-FROM supplier LEFT JOIN st ON l_suppkey = s_suppkey AND rn = 1 LEFT JOIN lab ON lab.src = st.l_partkey % 50""".replace("pos[3]", "struct_extract_at(pos, 3)"))
+@query("""WITH st AS (SELECT *, l_partkey % 50 AS src, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC) AS rn
+  FROM lineitem WHERE l_partkey % 50 % 2 = 0 OR l_partkey % 50 % 5 = 0),
+first AS (SELECT src, min((l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS pos FROM st GROUP BY 1),
+lab AS (SELECT src, p_name AS label FROM first JOIN part ON p_partkey = struct_extract_at(pos, 3))
+SELECT s_suppkey, CASE WHEN rn IS NOT NULL THEN 'state_result_group_zara_https_www_zara_com_tr_w' || st.src ELSE '' END AS search_group,
+  coalesce(lab.label, '') AS search_group_label
+FROM supplier LEFT JOIN st ON l_suppkey = s_suppkey AND rn = 1 LEFT JOIN lab ON lab.src = st.src""")
 def attach_groups(spark, folder):
     names = t.parts(spark, folder).select("p_partkey", F.col("p_name").alias("title"))
-    rows = t.lines(spark, folder).where("l_returnflag = 'A'")
+    rows = t.lines(spark, folder)
+    source = F.col("l_partkey") % 50
     state = rows.join(names, rows.l_partkey == names.p_partkey).select(
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"), F.lit("org").alias("site"),
-        F.concat(F.lit("https://shop.example.org/w/"), F.col("l_partkey") % 50).alias("configured_url"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"), F.lit("").alias("site"),
+        F.concat(F.lit("https://www.zara.com/tr/w"), source).alias("configured_url"),
         F.concat(F.lit("https://shop.example.org/o/"), "l_suppkey").alias("url"), F.lit("").alias("watch_name"), "title",
-        F.lit(True).alias("include_variations"), F.lit("").alias("search_group"), F.lit("").alias("search_group_label"),
+        (source % 5 == 0).alias("include_variations"), F.lit("").alias("search_group"), F.lit("").alias("search_group_label"),
     )
-    cards = state.limit(0).select("url", "include_variations")
+    number = F.col("p_partkey") % 50
+    cards = t.parts(spark, folder).select(F.concat(F.lit("https://www.zara.com/tr/w"), number, F.lit("#top")).alias("url"),
+                                          (number % 2 == 0).alias("include_variations"))
     view = t.load(spark, folder, "supplier").select(
         "s_suppkey", F.concat(F.lit("https://shop.example.org/o/"), "s_suppkey", F.lit("/#x")).alias("product_url"),
         F.lit("").alias("search_group"), F.lit("").alias("search_group_label"),
@@ -475,29 +534,33 @@ def attach_groups(spark, folder):
     return summary.attach_groups(view, state, cards).select("s_suppkey", "search_group", "search_group_label")
 
 
-@query("""WITH f AS (SELECT l_suppkey, arg_min(p_name, (l_orderkey, l_linenumber, l_partkey)) AS title FROM lineitem JOIN part ON l_partkey = p_partkey
-  WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY 1)
+SQL_SOURCE = """CASE WHEN l_suppkey % 3 = 2 OR l_returnflag = 'N' THEN 2 WHEN l_suppkey % 3 = 1 OR l_returnflag = 'A' THEN 1 ELSE 0 END"""
+
+
+@query(f"""WITH f AS (SELECT l_suppkey, arg_min(p_name, ({SQL_SOURCE}, l_orderkey, l_linenumber, l_partkey)) AS title
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
 SELECT s_suppkey AS card_pos, CASE WHEN s_suppkey % 5 = 0 THEN s_name ELSE coalesce(title, 'O' || s_suppkey) END AS display_name
 FROM supplier LEFT JOIN f ON l_suppkey = s_suppkey""")
 def learned_titles(spark, folder):
+    """Every line is known from one of the three sources."""
     link = lambda k: F.concat(F.lit("https://shop.example.org/o"), F.col(k))
     cards = t.load(spark, folder, "supplier").select(
         F.col("s_suppkey").alias("card_pos"), F.when(F.col("s_suppkey") % 5 == 0, F.col("s_name")).alias("name"),
         F.array(F.concat(link("s_suppkey"), F.lit("?ref=x"))).alias("urls"),
     )
     names = t.parts(spark, folder).select("p_partkey", F.col("p_name").alias("product_title"))
-    rows = t.lines(spark, folder).where("l_returnflag = 'R' and l_quantity > 45")
+    rows = t.lines(spark, folder)
     known = rows.join(names, rows.l_partkey == names.p_partkey).select(
-        F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("seq"), link("l_suppkey").alias("product_url"), "product_title"
+        F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("seq"), link("l_suppkey").alias("product_url"), "product_title",
+        F.expr(SQL_SOURCE).alias("source"),
     )
-    none = known.limit(0)
-    state = none.select("seq", F.col("product_url").alias("configured_url"), F.col("product_title").alias("title"))
-    return summary.learned_titles(cards, known, none, state)
+    state = known.where("source = 2").select("seq", F.col("product_url").alias("configured_url"), F.col("product_title").alias("title"))
+    return summary.learned_titles(cards, known.where("source = 0"), known.where("source = 1"), state)
 
 
 @query("""WITH st AS (SELECT l_partkey, CAST(arg_max(l_extendedprice, (l_shipdate, l_orderkey, l_linenumber, l_suppkey)) AS DECIMAL(18,2)) AS price,
   CAST(min(l_extendedprice) AS DECIMAL(18,2)) AS lo, CAST(max(l_extendedprice) AS DECIMAL(18,2)) AS hi FROM lineitem GROUP BY 1),
-w AS (SELECT p_partkey, p_partkey % 100 AS grp, CAST(CAST(p_retailprice AS DECIMAL(18,2)) * 20 AS DECIMAL(18,2)) AS target FROM part WHERE p_size < 10)
+w AS (SELECT p_partkey, p_partkey % 100 AS grp, CAST(CAST(p_retailprice AS DECIMAL(18,2)) * 20 AS DECIMAL(18,2)) AS target FROM part)
 SELECT p_partkey, l_partkey, price,
   CASE WHEN price > target * 5 AND price - target >= 50000 THEN lo ELSE least(lo, price) END AS min_price,
   CASE WHEN price > target * 5 AND price - target >= 50000 THEN hi ELSE greatest(hi, price) END AS max_price
@@ -510,7 +573,7 @@ def carry_not_due(spark, folder):
         F.col("l_partkey").cast("string").alias("offer_key"), "last_price", "min_price", "max_price",
         F.lit("").alias("title"), F.lit("").alias("url"), F.lit(False).alias("is_warehouse"),
     )
-    watches = t.parts(spark, folder).where("p_size < 10").select(
+    watches = t.parts(spark, folder).select(
         F.col("p_partkey").cast("string").alias("watch_key"), "target_price", F.col("p_name").alias("name"),
         F.lit("org").alias("site"), F.lit("").alias("tracking_id"), F.lit("u").alias("url"), F.lit("S").alias("seller"),
     )
@@ -822,3 +885,21 @@ def purge_condition(spark, folder):
     seen = keyed.select(F.lit("Amazon").alias("seller"), "is_warehouse")
     _, state, _, _ = maintenance.purge_condition(keyed, watch, seen, version=0)
     return state.select("watch_key", F.size("offer_keys").cast("bigint").alias("kept"))
+
+
+@query("""WITH st AS (SELECT l_partkey AS offer_key, CAST(arg_max(l_extendedprice, (l_shipdate, l_orderkey, l_linenumber, l_suppkey)) AS DECIMAL(18,2)) AS last_price
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
+SELECT offer_key, last_price, CAST(NULL AS DECIMAL(18,2)) AS min_price, CAST(NULL AS TIMESTAMP) AS max_price_at FROM st""")
+def reset_price_history_state(spark, folder):
+    state, _, _ = maintenance.reset_price_history(kept_state(spark, folder), summary_rows(spark, folder))
+    return state.select("offer_key", "last_price", "min_price", "max_price_at")
+
+
+@query("""WITH used AS (SELECT DISTINCT l_partkey, l_suppkey, l_returnflag = 'R' AS u FROM lineitem)
+SELECT l_partkey, l_suppkey, u AS is_warehouse FROM used WHERE NOT u""")
+def purge_condition_offers(spark, folder):
+    rows = t.lines(spark, folder).select("l_partkey", "l_suppkey", (F.col("l_returnflag") == "R").alias("is_warehouse")).distinct()
+    keyed = rows.withColumns({"offer_key": F.concat_ws("/", "l_partkey", "l_suppkey", "is_warehouse"), "site": F.lit("amazon")})
+    watch = keyed.groupBy(F.col("l_partkey").alias("watch_key")).agg(F.collect_set("offer_key").alias("offer_keys"))
+    offers_left, _, _, _ = maintenance.purge_condition(keyed, watch, keyed.withColumn("seller", F.lit("Amazon")), version=0)
+    return offers_left.select("l_partkey", "l_suppkey", "is_warehouse")

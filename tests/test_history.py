@@ -139,7 +139,22 @@ def test_stock_return(spark):
         c.withColumns({"reason": F.lit("x"), "status_code": F.lit(0)}),
         spark.createDataFrame([("v", 1, "k1"), ("w", 4, "k2")], "watch_key string, seq bigint, offer_key string")).collect()}
     assert state["w"].last_out_of_stock_at == T0 + timedelta(hours=6) and state["w"].offer_keys == []
-    assert state["v"].last_out_of_stock_at is None and state["v"].offer_keys == ["k1"]
+    assert state["v"].last_out_of_stock_at == T0 and state["v"].offer_keys == ["k1"] and state["v"].last_missing_at is None
+
+
+def test_missing_is_marked_only_with_an_alert_memory(spark):
+    at = lambda h: T0 + timedelta(hours=h)
+    outcomes = {"w": ["ok", "out_of_stock", "out_of_stock", "ok", "failed"], "v": ["out_of_stock", "ok"], "u": ["ok", "ok"]}
+    rows = [(k, "bengurme", at(i), i, o, "x", 0) for k, all_ in outcomes.items() for i, o in enumerate(all_)]
+    cycles = spark.createDataFrame(rows, "watch_key string, site string, observed_at timestamp, seq bigint, outcome string, reason string, status_code int")
+    alerted = spark.createDataFrame([("w", at(0), 0), ("u", at(1), 1)], "watch_key string, observed_at timestamp, seq bigint")
+    none = spark.createDataFrame([], "watch_key string, seq bigint, offer_key string")
+    state = {r.watch_key: r for r in history.watch_state_after(cycles, none, alerted).collect()}
+    assert {k: r.last_missing_at for k, r in state.items()} == {"w": at(1), "v": None, "u": None}
+    assert {k: r.last_out_of_stock_at for k, r in state.items()} == {"w": None, "v": None, "u": None}
+    elsewhere = {r.watch_key: r for r in history.watch_state_after(cycles, none, alerted, sites=[]).collect()}
+    assert {k: r.last_out_of_stock_at for k, r in elsewhere.items()} == {"w": at(2), "v": at(0), "u": None}
+    assert state["w"].last_error == "x" and state["v"].last_error is None
 
 
 def test_reset_scope(spark):
@@ -147,5 +162,7 @@ def test_reset_scope(spark):
         [("w", "k", T0 + timedelta(hours=h), h, D(90), D(100), True) for h in (0, 2)],
         "watch_key string, offer_key string, observed_at timestamp, seq bigint, price decimal(18,4), target_price decimal(18,4), notify_once_in_24h boolean")
     gone = spark.createDataFrame([("w", T0 + timedelta(hours=1))], "watch_key string, missing_at timestamp")
-    count = lambda scope: alerts.alert_decisions(alerts.clear_alerts_after_missing(obs, gone, scope)).where("sent").count()
+    count = lambda scope: alerts.decisions_by_epoch(alerts.clear_alerts_after_missing(obs, gone, scope)).where("sent").count()
     assert (count("watch"), count("offer")) == (1, 2)
+    kept = alerts.decisions_by_epoch(history.price_bounds(alerts.clear_alerts_after_missing(obs, gone, "offer"))).collect()
+    assert {r.offer_key for r in kept} == {"k"} and all(r.min_price_at == T0 for r in kept)
