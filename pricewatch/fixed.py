@@ -62,6 +62,7 @@ FAILURE_MIN_LINKS = 6
 ERROR_NOTICE_HOUR = 11
 SEEN_MESSAGES = 5000
 REPLY_HOURS = 24
+RECENT_NOTIFICATIONS = 5
 LISTING_MIN_PRICE = Decimal("50")
 LISTING_MAX_PRICE = Decimal("1000000")
 REFERENCE_FLOOR_RATIO = Decimal("0.50")

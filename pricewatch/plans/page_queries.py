@@ -11,7 +11,7 @@ from ..operators import dom, evidence, listing, variants
 from ..session import ROCKSDB, ensure_checkpoint_dir
 from ..streaming import streams
 from . import tables as t
-from .queries import SQL_EVENT_OBS, SQL_HITS, alert_fold, query
+from .queries import SQL_BOUNDS, SQL_EVENT_OBS, SQL_HITS, SQL_OBS, fold_tables, query
 
 
 def archived(spark, folder) -> DataFrame:
@@ -158,28 +158,89 @@ def drain(spark, stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(folder + "/out")
 
 
-def streamed(spark, folder, name) -> DataFrame:
-    schema = t.load(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+def in_parts(spark, df: DataFrame, time: str, key: str, parts: int = 3) -> DataFrame:
+    """The rows of a table as a stream in the order of their time, in at least `parts` micro-batches.
+
+    Each part holds a span of time; the rows of a key within it share a file, so no key overtakes itself.
+    """
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/input-{uuid.uuid4().hex}"
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    cuts = df.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)])).first()[0] or []
+    place = sum((F.coalesce(at > c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    for i in range(len(cuts) + 1):
+        df.where(place == i).repartition(2, key).write.parquet(f"{folder}/part={i}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
 
 
 @query(f"WITH {SQL_HITS} SELECT message_id, channel, keyword FROM hits")
 def keyword_alert_stream(spark, folder):
-    messages = streamed(spark, folder, "documents").select(
-        F.lit("c").alias("chat_id"), F.col("doc_id").alias("message_id"), F.col("source").alias("channel"), F.lit("").alias("username"),
-        F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 60).alias("ts"), "text",
-    )
+    """Every message arrives twice, the second time in a later micro-batch."""
+    rows = t.messages(spark, folder).select(F.lit("c").alias("chat_id"), "message_id", "channel", F.lit("").alias("username"), "ts", "text")
+    stamped = rows.withColumn("arrival", F.col("ts")).unionByName(rows.withColumn("arrival", F.col("ts") + F.expr("interval 2 hours")))
+    messages = in_parts(spark, stamped, "arrival", "message_id").drop("arrival")
     alerts = streams.keyword_alerts(streams.dedup_messages(messages), t.KEYWORDS, t.EXCLUDED)
     return drain(spark, alerts.select("message_id", "channel", "keyword"))
 
 
-@query(alert_fold(SQL_EVENT_OBS, "observed_at, event_id", "o.offer_key, o.event_id, o.price"))
+SQL_EVENT_BOUNDS = SQL_BOUNDS.replace(SQL_OBS, SQL_EVENT_OBS).replace("ORDER BY observed_at, l_orderkey, l_linenumber, l_suppkey", "ORDER BY observed_at, event_id")
+
+
+@query(f"""WITH RECURSIVE {SQL_EVENT_BOUNDS}, {fold_tables("observed_at, event_id")}
+SELECT o.offer_key, o.event_id, o.price, b.min_price, b.max_price, b.min_price_at, b.max_price_at, f.sent
+FROM o JOIN f ON o.offer_key = f.offer_key AND o.rn = f.rn JOIN bounds b ON b.offer_key = o.offer_key AND b.rn = o.rn""")
 def offer_alert_stream(spark, folder):
-    checks = streamed(spark, folder, "events").select(
+    checks = t.load(spark, folder, "events").select(
         F.col("user_id").cast("string").alias("offer_key"), F.col("ts").cast("timestamp").alias("observed_at"), F.col("event_id").alias("seq"),
         F.col("value").cast("decimal(18,4)").alias("price"), F.lit(60).cast("decimal(18,4)").alias("target_price"),
         (F.col("user_id") % 3 > 0).alias("notify_once_in_24h"), F.lit(False).alias("forced_sent"),
     )
-    rows = drain(spark, streams.offer_alerts(checks))
-    return rows.select(F.col("offer_key").cast("bigint").alias("offer_key"), F.col("seq").alias("event_id"),
-                       F.col("price").cast(t.MONEY).alias("price"), "sent")
+    rows = drain(spark, streams.offer_alerts(in_parts(spark, checks, "observed_at", "offer_key")))
+    money = [F.col(c).cast(t.MONEY).alias(c) for c in ("price", "min_price", "max_price")]
+    return rows.select(F.col("offer_key").cast("bigint").alias("offer_key"), F.col("seq").alias("event_id"), *money,
+                       "min_price_at", "max_price_at", "sent")
+
+
+SQL_CHECKS = """checks AS (SELECT user_id AS watch_key, ts AS observed_at, event_id AS seq, CAST(value AS DECIMAL(18,2)) AS price,
+  CASE event_id % 5 WHEN 0 THEN 'out_of_stock' WHEN 1 THEN 'failed' WHEN 2 THEN 'empty_search' ELSE 'ok' END AS outcome FROM events)"""
+
+
+@query(f"""WITH {SQL_CHECKS},
+prev AS (SELECT *, last_value(CASE WHEN outcome IN ('ok', 'out_of_stock') THEN outcome END IGNORE NULLS) OVER (
+    PARTITION BY watch_key ORDER BY observed_at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM checks)
+SELECT watch_key, seq, CASE WHEN seq % 2 = 0 THEN 'b' ELSE 'a' END AS title, CASE WHEN seq % 2 = 0 THEN CAST(price - 1 AS DECIMAL(18,2)) ELSE price END AS price
+FROM prev WHERE outcome = 'ok' AND before = 'out_of_stock'""")
+def stock_return_stream(spark, folder):
+    """Three offers a check: the second is cheaper than the first on even checks, the third never."""
+    price, even = F.col("value").cast("decimal(18,4)"), F.col("event_id") % 2 == 0
+
+    def offer(pos, title, p):
+        return F.struct(F.lit(pos).alias("offer_pos"), F.lit(title).alias("title"), p.cast("decimal(18,4)").alias("price"), F.lit("u").alias("url"))
+
+    outcome = F.element_at(F.array(*[F.lit(x) for x in ("out_of_stock", "failed", "empty_search", "ok", "ok")]), (F.col("event_id") % 5 + 1).cast("int"))
+    cycles = t.load(spark, folder, "events").select(
+        F.col("user_id").cast("string").alias("watch_key"), F.lit("bengurme").alias("site"), F.col("ts").cast("timestamp").alias("observed_at"),
+        F.col("event_id").alias("seq"), outcome.alias("outcome"),
+        F.array(offer(0, "a", price), offer(1, "b", F.when(even, price - 1).otherwise(price)), offer(2, "c", price)).alias("offers"))
+    rows = drain(spark, streams.stock_returns(in_parts(spark, cycles, "observed_at", "watch_key")))
+    return rows.select(F.col("watch_key").cast("bigint").alias("watch_key"), "seq", "title", F.col("price").cast(t.MONEY).alias("price"))
+
+
+@query(f"""WITH {SQL_HITS}, docs AS (SELECT source AS channel, doc_id, make_timestamp((1704067200 + doc_id * 60) * 1000000) AS ts FROM documents),
+h AS (SELECT channel, message_id, row_number() OVER (PARTITION BY channel ORDER BY message_id DESC) AS rn, count(*) OVER (PARTITION BY channel) AS n,
+        max(message_id) OVER (PARTITION BY channel) AS newest FROM hits)
+SELECT d.channel, count(*) AS messages, coalesce(any_value(x.n), 0) AS notifications, max(d.ts) AS last_check,
+  any_value(x.last) AS last_notification, coalesce(any_value(x.recent), '') AS recent
+FROM docs d LEFT JOIN (SELECT channel, max(n) AS n, make_timestamp((1704067200 + max(newest) * 60) * 1000000) AS last,
+    string_agg(message_id, ',' ORDER BY rn) FILTER (WHERE rn <= 5) AS recent FROM h GROUP BY 1) x USING (channel) GROUP BY 1""")
+def channel_status_stream(spark, folder):
+    """The newest status of each channel after all micro-batches."""
+    from ..operators.matching import first_keyword
+    from ..functions.text import contains_any, fold_text, fold_word, text_or_empty
+
+    folded = fold_text(text_or_empty(F.col("text")))
+    word = F.when(~contains_any(folded, [fold_word(w) for w in t.EXCLUDED]), first_keyword(folded, t.KEYWORDS))
+    messages = in_parts(spark, t.messages(spark, folder), "ts", "channel").withColumn("keyword", word)
+    rows = drain(spark, streams.channel_status(messages))
+    newest = rows.groupBy("channel").agg(F.max_by(F.struct(*rows.columns[1:]), "messages").alias("s")).select("channel", "s.*")
+    return newest.withColumn("recent", F.array_join(F.transform("recent", lambda r: r["message_id"].cast("string")), ","))

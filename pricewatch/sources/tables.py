@@ -11,7 +11,7 @@ from ..functions.dates import duration_text
 from ..functions.labels import default_group
 from ..functions.money import format_money, format_signed, parse_money
 from ..functions.text import item_key, repair_mojibake, split_terms, strip, text_or_empty
-from ..functions.urls import detect_site, needs_name
+from ..functions.urls import detect_site, needs_name, site_label
 from ..operators.offers import dedup_offers, money_text
 from ..operators.summary import number_rows, stock_order, summary_order
 
@@ -241,6 +241,14 @@ def alert_rows(decided: DataFrame) -> DataFrame:
     )
 
 
+def stock_alert_rows(returns: DataFrame) -> DataFrame:
+    """Stock alerts with title, body and link. `returns` (of `stock_return` or its stream): site, title, price, url, observed_at."""
+    seller = site_label(F.col("site"))
+    body = F.concat(F.lit("Site: "), seller, F.lit("\n"), text_or_empty(F.col("title")), F.lit("\nStok yeniden geldi.\nGuncel fiyat: "),
+                    format_money(F.col("price"), True))
+    return returns.select(F.lit("stock").alias("kind"), F.concat(seller, F.lit(" stok alarmi")).alias("title"), body.alias("body"), "url", "observed_at")
+
+
 def write_alerts(alerts: DataFrame, path: str) -> None:
     alerts.write.mode("append").parquet(path)
 

@@ -1,7 +1,9 @@
 """Streams: message alerts, quick-add conversations, offer and stock alerts, counters.
 
-Event time drives everything. The watermark is 24 hours, the expiry of conversations and of the alert memory;
-rows later than that are dropped. Memory of seen messages is bounded by that time instead of by a count.
+Message streams have a watermark of 24 hours, the expiry of conversations: later rows are dropped, prompts end by a timer,
+and the memory of seen messages is bounded by that time instead of by a count. Offer and stock streams keep the last state of
+each key for good, as the price history does; rows of a key are taken in order of time within a micro-batch and in order of
+arrival between them. Give file sources a trigger limit (`maxFilesPerTrigger`), which also bounds the rows of a key in one batch.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import fixed
 from ..functions.money import target_reply
-from ..functions.text import channel_label, message_link, preview
+from ..functions.text import channel_label, message_link, preview, strip
 from ..functions.urls import all_urls, detect_site, needs_name, query_name
 from ..operators.alerts import alert_step
 from ..operators.matching import keyword_hits
@@ -60,11 +62,67 @@ def channel_counters(alerts: DataFrame) -> DataFrame:
     )
 
 
+STATUS = ("channel string, messages bigint, notifications bigint, last_check timestamp, last_notification timestamp, "
+          "recent array<struct<ts:timestamp,message_id:bigint,keyword:string,message:string>>")
+
+
+class ChannelStatus(StatefulProcessor):
+    """Counters of a channel and its last five notifications."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("status", "status string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        s = {"messages": 0, "notifications": 0, "check": None, "last": None, "recent": []}
+        if self.state.exists():
+            s = json.loads(self.state.get()[0])
+        for r in _ordered(rows, ["ts", "message_id"]).itertuples(index=False):
+            at = r.ts.value // 1000
+            s["messages"] += 1
+            s["check"] = max(s["check"] or at, at)
+            if isinstance(r.keyword, str):
+                s["notifications"] += 1
+                s["last"] = max(s["last"] or at, at)
+                s["recent"].append([at, int(r.message_id), r.keyword, r.message])
+        s["recent"] = sorted(s["recent"], key=lambda x: (-x[0], -x[1]))[: fixed.RECENT_NOTIFICATIONS]
+        self.state.update((json.dumps(s),))
+        time = lambda at: None if at is None else pd.Timestamp(at, unit="us")
+        recent = [{"ts": time(a), "message_id": m, "keyword": k, "message": t} for a, m, k, t in s["recent"]]
+        yield pd.DataFrame({
+            "channel": [key[0]], "messages": [s["messages"]], "notifications": [s["notifications"]], "last_check": [time(s["check"])],
+            "last_notification": pd.Series([time(s["last"])], dtype="datetime64[ns]"), "recent": [recent]})
+
+    def close(self) -> None:
+        pass
+
+
+def channel_status(messages: DataFrame) -> DataFrame:
+    """Status of a channel after each micro-batch with messages of it: messages, notifications, their last times, the recent five.
+
+    `messages`: channel, message_id, ts, text, keyword (null: no alert). The row with most messages is the newest.
+    """
+    rows = messages.select("channel", "message_id", "ts", "keyword", preview(F.col("text"), 180).alias("message"))
+    return rows.groupBy("channel").transformWithStateInPandas(ChannelStatus(), STATUS, "Append", "None")
+
+
 # --- offer alerts -----------------------------------------------------------
 Check = namedtuple("Check", "price target_price at notify_once_in_24h forced_sent")
-OFFER_STATE = "last_price string, last_at bigint, was_below boolean"
+OFFER_STATE = ("last_price string, last_at bigint, was_below boolean, price string, low string, low_at bigint, high string, "
+               "high_at bigint")
 OFFER_ALERTS = ("offer_key string, observed_at timestamp, seq bigint, price decimal(18,4), target_price decimal(18,4), "
-                "sent boolean, reason string")
+                "min_price decimal(18,4), max_price decimal(18,4), min_price_at timestamp, max_price_at timestamp, "
+                "is_absurd boolean, sent boolean, reason string")
+
+
+def is_spike(price: Decimal, target: Decimal | None, last: Decimal | None) -> bool:
+    """`history.is_spike` for one row."""
+    def far(x, ref):
+        return x > ref * fixed.SPIKE_RATIO and x - ref >= fixed.SPIKE_AMOUNT
+
+    refs = [target] if target is not None and target > 0 else []
+    if last is not None and last > 0 and (target is None or not far(last, target)):
+        refs.append(last)
+    return bool(refs) and far(price, max(refs))
 
 
 def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
@@ -74,24 +132,34 @@ def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
 
 
 class OfferAlerts(StatefulProcessor):
-    """The alert rule per offer; the state is what the rule needs and nothing else."""
+    """Bounds and the alert rule per offer; the state is what the two need and nothing else."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("alert", OFFER_STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state = (None, None, False)
+        state, last, low, low_at, high, high_at = (None, None, False), None, None, None, None, None
+        money = lambda x: None if x is None else Decimal(x)
         if self.state.exists():
-            price, at, below = self.state.get()
-            state = (None if price is None else Decimal(price), at, below)
+            price, at, below, last, low, low_at, high, high_at = self.state.get()
+            state, last, low, high = (money(price), at, below), money(last), money(low), money(high)
         out = []
         for r in _ordered(rows, ["observed_at", "seq"]).itertuples(index=False):
             at = r.observed_at.value // 1000
+            absurd = is_spike(r.price, r.target_price, last)
+            if low is None or not absurd:
+                if low is None or r.price < low:
+                    low, low_at = r.price, at
+                if high is None or r.price > high:
+                    high, high_at = r.price, at
+            last = r.price
             check = Check(r.price, r.target_price, at, bool(r.notify_once_in_24h), bool(r.forced_sent))
             state, (sent, reason) = alert_step(state, check)
-            out.append((key[0], r.observed_at, r.seq, r.price, r.target_price, sent, reason))
-        self.state.update((None if state[0] is None else str(state[0]), state[1], state[2]))
-        names = ["offer_key", "observed_at", "seq", "price", "target_price", "sent", "reason"]
+            out.append((key[0], r.observed_at, r.seq, r.price, r.target_price, low, high, pd.Timestamp(low_at, unit="us"),
+                        pd.Timestamp(high_at, unit="us"), absurd, sent, reason))
+        text = lambda x: None if x is None else str(x)
+        self.state.update((text(state[0]), state[1], state[2], text(last), text(low), low_at, text(high), high_at))
+        names = [c.split()[0] for c in OFFER_ALERTS.replace("(18,4)", "").split(", ")]
         yield pd.DataFrame(out, columns=names)
 
     def close(self) -> None:
@@ -99,12 +167,15 @@ class OfferAlerts(StatefulProcessor):
 
 
 def offer_alerts(observations: DataFrame) -> DataFrame:
-    """Alert decision of every observation; works on a stream and on a batch."""
+    """Bounds and alert decision of every observation; works on a stream and on a batch."""
     return observations.groupBy("offer_key").transformWithStateInPandas(OfferAlerts(), OFFER_ALERTS, "Append", "None")
 
 
+RETURNS = "watch_key string, site string, observed_at timestamp, seq bigint, title string, price decimal(18,4), url string"
+
+
 class StockReturns(StatefulProcessor):
-    """First success after out-of-stock per watch; failures and empty searches change nothing."""
+    """First success after out-of-stock per watch, on its cheapest offer; failures and empty searches change nothing."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("outcome", "outcome string")
@@ -116,37 +187,61 @@ class StockReturns(StatefulProcessor):
             if r.outcome not in ("ok", "out_of_stock"):
                 continue
             if r.outcome == "ok" and before == "out_of_stock":
-                out.append((key[0], r.observed_at, r.seq))
+                out.append((key[0], r.site, r.observed_at, r.seq, r.title, r.price, r.url))
             before = r.outcome
         if before is not None:
             self.state.update((before,))
-        yield pd.DataFrame(out, columns=["watch_key", "observed_at", "seq"])
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in RETURNS.replace("(18,4)", "").split(", ")])
 
     def close(self) -> None:
         pass
 
 
 def stock_returns(cycles: DataFrame, sites: list[str] | None = None) -> DataFrame:
+    """Stock alerts of the configured sites: `cycles` has watch_key, site, observed_at, seq, outcome and the offers of the check,
+    an array (at most the scan limit) of offer_pos, title, price, url; the first of the cheapest is named."""
     wanted = fixed.STOCK_RETURN_SITES if sites is None else sites
-    return cycles.where(F.col("site").isin(wanted)).groupBy("watch_key").transformWithStateInPandas(
-        StockReturns(), "watch_key string, observed_at timestamp, seq bigint", "Append", "None"
-    )
+    cheapest = F.array_min(F.transform("offers", lambda o: F.struct(
+        o["price"].alias("price"), o["offer_pos"].alias("offer_pos"), o["title"].alias("title"), o["url"].alias("url"))))
+    rows = cycles.where(F.col("site").isin(wanted)).withColumn("_best", cheapest).select(
+        "watch_key", "site", "observed_at", "seq", "outcome", "_best.title", F.col("_best.price").cast("decimal(18,4)").alias("price"), "_best.url")
+    return rows.groupBy("watch_key").transformWithStateInPandas(StockReturns(), RETURNS, "Append", "None")
 
 
 # --- quick add --------------------------------------------------------------
+EXPIRY = fixed.REPLY_HOURS * fixed.HOUR_SECONDS
+
+
 class QuickAdd(StatefulProcessor):
     """A message with a supported link opens a prompt; a reply with a price closes it and gives a watch; a reply
-    without a price keeps it open; prompts end after 24 hours."""
+    without a price keeps it open; prompts end after 24 hours, by a timer if nothing else is said in the chat."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("pending", "pending string")
 
+    def _keep(self, pending: list[dict]) -> None:
+        """Store what is open and wake up when the oldest prompt ends; without any, forget the chat."""
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if pending:
+            self.state.update((json.dumps(pending),))
+            self.handle.registerTimer((min(p["at"] for p in pending) + EXPIRY + 1) * 1000)
+        else:
+            self.state.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        pending = json.loads(self.state.get()[0]) if self.state.exists() else []
+        self._keep([p for p in pending if now - p["at"] <= EXPIRY])
+        return iter([])
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         pending = json.loads(self.state.get()[0]) if self.state.exists() else []
         out = []
         for r in _ordered(rows, ["ts", "message_id"]).itertuples(index=False):
             at = r.ts.value // 1_000_000_000
-            pending = [p for p in pending if at - p["at"] <= fixed.REPLY_HOURS * fixed.HOUR_SECONDS]
+            pending = [p for p in pending if at - p["at"] <= EXPIRY]
             reply = None if pd.isna(r.reply_to_id) else int(r.reply_to_id)
             asked = next((p for p in pending if reply is not None and reply in (p["source"], p["prompt"])), None)
             if asked:
@@ -157,7 +252,7 @@ class QuickAdd(StatefulProcessor):
             elif r.url:
                 prompt = None if pd.isna(r.prompt_message_id) else int(r.prompt_message_id)
                 pending.append({"source": int(r.message_id), "prompt": prompt, "url": r.url, "name": r.name_hint, "at": at})
-        self.state.update((json.dumps(pending),))
+        self._keep(pending)
         yield pd.DataFrame(out, columns=["chat_id", "source_message_id", "added_at", "url", "name", "target_price"])
 
     def close(self) -> None:
@@ -174,8 +269,10 @@ def _decimal(text):
 def quick_add(own_messages: DataFrame, hosts: list[tuple[str, str]] | None = None) -> DataFrame:
     """Watches that the user's own messages add. A search link takes its name from its search words.
 
-    `own_messages`: chat_id, message_id, ts, text, reply_to_id, prompt_message_id.
+    `own_messages`: chat_id, message_id, ts, text, reply_to_id, prompt_message_id. A stream takes its watermark here.
     """
+    if own_messages.isStreaming:
+        own_messages = own_messages.withWatermark("ts", LATENESS)
     supported = F.filter(all_urls(F.col("text")), lambda u: detect_site(u, hosts).isNotNull())
     prepared = own_messages.withColumns(
         {
@@ -187,17 +284,30 @@ def quick_add(own_messages: DataFrame, hosts: list[tuple[str, str]] | None = Non
         QuickAdd(),
         "chat_id string, source_message_id bigint, added_at timestamp, url string, name string, target_price decimal(18,4)",
         "Append",
-        "None",
+        "EventTime" if own_messages.isStreaming else "None",
     )
 
 
+def new_links_only(adds: DataFrame, tracked: DataFrame) -> DataFrame:
+    """Quick-adds whose link no card holds yet. `tracked`: url, one row for each link of the cards."""
+    known = tracked.select(strip(F.col("url")).alias("_link")).where("_link <> ''").distinct()
+    return adds.join(known, strip(F.col("url")) == F.col("_link"), "left_anti")
+
+
 # --- publishing -------------------------------------------------------------
 def early_publish(read_previous: Callable[[], tuple[DataFrame, DataFrame]],
                   publish: Callable[[DataFrame, DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """Function for `foreachBatch`: merge the fresh rows of each micro-batch into the published summary."""
+    """Function for `foreachBatch`: merge the events of each micro-batch into the published summary.
+
+    An event has `event` and the columns of both tables: `row` is a fresh price row, `stock` a fresh stock row (its link's price
+    rows go), `removed` names in `identity` a price row that a failed watch takes back.
+    """
 
-    def on_batch(fresh: DataFrame, batch_id: int) -> None:
+    def on_batch(events: DataFrame, batch_id: int) -> None:
         rows, stock = read_previous()
-        publish(*merge_summary(rows, fresh, stock, stock.limit(0)))
+        kind = F.col("event")
+        publish(*merge_summary(rows, events.where(kind == "row").select(*rows.columns), stock,
+                               events.where(kind == "stock").select(*stock.columns),
+                               events.where(kind == "removed").select("identity")))
 
     return on_batch
