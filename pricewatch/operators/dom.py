@@ -101,8 +101,14 @@ class _Page(HTMLParser):
         self.close_to(0)
 
 
+#: A double-quoted string literal, or what is left if it has no end: one pass over a script in any case.
+STRING = re.compile(r'"((?:[^"\\]++|\\.)*+)(?:"|\Z|\\\Z)', re.DOTALL)
+OBJECT = re.compile(r'\{\s*["}]')
+
+
 def _payloads(html, scripts):
-    """(source, value) of every JSON document of the page: a bare document, JSON scripts, assigned literals."""
+    """(source, value) of every JSON document of the page: a bare document, JSON scripts, assigned literals, and
+    objects inside escaped strings of scripts."""
     decoder = json.JSONDecoder()
 
     def read(text):
@@ -128,6 +134,32 @@ def _payloads(html, scripts):
             except ValueError:
                 continue
             yield m.group(1), value
+        for value in _spoken(text, decoder):
+            yield "escaped", value
+
+
+def _spoken(text, decoder, depth=2):
+    """JSON objects inside string literals of a script: texts whose quotes are escaped, such as pushed page data."""
+    if '\\"' not in text:
+        return
+    for m in STRING.finditer(text):
+        raw = m.group(1)
+        if '\\"' not in raw or "{" not in raw:
+            continue
+        try:
+            plain = json.loads(f'"{raw}"', strict=False)
+        except ValueError:
+            continue
+        end = 0
+        for start in OBJECT.finditer(plain):
+            if start.start() >= end:
+                try:
+                    value, end = decoder.raw_decode(plain, start.start())
+                except ValueError:
+                    continue
+                yield value
+        if depth > 1:
+            yield from _spoken(plain, decoder, depth - 1)
 
 
 def _scalar(v):

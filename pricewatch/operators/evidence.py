@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -50,18 +51,23 @@ POLICIES = {
 
 @dataclass
 class Site:
-    """What is needed to read a site: the order in which kinds of evidence count, and its selectors."""
+    """What is needed to read a site: the order in which kinds of evidence count, its selectors, and extractors of its own.
+
+    An extractor takes the columns nodes, tokens, objects and html of a parsed page and gives a price column.
+    """
 
     kinds: list[str]
     selectors: list[str] = field(default_factory=list)
+    extractors: dict[str, Callable[[Column, Column, Column, Column], Column]] = field(default_factory=dict)
 
 
 REGISTRY: dict[str, Site] = {s: Site(k, PRICE_SELECTORS.get(s, [])) for s, k in POLICIES.items()}
 
 
-def register_site(name: str, kinds: list[str], selectors: list[str] | None = None) -> None:
-    """Plug in a site or replace its rules."""
-    REGISTRY[name] = Site(list(kinds), list(selectors or []))
+def register_site(name: str, kinds: list[str], selectors: list[str] | None = None,
+                  extractors: dict[str, Callable[[Column, Column, Column, Column], Column]] | None = None) -> None:
+    """Plug in a site or replace its rules. `kinds` may name the built-in kinds of evidence and those of `extractors`."""
+    REGISTRY[name] = Site(list(kinds), list(selectors or []), dict(extractors or {}))
 
 
 # --- expressions over one parsed page ---------------------------------------
@@ -415,11 +421,8 @@ def extract_titles(parsed: DataFrame) -> DataFrame:
     return parsed.select("page_id", "url", page_title(F.col("nodes"), F.col("tokens")).alias("title"))
 
 
-def extract_evidence(parsed: DataFrame, site: str) -> DataFrame:
-    """All price evidence of the pages of one site, one row per kind: page_id, site, url, kind, rank, price, title.
-
-    Every kind the site's rules name is computed in the same projection over the parsed page.
-    """
+def _evidence(site: str) -> tuple[Column, Column]:
+    """Array of (kind, rank, price) of all kinds that the site's rules name, in their order, and the page's title."""
     rules = REGISTRY[site]
     nodes, tokens, objects, html = (F.col(c) for c in ("nodes", "tokens", "objects", "html"))
     text = page_text(tokens)
@@ -438,14 +441,29 @@ def extract_evidence(parsed: DataFrame, site: str) -> DataFrame:
         "member": lambda: F.array_min(F.concat(cart_prices(text), member_prices(text))),
         "listing_text": lambda: F.array_min(clean_text_prices(F.array_join(lines_before_details(tokens), " "))),
     }
-    title = F.coalesce(jsonld_title(objects), page_title(nodes, tokens))
-    rows = F.array(
-        *[rec(kind=F.lit(k), rank=F.lit(i), price=prices[k]().cast(MONEY)) for i, k in enumerate(rules.kinds)]
-    )
+    prices |= {k: lambda build=build: build(nodes, tokens, objects, html) for k, build in rules.extractors.items()}
+    rows = F.array(*[rec(kind=F.lit(k), rank=F.lit(i), price=prices[k]().cast(MONEY)) for i, k in enumerate(rules.kinds)])
+    return rows, F.coalesce(jsonld_title(objects), page_title(nodes, tokens))
+
+
+def extract_evidence(parsed: DataFrame, site: str) -> DataFrame:
+    """All price evidence of the pages of one site, one row per kind: page_id, site, url, kind, rank, price, title.
+
+    Every kind the site's rules name is computed in the same projection over the parsed page.
+    """
+    rows, title = _evidence(site)
     found = parsed.where(F.col("site") == site).select("page_id", "site", "url", title.alias("title"), F.explode(rows).alias("e"))
     return found.select("page_id", "site", "url", "e.kind", "e.rank", "e.price", "title").where(F.col("price").isNotNull())
 
 
+def priced_pages(parsed: DataFrame, site: str) -> DataFrame:
+    """`resolve_price(extract_evidence(...))` chosen inside the page's row, without a join or a shuffle."""
+    rows, title = _evidence(site)
+    best = F.try_element_at(F.filter(rows, lambda e: e["price"].isNotNull()), F.lit(1))
+    found = parsed.where(F.col("site") == site).select("page_id", "site", "url", title.alias("title"), best.alias("e"))
+    return found.where("e is not null").select("page_id", "site", "url", "e.kind", "e.price", "title")
+
+
 def lines_before_details(tokens: Column) -> Column:
     """Visible text pieces before the product description."""
     stop = F.array_position(F.transform(tokens, lambda x: contains_any(fold_text(x), fixed.DETAIL_STOP_WORDS)), True)

@@ -11,7 +11,7 @@ from ..operators import dom, evidence, listing, variants
 from ..session import ROCKSDB, ensure_checkpoint_dir
 from ..streaming import streams
 from . import tables as t
-from .queries import SQL_BOUNDS, SQL_EVENT_OBS, SQL_HITS, SQL_OBS, fold_tables, query
+from .queries import ORACLE, SQL_BOUNDS, SQL_EVENT_OBS, SQL_HITS, SQL_OBS, fold_tables, query
 
 
 def archived(spark, folder) -> DataFrame:
@@ -68,6 +68,13 @@ def resolve_price(spark, folder):
     return evidence.resolve_price(found).select("page_id", "kind", F.col("price").cast(t.MONEY).alias("price"), "title")
 
 
+@query(ORACLE["resolve_price"])
+def priced_pages(spark, folder):
+    """The same choice, made inside each page's row."""
+    return evidence.priced_pages(dom.parse_pages(shop_pages(spark, folder)), "network").select(
+        "page_id", "kind", F.col("price").cast(t.MONEY).alias("price"), "title")
+
+
 @query("""SELECT p_partkey AS page_id, 'Offer' AS type, CAST(p_retailprice AS DECIMAL(18,2)) AS price FROM part WHERE p_size % 4 IN (0, 3)
 UNION ALL SELECT p_partkey, 'Product', NULL FROM part WHERE p_size % 4 IN (0, 3)""")
 def json_objects(spark, folder):

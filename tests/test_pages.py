@@ -234,3 +234,40 @@ def test_member_price_context_reaches_past_many_amounts(spark):
         text = "premium ile kupon" + "1TL" * n + " 99TL"
         row = spark.createDataFrame([(text,)], "t string").select(evidence.member_prices(F.col("t")).alias("p")).first()
         assert D("99") not in [x for x in row.p or []], n
+
+
+def test_price_inside_the_row_needs_no_shuffle(spark):
+    page = '<html><h1>Ürün adı uzun</h1><script type="application/ld+json">{"@type":"Product","offers":{"price":"12.5"}}</script><p class="own">77 TL</p></html>'
+    parsed = dom.parse_pages(spark.createDataFrame([(1, "network", "https://x.org/1", page), (2, "network", "https://x.org/2", "<p>yok</p>")],
+                                                   "page_id bigint, site string, url string, html string"))
+    rows = evidence.priced_pages(parsed, "network")
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    assert [(r.page_id, r.kind, r.price) for r in rows.collect()] == [(r.page_id, r.kind, r.price) for r in evidence.resolve_price(evidence.extract_evidence(parsed, "network")).collect()]
+
+
+def test_a_site_brings_its_own_extractor(spark):
+    page = '<html><p class="own">fiyat 77 lira</p></html>'
+    own = lambda nodes, tokens, objects, html: F.regexp_extract(html, r"fiyat (\d+) lira", 1).try_cast("decimal(18,4)")
+    evidence.register_site("ozel", ["meta", "spoken"], extractors={"spoken": own})
+    try:
+        parsed = dom.parse_pages(spark.createDataFrame([(1, "ozel", "https://x.org/1", page)], "page_id bigint, site string, url string, html string"))
+        assert [(r.kind, r.price) for r in evidence.priced_pages(parsed, "ozel").collect()] == [("spoken", D(77))]
+    finally:
+        del evidence.REGISTRY["ozel"]
+
+
+def test_json_in_escaped_strings(spark):
+    inner = json.dumps({"sku": "K1", "title": 'Kutu "büyük"', "offers": [{"price": 41.5, "note": json.dumps({"deep": 1})}]})
+    page = "<script>self.push([1," + json.dumps("7:" + inner + "\n") + "]); var broken = \"{\\\"a\\\": \"; var x = \"plain\";</script>"
+    parsed = dom.parse_pages(spark.createDataFrame([(1, "s", "u", page)], "page_id bigint, site string, url string, html string"))
+    rows = dom.json_objects(parsed).orderBy("ord").collect()
+    assert [(r.source, r.text.get("sku"), r.text.get("price"), r.text.get("deep")) for r in rows] == [
+        ("escaped", "K1", None, None), ("escaped", None, "41.5", None), ("escaped", None, None, "1")]
+
+
+def test_long_scripts_are_scanned_once():
+    import time
+
+    begun = time.time()
+    assert list(dom._payloads("", [{"type": "", "text": '"' + "\\\"a" * 300_000}])) == []
+    assert time.time() - begun < 20
