@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import checks, dates, labels, money, text, urls
+from ..operators import evidence, maintenance, offers, summary
 from . import tables as t
 from .queries import query
 
@@ -162,3 +163,84 @@ def page_gates(spark, folder):
         "doc_id", checks.age_gate(page).alias("age"), checks.bot_gate(F.lit("amazon"), page).alias("bot"),
         checks.empty_search_is_normal(outcome, page).alias("normal_empty"), checks.missing_price_error(page).alias("missing"),
         checks.block_error(F.when(F.col("kind") == 2, fixed.BLOCK_STATUS[0]).otherwise(200), mark).alias("blocked"))
+
+
+# --- operators over rows ----------------------------------------------------
+@query("""WITH p AS (SELECT upper('hb' || l_partkey) AS code, 's' || l_suppkey AS seller, (l_orderkey, l_linenumber, l_suppkey, l_shipdate) AS seq FROM lineitem
+  WHERE CAST(l_quantity AS INTEGER) % 3 <> 0)
+SELECT code, arg_max(seller, seq) AS seller FROM p GROUP BY 1""")
+def seller_lookup(spark, folder):
+    """The last seller named for a product code; blank names don't count."""
+    rows = t.load(spark, folder, "lineitem").select(
+        F.concat(F.lit("hb"), "l_partkey").alias("code"),
+        F.when(F.col("l_quantity").cast("int") % 3 == 0, "").otherwise(F.concat(F.lit("s"), "l_suppkey")).alias("seller"),
+        F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate").alias("seq"))
+    return offers.last_value_by(rows, "code", "seller", "seq").select("code", "seller")
+
+
+@query(f"""WITH n AS (SELECT l_partkey, {SQL_PRICE} AS price, l_orderkey, l_linenumber, l_suppkey, l_shipdate, l_quantity FROM lineitem WHERE l_returnflag <> 'R'),
+u AS (SELECT l_partkey, {SQL_PRICE} AS price, l_orderkey, l_linenumber, l_suppkey, l_shipdate, l_linestatus FROM lineitem WHERE l_returnflag = 'R'),
+v AS (SELECT * FROM u WHERE l_linestatus = 'F' AND NOT EXISTS (SELECT 1 FROM n WHERE n.l_partkey = u.l_partkey AND n.price = u.price)
+  QUALIFY row_number() OVER (PARTITION BY l_partkey, price ORDER BY l_orderkey, l_linenumber, l_suppkey, l_shipdate) = 1)
+SELECT l_partkey AS page_id, l_orderkey, l_linenumber, price, false AS is_warehouse, CAST(l_quantity AS INTEGER) AS stock_quantity FROM n
+UNION ALL SELECT l_partkey, l_orderkey, l_linenumber, price, true, NULL FROM v""")
+def split_new_used(spark, folder):
+    """Returned lines are used offers; half of them lack the wording and don't count."""
+    rows = t.load(spark, folder, "lineitem").select(
+        F.col("l_partkey").alias("page_id"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate").alias("seq"), F.lit("t").alias("title"),
+        F.col("l_extendedprice").cast(t.MONEY).alias("price"), F.col("l_quantity").cast("int").alias("stock_quantity"), "l_returnflag",
+        F.when(F.col("l_linestatus") == "F", "Amazon Depo, kullanılmış ürün").otherwise("Amazon, kullanılmış").alias("text"))
+    used = rows.where("l_returnflag = 'R'").select("page_id", "seq", "title", "text", "price")
+    found = evidence.split_new_used(rows.where("l_returnflag <> 'R'").select("page_id", "seq", "title", "price", "stock_quantity"), used)
+    return found.select("page_id", "seq.l_orderkey", "seq.l_linenumber", "price", "is_warehouse", "stock_quantity")
+
+
+SQL_CONTEXT = "CASE WHEN l_orderkey % 7 = 0 THEN 'member' WHEN l_orderkey % 7 = 1 THEN 'ref' WHEN l_orderkey % 7 = 2 THEN 'noise' ELSE 'plain' END"
+
+
+@query(f"""WITH e AS (SELECT l_partkey, l_suppkey, {SQL_PRICE} AS price, {SQL_CONTEXT} AS c FROM lineitem),
+r AS (SELECT * FROM e WHERE c <> 'noise' AND price BETWEEN 50 AND 1000000),
+g AS (SELECT l_partkey, l_suppkey, max(CASE WHEN c = 'ref' THEN price END) AS top, min(CASE WHEN c = 'member' THEN price END) AS mp FROM r GROUP BY ALL)
+SELECT l_partkey, l_suppkey, coalesce(any_value(mp), min(price)) AS price FROM r JOIN g USING (l_partkey, l_suppkey)
+WHERE top IS NULL OR c = 'member' OR price >= top * 0.5 GROUP BY ALL""")
+def reference_floor(spark, folder):
+    """Member, reference, instalment and plain prices of a seller: noise goes, member prices win, rows far under the reference go."""
+    context = F.expr(SQL_CONTEXT)
+    words = F.when(context == "member", fixed.MEMBER_WORDS[0]).when(context == "ref", fixed.REFERENCE_PRICE_NAMES[0]).when(
+        context == "noise", "9 TAKSİT ile").otherwise("fiyat")
+    rows = t.load(spark, folder, "lineitem").select("l_partkey", "l_suppkey", F.col("l_extendedprice").cast(t.MONEY).alias("price"), words.alias("context"))
+    return evidence.reference_floor(evidence.drop_noise_prices(rows), ["l_partkey", "l_suppkey"])
+
+
+@query("""SELECT p_partkey AS card_pos, CASE WHEN p_partkey % 4 = 1 THEN 'yeni' ELSE p_name END AS name,
+  CASE WHEN p_partkey % 4 = 1 THEN CAST(p_size + 1 AS INTEGER) ELSE CAST(p_size AS INTEGER) END AS size FROM part WHERE p_partkey % 4 <> 2
+UNION ALL SELECT (SELECT max(p_partkey) FROM part) + 1 + s_suppkey, s_name, NULL FROM supplier""")
+def apply_watch_changes(spark, folder):
+    """A quarter of the cards is updated, a quarter deleted, and every supplier adds one."""
+    cards = t.load(spark, folder, "part").select(F.col("p_partkey").cast("int").alias("card_pos"), F.col("p_name").alias("name"), F.col("p_size").cast("int").alias("size"))
+    edits = cards.where("card_pos % 4 in (1, 2)").select(
+        F.when(F.col("card_pos") % 4 == 1, "update").otherwise("delete").alias("op"), "card_pos", F.lit("yeni").alias("name"), (F.col("size") + 1).cast("int").alias("size"))
+    adds = t.load(spark, folder, "supplier").select(F.lit("add").alias("op"), F.col("s_suppkey").cast("int").alias("card_pos"), F.col("s_name").alias("name"),
+                                                    F.lit(None).cast("int").alias("size"))
+    changed = maintenance.apply_watch_changes(cards, edits.unionByName(adds))
+    return changed.withColumn("card_pos", F.col("card_pos").cast("bigint"))
+
+
+@query("""WITH m AS (SELECT max(ts) AS as_of FROM events) SELECT event_id FROM events, m WHERE ts >= as_of - INTERVAL 48 HOUR""")
+def prune_expired(spark, folder):
+    rows = t.load(spark, folder, "events").select("event_id", F.col("ts").cast("timestamp").alias("created_at"))
+    return maintenance.prune_expired(rows, rows.agg(F.max("created_at").alias("x")).scalar(), hours=48).select("event_id")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY lower(s_name), lower(p_name), l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS no
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey""")
+def stock_numbered(spark, folder):
+    """Stock rows numbered in the order of the stock view."""
+    names = t.load(spark, folder, "part").select("p_partkey", F.col("p_name").alias("product_title"))
+    sellers = t.load(spark, folder, "supplier").select("s_suppkey", F.col("s_name").alias("seller"))
+    rows = t.load(spark, folder, "lineitem")
+    gaps = rows.join(names, rows.l_partkey == names.p_partkey).join(sellers, rows.l_suppkey == sellers.s_suppkey).select(
+        "seller", "product_title", F.lit("").alias("product_url"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").alias("seq"),
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    order = [*summary.stock_order()[:2], F.col("seq")]
+    return summary.number_rows(gaps, order).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "no")
