@@ -150,7 +150,7 @@ def ball_keys(prints: np.ndarray) -> np.ndarray:
 
 
 def _keys(classes: DataFrame, bitmap=None) -> DataFrame:
-    """key, id of every class; only keys in the bit map, if there is one."""
+    """key, own (the key of the segment itself) and id of every class; only keys in the bit map, if there is one."""
     shared = None if bitmap is None else classes.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
@@ -158,32 +158,43 @@ def _keys(classes: DataFrame, bitmap=None) -> DataFrame:
             for part in slices(batch, 4096):
                 prints = np.stack([np.asarray(c) for c in part.column(1).to_pylist()])[:, 1:1 + PRINTS].astype(np.int64)
                 keys = ball_keys(prints)
-                ids = np.repeat(part.column(0).to_numpy(), keys.shape[1])
+                ids, own = np.repeat(part.column(0).to_numpy(), keys.shape[1]), np.repeat(keys[:, ::33].ravel(), 33)
                 keys = keys.ravel()
                 if shared is not None:
                     keep = in_filter(shared.value, mix(keys.view(np.uint64), 7))
-                    keys, ids = keys[keep], ids[keep]
+                    keys, own, ids = keys[keep], own[keep], ids[keep]
                 for at in range(0, len(keys), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[at:at + 200_000]), pa.array(ids[at:at + 200_000])], names=["key", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at:at + 200_000]) for c in (keys, own, ids)], names=["key", "own", "id"])
 
-    return classes.select("id", "prints").mapInArrow(run, "key long, id long")
+    return classes.select("id", "prints").mapInArrow(run, "key long, own long, id long")
+
+
+def _stars(rows: DataFrame, name: str) -> DataFrame:
+    """Pairs (a, b) of classes under one key: two are a pair, of more each makes one with the least and the greatest by hash.
+    rows: key, w (hash of key and class, class id), stored."""
+    groups = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("x"), F.max("w").alias("y")).where("n > 1")
+                    .select("key", "n", F.col("x.id").alias("x"), F.col("y.id").alias("y")), name)
+    two = groups.where("n = 2").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    many = rows.select("key", "w.id").join(groups.where("n > 2").select("key", "x", "y"), "key")
+    ends = [many.where(F.col("id") != F.col(o)).select(F.least("id", o).alias("a"), F.greatest("id", o).alias("b")) for o in ("x", "y")]
+    return two.union(ends[0]).union(ends[1])
 
 
 def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
     """Links (src, dst) among classes (id, prints as wide_prints gives them) by fingerprints of 32 * 2 * PRINTS bits.
 
     Both sides enumerate the ball of radius 1 around each segment of the three-word fingerprints, so classes meet that differ in at
-    most 2 bits of some segment. Two under one key are a pair; of more, each is a pair with two of them that a hash of key and class
-    draws, different ones under each key. Pairs are verified on the complete five-word fingerprints.
+    most 2 bits of some segment. Classes with equal segments meet under that segment, and one of them, drawn by a hash of key and
+    class, stands for all under each other key of the ball. Two under one key are a pair; of more, each is a pair with two of
+    them that the hash draws. Pairs are verified on the complete five-word fingerprints.
     """
     often = _keys(classes).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     bitmap = repeated_filter(_mixed(often))
-    met = stored(_keys(classes, bitmap).withColumn("w", F.struct(F.xxhash64("key", "id").alias("h"), "id")), "met")
-    groups = stored(met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("x"), F.max("w").alias("y")).where("n > 1")
-                    .select("key", "n", F.col("x.id").alias("x"), F.col("y.id").alias("y")), "groups")
-    pairs = groups.where("n = 2").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    many = met.join(groups.where("n > 2").select("key", "x", "y"), "key").select("id", F.explode(F.array("x", "y")).alias("o"))
-    pairs = pairs.union(many.where("id <> o").select(F.least("id", "o"), F.greatest("id", "o"))).distinct()
+    met = stored(_keys(classes, bitmap), "met")
+    w = F.struct(F.xxhash64("key", "id").alias("h"), "id").alias("w")
+    same = stored(met.where("key = own").select("key", w), "same")
+    drawn = stored(met.groupBy("key", "own").agg(F.min(w).alias("w")).select("key", "w"), "drawn")
+    pairs = _stars(same, "alike").union(_stars(drawn, "near")).distinct()
     five = classes.select("id", F.slice("prints", 2 + PRINTS, PRINTS).alias("p"))
     both = (pairs.join(five.select(F.col("id").alias("a"), F.col("p").alias("p")), "a")
             .join(five.select(F.col("id").alias("b"), F.col("p").alias("q")), "b"))
