@@ -101,7 +101,9 @@ def links(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
     asked = probes[0] if len(probes) == 1 else probes[0].union(probes[1])
     crowded = stored(table.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("seg", "key"), "crowded")
     sparse = table.join(crowded, ["seg", "key"], "left_anti")
-    found = asked.join(sparse, ["seg", "key"]).where((F.col("a") < F.col("b")) & near).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    # both directions: of two fingerprints, one may lie under a crowded key and the other not
+    found = (asked.join(sparse, ["seg", "key"]).where((F.col("a") != F.col("b")) & near)
+             .select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")))
     guests = table.join(crowded, ["seg", "key"], "left_semi").select(F.col("b").alias("fp")).distinct()
     half = radius // 2
     meet = guests.select("fp", _masked(F.col("fp"), _ball(range(64), half)).alias("at"))
@@ -112,7 +114,7 @@ def links(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
     else:
         hosts = meet.groupBy("at").agg(F.min("fp").alias("b"))
     met = (meet.join(hosts, "at").select(F.col("fp").alias("a"), "b").where((F.col("a") != F.col("b")) & near)
-           .select(F.col("a").alias("src"), F.col("b").alias("dst")))
+           .select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")))
     return found.union(met).distinct()
 
 
