@@ -164,7 +164,8 @@ def parts_of(text: str) -> set[str]:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """Whether a document is kept out of training; one without an id is not, and it has no label either."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def _counted(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
