@@ -108,3 +108,33 @@ def test_passage_in_many_documents(spark):
     got = passage_pairs(compact_windows.shared_passages(spark.createDataFrame(docs, "doc_id long, text string")))
     assert {r[0] for r in got} | {r[3] for r in got} == set(range(1, 120, 2))
     assert len(got) <= 8 * 120
+
+
+def test_one_edit_at_every_place(spark):
+    rng = random.Random(13)
+    docs = []
+    for n in (50, 55, 60, 70):
+        for at in range(n):
+            words = prose(rng, n).split()
+            docs.append(f"{prose(rng, 60)} {' '.join(words)} {prose(rng, 60)}")
+            words[at] = "changed"
+            docs.append(f"{prose(rng, 45)} {' '.join(words)} {prose(rng, 50)}")
+    got = compact_windows.shared_passages(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(i, i + 1) for i in range(0, len(docs), 2)}
+    flat = [t.split() for t in docs]
+    for r in got:
+        x, y = ({tuple(w[i:i + 5]) for i in range(a, b - 4)} for w, a, b in ((flat[r.doc_id], r.start, r.stop), (flat[r.other_id], r.other_start, r.other_stop)))
+        assert min(r.stop - r.start, r.other_stop - r.other_start) >= 50 and abs(len(x & y) / len(x | y) - r.similarity) < 1e-9 and r.similarity >= 0.8
+
+
+def test_best_runs_are_those_of_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        a, b = rng.integers(0, 25, 30), rng.integers(0, 25, 28)
+        b[6:20] = a[8:22]
+        am, bm, n, k = 12, 10, int(rng.integers(5, 12)), int(rng.integers(5, 12))
+        got, s, u = compact_windows.best_runs(a, b, am, bm, n, k)
+        want = max(compact_windows.similarity_of(a[p:p + n], b[q:q + k]) for p in range(max(0, am - n + 1), min(am, 30 - n) + 1)
+                   for q in range(max(0, bm - k + 1), min(bm, 28 - k) + 1))
+        assert abs(got - want) < 1e-12 and abs(compact_windows.similarity_of(a[s:s + n], b[u:u + k]) - got) < 1e-12
+        assert s <= am < s + n and u <= bm < u + k
