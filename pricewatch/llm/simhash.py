@@ -31,7 +31,7 @@ from pricewatch.llm.shared import map_texts, mix, slices, stored, words_of
 
 #: Fingerprints under one table key beyond which their pairs are found the other way.
 BUCKET = 16
-#: Independent fingerprints for similarity: 64 bits, two segments each.
+#: Fingerprints that ball_keys() takes: 64 bits, two segments each.
 PRINTS = 4
 SEED = 42
 
@@ -130,17 +130,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: st
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
-
-def distance_limit(similarity: float, bits: int) -> int:
-    """Bits that differ, at most 1.5 standard deviations above the mean, between texts whose shingles have this Jaccard similarity."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * share + 1.5 * np.sqrt(bits * share * (1 - share)))
-
-
-def wide_prints(text: str) -> list[int]:
-    """The fingerprint of three-word shingles, then PRINTS independent ones of three-word and PRINTS of five-word shingles."""
-    three, five = shingle_hashes(text, 3), shingle_hashes(text, 5)
-    return [fingerprint(three), *(fingerprint(mix(three, i)) for i in range(PRINTS)), *(fingerprint(mix(five, i)) for i in range(PRINTS))]
+def shingle_set(text: str) -> np.ndarray:
+    """Distinct hashes of the five-word shingles, in order."""
+    return np.unique(shingle_hashes(text, 5))
 
 
 def ball_keys(prints: np.ndarray) -> np.ndarray:
@@ -151,57 +143,70 @@ def ball_keys(prints: np.ndarray) -> np.ndarray:
     return keys.reshape(len(prints), -1)
 
 
-def _keys(classes: DataFrame, bitmap=None) -> DataFrame:
-    """key, own (the key of the segment itself) and id of every class; only keys in the bit map, if there is one."""
-    shared = None if bitmap is None else classes.sparkSession.sparkContext.broadcast(bitmap)
+def _least_shared(n: int, similarity: float) -> int:
+    """Elements that a set of n shares at least with each set of this similarity."""
+    return int(np.ceil(similarity * n - 1e-9))
+
+
+def prefixes(sets: DataFrame, similarity: float, bitmap=None) -> DataFrame:
+    """key, id, n: of each set (id, s) of n hashes the first n - _least_shared() + 1 in an order common to all sets: those in the bit map
+    last. Two sets of this similarity have one of these keys in common, whatever the order."""
+    shared = None if bitmap is None else sets.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 4096):
-                prints = np.stack([np.asarray(c) for c in part.column(1).to_pylist()])[:, 1:1 + PRINTS].astype(np.int64)
-                keys = ball_keys(prints)
-                ids, own = np.repeat(part.column(0).to_numpy(), keys.shape[1]), np.repeat(keys[:, ::33].ravel(), 33)
-                keys = keys.ravel()
-                if shared is not None:
-                    keep = in_filter(shared.value, mix(keys.view(np.uint64), 7))
-                    keys, own, ids = keys[keep], own[keep], ids[keep]
-                for at in range(0, len(keys), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[at:at + 200_000]) for c in (keys, own, ids)], names=["key", "own", "id"])
-
-    return classes.select("id", "prints").mapInArrow(run, "key long, own long, id long")
-
-
-def _stars(rows: DataFrame, name: str) -> DataFrame:
-    """Pairs (a, b) of classes under one key: two are a pair, of more each makes one with the least and the greatest by hash.
-    rows: key, w (hash of key and class, class id), stored."""
-    groups = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("x"), F.max("w").alias("y")).where("n > 1")
-                    .select("key", "n", F.col("x.id").alias("x"), F.col("y.id").alias("y")), name)
-    two = groups.where("n = 2").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    many = rows.select("key", "w.id").join(groups.where("n > 2").select("key", "x", "y"), "key")
-    ends = [many.where(F.col("id") != F.col(o)).select(F.least("id", o).alias("a"), F.greatest("id", o).alias("b")) for o in ("x", "y")]
-    return two.union(ends[0]).union(ends[1])
-
-
-def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
-    """Links (src, dst) among classes (id, prints as wide_prints gives them) by fingerprints of 32 * 2 * PRINTS bits.
-
-    Both sides enumerate the ball of radius 1 around each segment of the three-word fingerprints, so classes meet that differ in at
-    most 2 bits of some segment. Classes with equal segments meet under that segment, and one of them, drawn by a hash of key and
-    class, stands for all under each other key of the ball. Two under one key are a pair; of more, each is a pair with two of
-    them that the hash draws. Pairs are verified on the complete five-word fingerprints.
+            for part in slices(batch, 512):
+                keys, ids, sizes = [np.zeros(0, dtype=np.int64)], [], []
+                for i, s in zip(part.column(0).to_pylist(), part.column(1)):
+                    x = s.values.to_numpy(zero_copy_only=False)
+                    if len(x) and shared is not None:
+                        x = x[np.argsort(in_filter(shared.value, mix(x.view(np.uint64), 7)), kind="stable")]
+                    keys.append(x[:len(x) - _least_shared(len(x), similarity) + 1] if len(x) else x)
+                    ids.append(i)
+                    sizes.append(len(x))
+                times = [len(k) for k in keys[1:]]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(ids, dtype=np.int64), times)),
+                    pa.array(np.repeat(np.array(sizes, dtype=np.int32), times))], names=["key", "id", "n"])
+
+    return sets.select("id", "s").mapInArrow(run, "key long, id long, n int")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have this Jaccard similarity or more, as src, dst."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    some = sets.join(ids, "id", "left_semi")
+    both = (pairs.join(some.select(F.col("id").alias("a"), F.col("s").alias("p")), "a")
+            .join(some.select(F.col("id").alias("b"), F.col("s").alias("q")), "b"))
+    common = F.size(F.array_intersect("p", "q"))
+    return both.where(common + 1e-9 >= similarity * (F.size("p") + F.size("q") - common)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def similar_links(sets: DataFrame, similarity: float, bucket: int = BUCKET) -> DataFrame:
+    """Links (src, dst) among sets of hashes (id, s), enough that the components are those of all pairs whose Jaccard similarity is
+    `similarity` or more; each one verified on the sets.
+
+    Pairs meet under a key of their prefixes. Keys of more than `bucket` sets go to the end of the order, which keeps lines that many
+    texts have out of the prefixes. Under each key all are compared with the least; then all pairs that these links leave in different
+    components. A key whose sets are one component by then makes no more pairs.
     """
-    often = _keys(classes).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    bitmap = repeated_filter(_mixed(often))
-    met = stored(_keys(classes, bitmap), "met")
-    w = F.struct(F.xxhash64("key", "id").alias("h"), "id").alias("w")
-    same = stored(met.where("key = own").select("key", w), "same")
-    drawn = stored(met.groupBy("key", "own").agg(F.min(w).alias("w")).select("key", "w"), "drawn")
-    pairs = _stars(same, "alike").union(_stars(drawn, "near")).distinct()
-    five = classes.select("id", F.slice("prints", 2 + PRINTS, PRINTS).alias("p"))
-    both = (pairs.join(five.select(F.col("id").alias("a"), F.col("p").alias("p")), "a")
-            .join(five.select(F.col("id").alias("b"), F.col("p").alias("q")), "b"))
-    far = sum((F.bit_count(F.col("p")[i].bitwiseXOR(F.col("q")[i])) for i in range(PRINTS)), F.lit(0))
-    return both.where(far <= distance_limit(similarity, 64 * PRINTS)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    often = prefixes(sets, similarity).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("key")
+    entries = prefixes(sets, similarity, repeated_filter(_mixed(often)))
+    groups = stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("x")).where("k > 1").select("key", "x"), "groups")
+    met = stored(entries.join(groups, "key"), "met")
+    sizes = met.groupBy("id").agg(F.first("n").alias("n"))
+    near = lambda n, m: F.least(n, m) + 1e-9 >= similarity * F.greatest(n, m)
+    stars = met.where("id <> x").select(F.col("x").alias("a"), F.col("id").alias("b"), "n").distinct()
+    stars = stars.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("m")), "a").where(near("n", "m")).select("a", "b")
+    first = stored(_alike(stored(stars, "stars"), sets, similarity), "links")
+    roots = connected_components(first)
+    rooted = stored(met.join(roots, met["id"] == roots["node"], "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")), "rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("t")).where("r <> t").select("key")
+    open_ = stored(rooted.join(mixed, "key", "left_semi"), "open")
+    other = open_.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("root").alias("t"))
+    rest = (open_.join(other, "key").where((F.col("id") < F.col("b")) & (F.col("root") != F.col("t")) & near("n", "m"))
+            .select(F.col("id").alias("a"), "b").distinct())
+    return first.union(_alike(stored(rest, "rest"), sets, similarity))
 
 
 def _mixed(keys: DataFrame) -> DataFrame:
@@ -216,31 +221,32 @@ def dedup(docs: DataFrame, similarity: float | None = 0.8, radius: int = 2, id_c
     """One row of each component of near copies, with all its columns: that of the smallest id (nulls last), then of the least text hash.
 
     Near copies differ in at most `radius` bits of the 64-bit fingerprint of three-word shingles, as in near_duplicates(), or are
-    alike by `similarity` (an estimate of the Jaccard similarity of five-word shingles, see similar_links); None: only the former.
+    have a Jaccard similarity of five-word shingles of `similarity` or more (verified on the shingles); None: only the former.
     """
     raw = F.xxhash64(F.coalesce(F.col("__text").cast("string"), F.lit("")))
     plain = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).withColumn("__raw", raw)
 
     def make():
         def work(texts: list[str]) -> list[pa.Array]:
-            if similarity is None:
-                return [pa.array([[fingerprint(shingle_hashes(t, 3))] for t in texts], type=pa.list_(pa.int64()))]
-            return [pa.array([wide_prints(t) for t in texts], type=pa.list_(pa.int64()))]
+            sets = [np.zeros(0, dtype=np.uint64) if similarity is None else shingle_set(t) for t in texts]
+            return [pa.array([fingerprint(shingle_hashes(t, 3)) for t in texts], type=pa.int64()),
+                    pa.array([x.view(np.int64) for x in sets], type=pa.list_(pa.int64()))]
 
         return work
 
-    prints = stored(map_texts(plain, ["__id", "__raw"], "__text", [("prints", "array<long>")], make), "prints")
+    prints = stored(map_texts(plain, ["__id", "__raw"], "__text", [("fp", "long"), ("s", "array<long>")], make)
+                    .withColumn("row", F.monotonically_increasing_id()), "prints")
     first = F.min(F.struct(F.col("__id").isNull().alias("z"), F.col("__id").alias("d"), F.col("__raw").alias("r")))
-    classes = stored(prints.groupBy("prints").agg(first.alias("first")).withColumn("id", F.monotonically_increasing_id()), "classes")
-    by_print = F.col("prints")[0].alias("fp")
-    heads = stored(classes.groupBy(by_print).agg(F.min("id").alias("head")), "heads")
+    # equal texts but for white space and case are one class; its set is that of its row `id`
+    classes = stored(prints.groupBy("fp", F.xxhash64("s").alias("h")).agg(first.alias("first"), F.min("row").alias("id")).drop("h"), "classes")
+    heads = stored(classes.groupBy("fp").agg(F.min("id").alias("head")), "heads")
     near = links(heads.select("fp"), radius)
     near = (near.join(heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src")
             .join(heads.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    same = classes.select(by_print, "id").join(heads, "fp").where("id <> head").select(F.col("id").alias("src"), F.col("head").alias("dst"))
+    same = classes.select("fp", "id").join(heads, "fp").where("id <> head").select(F.col("id").alias("src"), F.col("head").alias("dst"))
     edges = near.union(same)
     if similarity is not None:
-        edges = edges.union(similar_links(classes, similarity))
+        edges = edges.union(similar_links(prints.join(classes, prints["row"] == classes["id"], "left_semi").select(F.col("row").alias("id"), "s"), similarity))
     roots = connected_components(edges)
     rooted = classes.join(roots, classes["id"] == roots["node"], "left").select("first", F.coalesce("root", "id").alias("root"))
     kept = stored(rooted.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.d").alias("__id"), F.col("f.r").alias("__raw")), "kept")

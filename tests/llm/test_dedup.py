@@ -176,3 +176,34 @@ def test_ball_keys():
 
     keys = simhash.ball_keys(np.array([[1, -1], [3, 0]], dtype=np.int64))
     assert keys.shape == (2, 4 * 33) and len(set(keys[0]) & set(keys[1])) >= 33
+
+
+def test_similar_links_are_those_of_brute_force(spark):
+    """Pairs on both sides of 0.8, in a template that fills many keys, have the components of brute force, whatever is crowded."""
+    import numpy as np
+
+    rng = random.Random(33)
+    docs, template = [], prose(rng, 60)
+    for _ in range(40):
+        base = f"{template} {prose(rng, rng.randint(60, 240))}".split()
+        docs.append(" ".join(base))
+        for edits in (2, 3, 4, 5):
+            words = list(base)
+            for _ in range(max(1, edits * len(words) // 200)):
+                words[rng.randrange(len(words))] = "new" + str(rng.randint(0, 999))
+            docs.append(" ".join(words))
+    sets = [set(simhash.shingle_set(t).tolist()) for t in docs]
+    want = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = want[i], want[j]
+                want = [min(a, b) if w in (a, b) else w for w in want]
+    df = spark.createDataFrame([(i, simhash.shingle_set(t).view(np.int64).tolist()) for i, t in enumerate(docs)], "id long, s array<long>")
+    for bucket in (2, 16):
+        links = [(r.src, r.dst) for r in simhash.similar_links(df, 0.8, bucket).collect()]
+        assert all(len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8 for a, b in links)
+        found = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "src long, dst long")).collect()}
+        assert [found.get(i, i) for i in range(len(docs))] == want
+    kept = simhash.dedup(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
