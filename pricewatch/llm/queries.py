@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewatch.llm import bpe, chat, compact_windows, exact_dedup, lm_score, packing, partition_index, pii, simhash, toxicity
+from pricewatch.llm import bpe, chat, compact_windows, exact_dedup, lm_score, minhash, packing, partition_index, pii, simhash, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -79,6 +79,10 @@ def op10_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
     return compact_windows.shared_passages(table(spark, folder, "documents"))
 
 
+def op11_setsketch(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), width=3, percent=85)
+
+
 QUERIES = {
     "op1_partition_ann": op1_partition_ann,
     "op2_packing": op2_packing,
@@ -90,6 +94,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_chat_format": op9_chat_format,
     "op10_compact_windows": op10_compact_windows,
+    "op11_setsketch": op11_setsketch,
 }
 
 ORACLE = {
