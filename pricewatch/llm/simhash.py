@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricewatch.llm.bitmap import in_filter, repeated_filter
+from pricewatch.llm.blocks import met_under_keys, open_links, stars, verified
 from pricewatch.llm.components import connected_components
 from pricewatch.llm.shared import map_texts, mix, slices, stored, words_of
 
@@ -143,70 +144,52 @@ def ball_keys(prints: np.ndarray) -> np.ndarray:
     return keys.reshape(len(prints), -1)
 
 
-def _least_shared(n: int, similarity: float) -> int:
+def _least_shared(n: int, percent: int) -> int:
     """Elements that a set of n shares at least with each set of this similarity."""
-    return int(np.ceil(similarity * n - 1e-9))
+    return -(-percent * n // 100)
 
 
-def prefixes(sets: DataFrame, similarity: float, bitmap=None) -> DataFrame:
-    """key, id, n: of each set (id, s) of n hashes the first n - _least_shared() + 1 in an order common to all sets: those in the bit map
-    last. Two sets of this similarity have one of these keys in common, whatever the order."""
-    shared = None if bitmap is None else sets.sparkSession.sparkContext.broadcast(bitmap)
+def prefixes(texts: DataFrame, percent: int, bitmap=None) -> DataFrame:
+    """key, id, n: of the shingle set of each text (id, text) the first n - _least_shared() + 1 of its n hashes in an order common to all
+    sets: those in the bit map last. Two sets of this similarity have one of these keys in common, whatever the order."""
+    shared = None if bitmap is None else texts.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 512):
                 keys, ids, sizes = [np.zeros(0, dtype=np.int64)], [], []
-                for i, s in zip(part.column(0).to_pylist(), part.column(1)):
-                    x = s.values.to_numpy(zero_copy_only=False)
+                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    x = shingle_set(text).view(np.int64)
                     if len(x) and shared is not None:
                         x = x[np.argsort(in_filter(shared.value, mix(x.view(np.uint64), 7)), kind="stable")]
-                    keys.append(x[:len(x) - _least_shared(len(x), similarity) + 1] if len(x) else x)
+                    keys.append(x[:len(x) - _least_shared(len(x), percent) + 1] if len(x) else x)
                     ids.append(i)
                     sizes.append(len(x))
                 times = [len(k) for k in keys[1:]]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(ids, dtype=np.int64), times)),
-                    pa.array(np.repeat(np.array(sizes, dtype=np.int32), times))], names=["key", "id", "n"])
+                    pa.array(np.repeat(np.array(sizes, dtype=np.int64), times))], names=["key", "id", "n"])
 
-    return sets.select("id", "s").mapInArrow(run, "key long, id long, n int")
+    return texts.select("id", "text").mapInArrow(run, "key long, id long, n long")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have this Jaccard similarity or more, as src, dst."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    some = sets.join(ids, "id", "left_semi")
-    both = (pairs.join(some.select(F.col("id").alias("a"), F.col("s").alias("p")), "a")
-            .join(some.select(F.col("id").alias("b"), F.col("s").alias("q")), "b"))
-    common = F.size(F.array_intersect("p", "q"))
-    return both.where(common + 1e-9 >= similarity * (F.size("p") + F.size("q") - common)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-
-
-def similar_links(sets: DataFrame, similarity: float, bucket: int = BUCKET) -> DataFrame:
-    """Links (src, dst) among sets of hashes (id, s), enough that the components are those of all pairs whose Jaccard similarity is
-    `similarity` or more; each one verified on the sets.
+def similar_links(texts: DataFrame, percent: int, bucket: int = BUCKET) -> DataFrame:
+    """Links (src, dst) among texts (id, text), enough that the components are those of all pairs whose five-word shingles have a Jaccard
+    similarity of percent / 100 or more; each one verified on the full sets.
 
     Pairs meet under a key of their prefixes. Keys of more than `bucket` sets go to the end of the order, which keeps lines that many
-    texts have out of the prefixes. Under each key all are compared with the least; then all pairs that these links leave in different
-    components. A key whose sets are one component by then makes no more pairs.
+    texts have out of the prefixes. Under each key all are compared with one of them; what is open then is compared in blocks
+    (blocks.py). `texts` is a stored table; sets are made again from it, and stored for the texts that meet another one only.
     """
-    often = prefixes(sets, similarity).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("key")
-    entries = prefixes(sets, similarity, repeated_filter(_mixed(often)))
-    groups = stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("x")).where("k > 1").select("key", "x"), "groups")
-    met = stored(entries.join(groups, "key"), "met")
-    sizes = met.groupBy("id").agg(F.first("n").alias("n"))
-    near = lambda n, m: F.least(n, m) + 1e-9 >= similarity * F.greatest(n, m)
-    stars = met.where("id <> x").select(F.col("x").alias("a"), F.col("id").alias("b"), "n").distinct()
-    stars = stars.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("m")), "a").where(near("n", "m")).select("a", "b")
-    first = stored(_alike(stored(stars, "stars"), sets, similarity), "links")
-    roots = connected_components(first)
-    rooted = stored(met.join(roots, met["id"] == roots["node"], "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")), "rooted")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("t")).where("r <> t").select("key")
-    open_ = stored(rooted.join(mixed, "key", "left_semi"), "open")
-    other = open_.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("root").alias("t"))
-    rest = (open_.join(other, "key").where((F.col("id") < F.col("b")) & (F.col("root") != F.col("t")) & near("n", "m"))
-            .select(F.col("id").alias("a"), "b").distinct())
-    return first.union(_alike(stored(rest, "rest"), sets, similarity))
+    often = prefixes(texts, percent).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("key")
+    met = met_under_keys(prefixes(texts, percent, repeated_filter(_mixed(often))))
+
+    def make():
+        return lambda rows: [pa.array([shingle_set(t).view(np.int64) for t in rows], type=pa.list_(pa.int64()))]
+
+    wanted = stored(met.select("id").distinct(), "wanted")
+    sets = stored(map_texts(texts.join(wanted, "id", "left_semi"), ["id"], "text", [("s", "array<long>")], make), "sets")
+    return open_links(met, stored(verified(stars(met, percent), sets, percent), "links"), sets, percent)
 
 
 def _mixed(keys: DataFrame) -> DataFrame:
@@ -217,6 +200,15 @@ def _mixed(keys: DataFrame) -> DataFrame:
     return keys.mapInArrow(run, "key long")
 
 
+def _first_texts(plain: DataFrame, prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, text of the first document of each class."""
+    lead = classes.select("id", F.col("first.d").alias("__d"), F.col("first.r").alias("__r"))
+    found = plain.join(lead, (plain["__raw"] == lead["__r"]) & plain["__id"].eqNullSafe(lead["__d"]))
+    texts = found.select("id", F.coalesce(F.col("__text").cast("string"), F.lit("")).alias("text"))
+    repeated = prints.groupBy("__id", "__raw").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return stored(texts if repeated.isEmpty() else texts.dropDuplicates(["id"]), "texts")
+
+
 def dedup(docs: DataFrame, similarity: float | None = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of near copies, with all its columns: that of the smallest id (nulls last), then of the least text hash.
 
@@ -228,17 +220,16 @@ def dedup(docs: DataFrame, similarity: float | None = 0.8, radius: int = 2, id_c
 
     def make():
         def work(texts: list[str]) -> list[pa.Array]:
-            sets = [np.zeros(0, dtype=np.uint64) if similarity is None else shingle_set(t) for t in texts]
-            return [pa.array([fingerprint(shingle_hashes(t, 3)) for t in texts], type=pa.int64()),
-                    pa.array([x.view(np.int64) for x in sets], type=pa.list_(pa.int64()))]
+            own = [xxhash.xxh64_intdigest(shingle_set(t).tobytes()) if similarity is not None else 0 for t in texts]
+            return [pa.array([fingerprint(shingle_hashes(t, 3)) for t in texts], type=pa.int64()), pa.array(np.array(own, dtype=np.uint64).view(np.int64))]
 
         return work
 
-    prints = stored(map_texts(plain, ["__id", "__raw"], "__text", [("fp", "long"), ("s", "array<long>")], make)
+    prints = stored(map_texts(plain, ["__id", "__raw"], "__text", [("fp", "long"), ("h", "long")], make)
                     .withColumn("row", F.monotonically_increasing_id()), "prints")
     first = F.min(F.struct(F.col("__id").isNull().alias("z"), F.col("__id").alias("d"), F.col("__raw").alias("r")))
-    # equal texts but for white space and case are one class; its set is that of its row `id`
-    classes = stored(prints.groupBy("fp", F.xxhash64("s").alias("h")).agg(first.alias("first"), F.min("row").alias("id")).drop("h"), "classes")
+    # equal texts but for white space and case are one class
+    classes = stored(prints.groupBy("fp", "h").agg(first.alias("first"), F.min("row").alias("id")).drop("h"), "classes")
     heads = stored(classes.groupBy("fp").agg(F.min("id").alias("head")), "heads")
     near = links(heads.select("fp"), radius)
     near = (near.join(heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src")
@@ -246,7 +237,7 @@ def dedup(docs: DataFrame, similarity: float | None = 0.8, radius: int = 2, id_c
     same = classes.select("fp", "id").join(heads, "fp").where("id <> head").select(F.col("id").alias("src"), F.col("head").alias("dst"))
     edges = near.union(same)
     if similarity is not None:
-        edges = edges.union(similar_links(prints.join(classes, prints["row"] == classes["id"], "left_semi").select(F.col("row").alias("id"), "s"), similarity))
+        edges = edges.union(similar_links(_first_texts(plain, prints, classes), round(100 * similarity)))
     roots = connected_components(edges)
     rooted = classes.join(roots, classes["id"] == roots["node"], "left").select("first", F.coalesce("root", "id").alias("root"))
     kept = stored(rooted.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.d").alias("__id"), F.col("f.r").alias("__raw")), "kept")

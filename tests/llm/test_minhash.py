@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from conftest import prose
 
-from pricewatch.llm import minhash, setsketch
+from pricewatch.llm import blocks, minhash, setsketch
 
 
 def shingles(text, width):
@@ -60,8 +60,8 @@ def test_equals_all_pairs(spark, rng, width, percent):
 @pytest.mark.parametrize("tile", [(512, 1 << 18), (7, 500)])
 def test_one_large_group_of_unlike_copies(spark, rng, monkeypatch, tile):
     """Copies of one text, most of them too far from each other to be linked: crowded keys that stay open."""
-    monkeypatch.setattr(minhash, "TILE_SETS", tile[0])
-    monkeypatch.setattr(minhash, "TILE_SHINGLES", tile[1])
+    monkeypatch.setattr(blocks, "TILE_SETS", tile[0])
+    monkeypatch.setattr(blocks, "TILE_SHINGLES", tile[1])
     base = prose(rng, 150)
     texts = [edited(rng, base, rng.uniform(0, 0.12)) for _ in range(150)] + [edited(rng, base, 0.05).rsplit(" ", rng.randint(1, 30))[0] for _ in range(50)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -77,10 +77,10 @@ def test_empty(empty):
 
 
 def test_common_counts(rng, monkeypatch):
-    monkeypatch.setattr(minhash, "COLUMNS", 5)
+    monkeypatch.setattr(blocks, "COLUMNS", 5)
     draw = lambda: np.array(sorted(rng.sample(range(40), rng.randint(1, 20))), dtype=np.uint64)
     a, b = [draw() for _ in range(9)], [draw() for _ in range(7)]
-    assert minhash._common(a, b).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+    assert blocks._common(a, b).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
 
 
 # --- sketches
