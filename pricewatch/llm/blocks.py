@@ -19,7 +19,7 @@ from pricewatch.llm.components import connected_components
 from pricewatch.llm.shared import stored
 
 #: Sets and elements of a tile, beyond which it is divided. One set may have more elements.
-TILE_SETS, TILE_SHINGLES = 512, 1 << 18
+TILE_SETS, TILE_SHINGLES = 2048, 1 << 20
 #: Elements that one matrix product takes.
 COLUMNS = 4096
 
