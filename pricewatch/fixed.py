@@ -223,3 +223,22 @@ NO_TRADE_IN_PATTERN = (r"(?:degis\s+tokus|takas)\s+olmadan\s+"
                        r"(\d{1,3}(?:\.\d{3})+|\d+)(?:,(\d{1,2})|\s*(\d{2}))?\s*tl")
 LOW_STOCK_PATTERN = r"stokta\s+sadece\s+(\d+)\s+adet\s+kaldi"
 USED_PRICE_PATTERN = r"diger\s+satin\s+alma\s+secenekleri\s+(\d{1,3}(?:\.\d{3})*,\d{2}|\d+(?:,\d{2})?)\s*tl"
+
+# --- health messages: fixed values ------------------------------------------
+SUMMARY_WARNING = "özet uyarısı"
+SUMMARY_WARNING_LINES = [
+    "Özet tablodaki ürün sayısı 5 ardışık tur boyunca beklenenden fazla düştü.",
+    "Beklenen ürün sayısı: {expected}",
+    "Bu tur bulunan ürün sayısı: {found}",
+    "Fark: -{missing}",
+    "Config'i, özellikle Amazon arama linklerini kontrol etmeni öneririm. "
+    "Amazon arama linkleri geçici olarak boş veya eksik dönmüş olabilir.",
+]
+SEARCH_WARNING = "arama erişim uyarısı"
+SEARCH_WARNING_LINES = [
+    "Arama sayfalarinda anlamli sayida erisim hatasi yakalandi.",
+    "Etkilenen arama sayfasi: {pages}",
+    "Hata veren link sayisi: {links}",
+    "Bos arama sonuclari bu uyarinin disindadir. Erisim, koruma veya sayfa hatasi olan linkleri kontrol etmeni oneririm.",
+]
+MESSAGE_LIMIT = 900

@@ -49,14 +49,13 @@ def format_signed(c: Column, currency: bool = False) -> Column:
 def money_from_text(c: Column) -> Column:
     """Amount from text the display functions wrote: dots are always thousands."""
     text = F.regexp_replace(strip(text_or_empty(c)), r"TL|[ +.]", "")
-    text = F.replace(text, F.lit(","), F.lit("."))
-    return F.when(text.rlike(r"^-?\d+(\.\d*)?$"), text.try_cast(MONEY))
+    return let(F.replace(text, F.lit(","), F.lit(".")), lambda x: F.when(x.rlike(r"^-?\d+(\.\d*)?$"), x.try_cast(MONEY)))
 
 
 def display_money(c: Column, signed: bool = False) -> Column:
     """Rewrite display text as whole liras; text that is no amount passes through."""
     text = strip(text_or_empty(c))
-    return let(text, lambda x: _display(x, money_from_text(x), signed))
+    return let(text, lambda x: let(money_from_text(x), lambda amount: _display(x, amount, signed)))
 
 
 def _display(text: Column, amount: Column, signed: bool) -> Column:

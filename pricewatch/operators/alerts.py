@@ -7,7 +7,8 @@ A price alert is due when the price is at or under the target and
 
 The rule refers to its own earlier alerts, yet most of it needs no sequential loop. Some rows alert whatever
 happened before them; they cut the history into independent segments. Inside a segment the last alerted price is
-the running minimum, a window. Only daily-mode segments that last 24 hours or longer without such a cut are folded.
+the running minimum, a window. In daily-mode segments that last 24 hours or longer without such a cut each row points to the one
+that would alert next, had it alerted itself, and the chain of pointers is followed (`chains`).
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import fixed
-from .fold import sorted_fold
+from ..session import written
+from .chains import chosen
 from .history import KEYS, TIES, TIME, offer_scan
 from .skew import HistoryScan, top_per_key
 
@@ -123,28 +125,32 @@ def alert_decisions(obs: DataFrame, state: DataFrame | None = None, scan: Histor
         moment = Window.partitionBy(*KEYS, "_segment", TIME, "notify_once_in_24h").orderBy(*TIES)
         seen = F.min(F.when(told, price)).over(moment.rowsBetween(Window.unboundedPreceding, -1))
         can_alert = told & (seen.isNull() | (price < seen) | cut)
+        # what is left out of `can_alert` never alerts, and changes nothing
         rows = rows.withColumn("_fold", F.col("_due") & can_alert)
-        return rows.select(*columns, "_segment", "_at", "_cut", "_cut_at", "_cut_price", "_lower", "_fold")
-
-    rows = (scan or offer_scan()).apply(obs, build)
-    simple = rows.where(~F.col("_fold")).withColumn("sent", ~forced & (cut | F.col("_lower")))
-    folded = _fold_days(rows.where("_fold"))
-    return simple.unionByName(folded).select(*columns, "sent")
-
-
-def _fold_days(rows: DataFrame) -> DataFrame:
-    def start(row):
-        return (row.cut_price, row.cut_at)
-
-    def step(state, row):
-        if row.cut:
-            return (row.price, row.at), (not row.forced_sent,)
-        late = row.notify_once_in_24h and row.at - state[1] >= DAY_MICROS
-        if row.price < state[0] or late:
-            return (row.price, row.at), (True,)
-        return state, (False,)
-
-    return sorted_fold(rows, [*KEYS, "_segment"], [TIME, *TIES], start, step, "sent boolean")
+        rows = scan.add(rows, {"_rank": ("sum", F.col("_fold").cast("bigint"))}, True, ["_segment"])
+        rows = written(rows.select(*columns, "_segment", "_at", "_cut", "_cut_at", "_cut_price", "_lower", "_fold", "_rank"))
+        simple = rows.where(~F.col("_fold")).withColumn("sent", ~forced & (cut | F.col("_lower")))
+        dense = rows.where("_fold")
+        if dense.isEmpty():
+            return simple.select(*columns, "sent")
+        return simple.select(*columns, "sent").unionByName(_dense_segments(dense).select(*columns, "sent"))
+
+    return (scan or offer_scan()).apply(obs, build)
+
+
+def _dense_segments(rows: DataFrame) -> DataFrame:
+    """Add `sent` to rows that can all set the alert memory. After a row that alerted, the first lower price alerts, or the first
+    daily row a day later."""
+    at, price = F.col("_at"), F.col("price")
+    rows = rows.withColumns({
+        "_k": F.struct(*KEYS, "_segment"), "_price": price, "_late": F.when(F.col("notify_once_in_24h"), -at),
+        "_less": price, "_day": 1 - at - DAY_MICROS})
+    # the first segment of an offer has no row that cuts: its memory is that of the state
+    memory = rows.groupBy("_k").agg(F.max("_cut").alias("c"), F.max("_cut_price").alias("p"), F.max("_cut_at").alias("t")).where("not c")
+    roots = memory.select("_k", F.lit(0).cast("long").alias("_rank"), F.col("p").cast(rows.schema["price"].dataType).alias("_less"),
+                          (1 - F.col("t") - DAY_MICROS).alias("_day"))
+    told = chosen(rows, [("_price", "_less"), ("_late", "_day")], F.col("_cut"), roots)
+    return told.withColumn("sent", F.col("_on") & ~F.col("forced_sent"))
 
 
 def alert_reasons(decided: DataFrame, scan: HistoryScan | None = None) -> DataFrame:

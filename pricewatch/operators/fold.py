@@ -1,50 +1,14 @@
-"""Sequential folds for the few rules that really depend on their own earlier decisions.
-
-Rows are hash partitioned on the fold key and sorted, then one Python loop per partition carries the state from
-Arrow batch to Arrow batch. A long group is streamed through, never collected.
-"""
+"""Cooldowns: of a history, the rows that are a given time apart."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import StructType
 
+from ..session import written
+from .chains import chosen
 from .skew import HOT_MIN_ROWS, HistoryScan
 
 
-def sorted_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable, step: Callable, outputs: str) -> DataFrame:
-    """Fold the rows of every key in order.
-
-    `start(row) -> state` opens a key, `step(state, row) -> (state, outputs tuple)`; rows are named tuples.
-    `outputs` is the DDL of the columns that are added.
-    """
-    added = StructType.fromDDL(outputs)
-    names = added.fieldNames()
-    # Named tuples cannot have fields that begin with an underscore.
-    fields = {c: c.lstrip("_") for c in df.columns}
-
-    def run(batches):
-        current, state = None, None
-        for pdf in batches:
-            rows = pdf.rename(columns=fields).astype(object)
-            rows = rows.where(rows.notna(), None)
-            made = []
-            for row in rows.itertuples(index=False, name="Row"):
-                key = tuple(getattr(row, fields[k]) for k in keys)
-                if key != current:
-                    current, state = key, start(row)
-                state, out = step(state, row)
-                made.append(out)
-            cols = {n: pd.Series([m[i] for m in made], index=pdf.index, dtype=object) for i, n in enumerate(names)}
-            yield pdf.assign(**cols)
-
-    schema = StructType([*df.schema.fields, *added.fields])
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
-
-
 def spaced_pick(df: DataFrame, keys: list[str], time: str, ties: list[str], seconds: int, out: str = "picked",
                 since: str | None = None, eligible: Column | None = None,
                 hot_min_rows: int = HOT_MIN_ROWS) -> DataFrame:
@@ -52,10 +16,11 @@ def spaced_pick(df: DataFrame, keys: list[str], time: str, ties: list[str], seco
     let through. `since` names a column with the time of an earlier pick; rows that are not `eligible` never pass.
 
     A row that comes `seconds` or more after the row before it always passes, so the history splits there into
-    independent islands. In an island shorter than `seconds` only its first row passes. Only longer islands need
-    the sequential rule, and from them only the first row of each moment is folded.
+    independent islands. In an island shorter than `seconds` only its first row passes. In longer ones the first row of each
+    moment points to the first one at least `seconds` later, and the chain of pointers is followed (`chains`).
     """
     span = seconds * 1_000_000
+    work = ["_at", "_opens", "_island", "_began", "_fold", "_rank"]
     base = F.lit(None).cast("bigint") if since is None else F.unix_micros(F.col(since))
 
     def build(rows: DataFrame, scan: HistoryScan) -> DataFrame:
@@ -73,16 +38,16 @@ def spaced_pick(df: DataFrame, keys: list[str], time: str, ties: list[str], seco
         rows = scan.any_in(rows, "_long", F.col("_may") & F.coalesce(F.col("_at") - F.col("_began") >= span, F.lit(False)), ["_island"])
         moment = Window.partitionBy(*keys, "_island", time, "_may").orderBy(*(ties or [time]))
         rows = rows.withColumn("_fold", F.col("_long") & F.col("_may") & (F.row_number().over(moment) == 1))
-        return rows.drop("_before", "_long", "_may")
-
-    def start(row):
-        return None if row.opens else row.began
-
-    def step(last, row):
-        ok = last is None or row.at - last >= span
-        return (row.at if ok else last), (ok,)
-
-    rows = HistoryScan(keys, time, ties, hot_min_rows).apply(df, build)
-    plain = rows.where(~F.col("_fold")).withColumn(out, F.col("_opens"))
-    folded = sorted_fold(rows.where("_fold"), [*keys, "_island"], [time], start, step, f"`{out}` boolean")
-    return plain.unionByName(folded).drop("_at", "_opens", "_island", "_began", "_fold")
+        rows = written(scan.add(rows, {"_rank": ("sum", F.col("_fold").cast("bigint"))}, True, ["_island"]).drop("_before", "_long", "_may"))
+        plain = rows.where(~F.col("_fold")).withColumn(out, F.col("_opens"))
+        dense = rows.where("_fold")
+        if dense.isEmpty():
+            return plain.drop(*work)
+        # later is smaller: the first row with -at below -(at + span) + 1
+        dense = dense.withColumns({"_k": F.struct(*keys, "_island"), "_value": -F.col("_at"), "_bound": 1 - F.col("_at") - span})
+        # an island that no row opens goes on from the pick before it
+        began = dense.groupBy("_k").agg(F.max("_opens").alias("o"), F.max("_began").alias("b")).where("not o")
+        roots = began.select("_k", F.lit(0).cast("long").alias("_rank"), (1 - F.col("b") - span).alias("_bound"))
+        return plain.unionByName(chosen(dense, [("_value", "_bound")], F.col("_opens"), roots, out).drop("_k", "_value", "_bound")).drop(*work)
+
+    return HistoryScan(keys, time, ties, hot_min_rows).apply(df, build)

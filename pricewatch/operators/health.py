@@ -10,7 +10,9 @@ from ..functions.text import (
     clean_error, error_links, item_key, keyword_caption, preview, strip, text_or_empty, unique_text,
 )
 from ..functions.urls import detect_site, first_url, site_label
-from .fold import sorted_fold, spaced_pick
+from ..session import written
+from .chains import chosen
+from .fold import spaced_pick
 from .skew import HOT_MIN_ROWS, HistoryScan, top_per_key
 
 
@@ -26,9 +28,13 @@ def row_count_alerts(cycles: DataFrame, zone: str = "Europe/Istanbul", hot_min_r
     baseline and raises the streak; any other row becomes the baseline. An alert needs a streak of 5, an hour
     outside the quiet ones, and an hour since the last alert.
 
-    A count at or above every count since the signature changed cannot be a drop under any baseline, so the fold
-    restarts there; pieces between such rows are independent.
+    A count at or above every count since the signature changed cannot be a drop under any baseline, so the rule restarts
+    there; pieces between such rows are independent. In a piece of several rows each one points to the row that would replace it
+    as baseline, and the chain of these pointers is followed (`chains`).
     """
+    least, ratio = fixed.DROP_MIN_DELTA, fixed.DROP_RATIO
+    count = F.col("row_count").cast("bigint")
+    work = ["_cut", "_piece", "_fold", "_rank"]
 
     def build(rows: DataFrame, scan: HistoryScan) -> DataFrame:
         rows = scan.add(rows, {"_sig": ("last", F.col("signature"))}, include_current=False)
@@ -37,26 +43,24 @@ def row_count_alerts(cycles: DataFrame, zone: str = "Europe/Istanbul", hot_min_r
         rows = scan.add(rows, {"_most": ("max", F.col("row_count"))}, include_current=False, extra_keys=["_run"])
         rows = rows.withColumn("_cut", F.col("_new") | F.coalesce(F.col("row_count") >= F.col("_most"), F.lit(True)))
         rows = scan.add(rows, {"_piece": ("sum", F.col("_cut").cast("bigint"))}, include_current=True)
-        return rows.drop("_sig", "_run", "_most", "_new")
-
-    least, ratio = fixed.DROP_MIN_DELTA, fixed.DROP_RATIO
-
-    def start(row):
-        return (row.row_count, 0)
-
-    def step(state, row):
-        base, streak = state
-        if row.cut:
-            return (row.row_count, 0), (row.row_count, 0)
-        dropped = base > 0 and base - row.row_count >= max(least, (base + ratio - 1) // ratio)
-        state = (base, streak + 1) if dropped else (row.row_count, 0)
-        return state, state
-
-    pieces = HistoryScan(["tracker"], "cycle_at", ["seq"], hot_min_rows).apply(cycles, build)
-    folded = sorted_fold(pieces, ["tracker", "_piece"], ["cycle_at", "seq"], start, step, "expected bigint, streak bigint")
+        rows = scan.any_in(rows.drop("_sig", "_run", "_most", "_new"), "_fold", ~F.col("_cut"), ["_piece"])
+        rows = written(scan.add(rows, {"_rank": ("sum", F.lit(1).cast("bigint"))}, True, ["_piece"]))
+        alone = rows.where(~F.col("_fold")).withColumns({"expected": count, "streak": F.lit(0).cast("bigint")})
+        pieces = rows.where("_fold")
+        if pieces.isEmpty():
+            return alone.drop(*work)
+        drop = F.greatest(F.lit(least), F.ceil(count / F.lit(ratio))).cast("bigint")
+        pieces = pieces.withColumns({"_k": F.struct("tracker", "_piece"), "_value": -count,
+                                     "_bound": F.when(count > 0, drop - count).otherwise(F.lit((1 << 63) - 1))})
+        based = written(chosen(pieces, [("_value", "_bound")], F.col("_cut")).drop("_k", "_value", "_bound"))
+        base = {"expected": ("last", F.when(F.col("_on"), count)), "_base_rank": ("last", F.when(F.col("_on"), F.col("_rank")))}
+        based = scan.add(based, base, True, ["_piece"]).withColumn("streak", F.col("_rank") - F.col("_base_rank"))
+        return alone.drop(*work).unionByName(based.drop("_on", "_base_rank", *work))
+
+    folded = HistoryScan(["tracker"], "cycle_at", ["seq"], hot_min_rows).apply(cycles, build)
     loud = (F.col("streak") >= fixed.DROP_STREAK) & ~quiet_hours(F.col("cycle_at"), zone)
     return spaced_pick(
-        folded.drop("_cut", "_piece"), ["tracker"], "cycle_at", ["seq"], fixed.HOUR_SECONDS, "alert",
+        folded, ["tracker"], "cycle_at", ["seq"], fixed.HOUR_SECONDS, "alert",
         eligible=loud, hot_min_rows=hot_min_rows,
     )
 

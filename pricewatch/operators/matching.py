@@ -2,45 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.money import format_money
-from ..functions.text import contains_any, fold_text, fold_word, match_phrase, rec, specificity, text_or_empty
+from ..functions.text import fold_text, fold_word, match_phrase, specificity, text_or_empty
+
+
+def _finder(wanted: list[str], excluded: list[str]) -> Callable[[], Callable[[str | None], int | None]]:
+    """Makes, in a task, the function that gives the number of the first wanted word, in list order, that is a substring of a folded
+    text, from 0; None when none is or an excluded word is one. An empty word is a substring of every text.
+
+    All words are one automaton, which reads a text once however many words there are.
+    """
+    first: dict[str, int] = {}
+    for i, word in enumerate(wanted):
+        first.setdefault(word, i)
+    barred = set(excluded)
+    always = first.get("", len(wanted))
+
+    def make():
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for word in {*first, *barred} - {""}:
+            machine.add_word(word, (first.get(word, len(wanted)), word in barred))
+        if len(machine):
+            machine.make_automaton()
+
+        def number(text: str | None) -> int | None:
+            if text is None or "" in barred:
+                return None
+            least = always
+            for _, (i, out) in machine.iter(text) if len(machine) else ():
+                if out:
+                    return None
+                least = min(i, least)
+            return least if least < len(wanted) else None
+
+        return number
+
+    return make
 
 
-def first_keyword(folded: Column, keywords: list[str]) -> Column:
-    """First keyword, in list order, that is a substring of the folded text; null when none is. One literal list of any length."""
-    if not keywords:
-        return F.lit(None).cast("string")
-    listed = F.array(*[rec(word=F.lit(w), low=F.lit(fold_word(w))) for w in keywords])
-    return F.try_element_at(F.filter(listed, lambda k: F.contains(folded, k["low"])), F.lit(1))["word"]
+def with_keyword(messages: DataFrame, keywords: list[str], excluded: list[str] | None = None, text: str = "text", keep: str = "all") -> DataFrame:
+    """Messages with `keyword`, the first keyword of the list that is a substring of the folded text; null when none is, or when an
+    excluded word is one. `keep`: all messages, those with a keyword (`hits`), or those without (`others`). Works on streams.
+
+    The text is folded once in the JVM and read once by an automaton of all words of both lists.
+    """
+    make = _finder([fold_word(w) for w in keywords], [fold_word(w) for w in excluded or []])
+    folded = messages.withColumn("_folded", fold_text(text_or_empty(F.col(text))))
+    schema = StructType([*messages.schema.fields, StructField("keyword", StringType())])
+
+    def run(batches):
+        number = make()
+        for batch in batches:
+            found = [number(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            named = pa.array([None if i is None else keywords[i] for i in found], type=pa.string())
+            out = pa.RecordBatch.from_arrays([*batch.columns[:-1], named], names=schema.names)
+            yield out if keep == "all" else out.filter(pa.array([(i is not None) == (keep == "hits") for i in found], type=pa.bool_()))
+
+    return folded.mapInArrow(run, schema)
 
 
 def match_keywords(messages: DataFrame, keywords: list[str], text: str = "text") -> DataFrame:
     """Messages that hold a keyword, with the first keyword of the list that matches. Works on streams."""
-    return keyword_hits(messages, keywords, [], text)
+    return with_keyword(messages, keywords, [], text, "hits")
 
 
 def drop_excluded(messages: DataFrame, excluded: list[str], text: str = "text") -> DataFrame:
     """Messages that hold none of the excluded words."""
-    low = [fold_word(w) for w in excluded]
-    return messages.where(~contains_any(fold_text(text_or_empty(F.col(text))), low))
+    return with_keyword(messages, excluded, [], text, "others").drop("keyword")
 
 
 def keyword_hits(messages: DataFrame, keywords: list[str], excluded: list[str], text: str = "text") -> DataFrame:
-    """`match_keywords` and `drop_excluded` in one pass.
-
-    The text is folded once; a message without a hit yields an empty list and vanishes in the explode.
-    """
-    out = [fold_word(w) for w in excluded]
-    folded = fold_text(text_or_empty(F.col(text)))
-
-    def rule(f):
-        hit = first_keyword(f, keywords)
-        return F.when(~contains_any(f, out), hit) if out else hit
-
-    found = F.array_compact(F.transform(F.array(folded), rule))
-    return messages.withColumn("keyword", F.explode(found))
+    """`match_keywords` and `drop_excluded` in one pass."""
+    return with_keyword(messages, keywords, excluded, text, "hits")
 
 
 def exclusion_reason(title: Column, price: Column, minimum: Column, terms: Column) -> Column:
@@ -73,22 +114,25 @@ def title_phrases(title: Column, longest: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(starts, from_start)))
 
 
+#: Distinct phrases up to which they are broadcast, so that word sequences are looked up where they are made.
+BROADCAST_PHRASES = 200_000
+
+
 def assign_most_specific(results: DataFrame, watches: DataFrame) -> DataFrame:
     """Pairs of result and watch whose name, as a whole-word phrase, is in the title, for the most specific names.
 
     `results`: result_id, title. `watches`: watch_key, name. Titles are cut into word sequences and equi-joined
-    with the phrases, so no pair is tested that does not match. Few phrases are broadcast by their size; with many,
-    a phrase that occurs in many titles is a skewed partition of the title side, which adaptive execution splits.
+    with the phrases, so no pair is tested that does not match. Phrases are counted first: up to BROADCAST_PHRASES of them go to the
+    tasks that cut the titles, and only sequences that are phrases leave these; more phrases are joined by a shuffle, in which
+    adaptive execution splits a phrase of many titles. The winners of a result are chosen by one window over its few matches.
     """
     phrases = watches.select("watch_key", match_phrase(F.col("name")).alias("phrase"), specificity(F.col("name")).alias("spec"))
     phrases = phrases.where("phrase != ''")
     best = phrases.groupBy("phrase").agg(F.max("spec").alias("spec"))
-    longest = phrases.agg(F.coalesce(F.max(F.size(F.split("phrase", " "))), F.lit(1)).alias("n")).scalar()
-    grams = results.withColumn("_n", longest).withColumn("phrase", F.explode(title_phrases(F.col("title"), F.col("_n"))))
-    grams = grams.drop("_n")
-    found = grams.join(best, ["phrase"])
-    # A result matches few phrases, so this group is small: the winner per result keeps all phrases of top rank.
-    top = found.groupBy("result_id").agg(F.max("spec").alias("top"))
-    winners = found.join(top, ["result_id"]).where(F.col("spec") == F.col("top")).drop("spec")
-    own = phrases.select("phrase", "watch_key", F.col("spec").alias("top"))
-    return winners.join(own, ["phrase", "top"]).withColumnRenamed("top", "specificity")
+    size = best.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(F.split("phrase", " "))), F.lit(1)).alias("longest")).first()
+    few = F.broadcast if size["n"] <= BROADCAST_PHRASES else (lambda df: df)
+    grams = results.select("result_id", F.explode(title_phrases(F.col("title"), F.lit(size["longest"]))).alias("phrase"))
+    found = grams.join(few(best), ["phrase"])
+    top = F.max("spec").over(Window.partitionBy("result_id"))
+    winners = found.withColumn("_top", top).where("spec = _top").drop("_top")
+    return winners.join(phrases, ["phrase", "spec"]).withColumnRenamed("spec", "specificity")

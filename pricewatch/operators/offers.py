@@ -208,10 +208,9 @@ def dedup_results(rows: DataFrame) -> DataFrame:
 
 
 def dedup_candidates(rows: DataFrame) -> DataFrame:
-    """Cheapest candidate per identity, else link, else folded title; in price order."""
+    """Cheapest candidate per identity, else link, else folded title. Sort by price and seq where the order is shown."""
     key = F.coalesce(F.nullif("identity", F.lit("")), F.nullif("url", F.lit("")), fold_text(F.col("title")))
-    best = top_per_key(rows.withColumn("_key", key), ["_key"], [F.col("price"), F.col("seq")]).drop("_key")
-    return best.orderBy("price", "seq")
+    return top_per_key(rows.withColumn("_key", key), ["_key"], [F.col("price"), F.col("seq")]).drop("_key")
 
 
 def dedup_by_difference(rows: DataFrame) -> DataFrame:

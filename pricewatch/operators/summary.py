@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import AtomicType
 
 from ..functions.labels import variant_group_label
 from ..functions.money import is_target_hit
@@ -71,26 +74,38 @@ def merge_summary(prev: DataFrame, fresh: DataFrame, prev_stock: DataFrame, fres
 
     A previous price row stays unless its identity is fresh or removed, or its link is newly out of stock. A
     previous stock row stays unless its link is fresh in either. `removed` has a column `identity`.
-    """
-    link = canonical_url(F.col("product_url"))
 
-    def with_keys(rows):
-        """Canonical link once, and the identity built from it."""
-        linked = rows.withColumn("_url", link)
-        tid = text_or_empty(F.col("tracking_id"))
-        ident = F.concat_ws("|", F.nullif(tid, F.lit("")), F.col("_url"), condition(F.col("is_warehouse")))
-        return linked.withColumn("_id", F.when(F.col("_url") == "", F.lit("")).otherwise(ident))
-
-    keyed = with_keys(fresh)
-    gone = keyed.select("_id")
+    Each table comes as one tagged union over one exchange by canonical link: which tags a link and an identity have are maxima over
+    windows that this exchange serves. Rows of a link are few, as both sides hold one for each card and condition; rows without a link
+    match nothing and are spread by their content.
+    """
+    def keyed(rows: DataFrame, tag: str, key_only: bool = False) -> DataFrame:
+        linked = rows.withColumns({"_url": canonical_url(F.col("product_url")), "_tag": F.lit(tag)})
+        return linked.select("_url", "_tag") if key_only else linked
+
+    def tagged(*parts: DataFrame) -> DataFrame:
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        plain = [f.name for f in rows.schema if isinstance(f.dataType, AtomicType)]
+        spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*plain), F.lit(4096)).cast("string"))
+        return rows.withColumn("_at", F.when(F.col("_url") != "", F.col("_url")).otherwise(spread))
+
+    def any_of(*tags: str, keys: tuple = ()) -> Column:
+        return F.max(F.col("_tag").isin(*tags)).over(Window.partitionBy("_at", *keys))
+
+    def chosen(rows: DataFrame, columns: list[str]) -> DataFrame:
+        return rows.where((F.col("_tag") == "fresh") | ((F.col("_tag") == "prev") & ~F.col("_gone"))).select(*columns)
+
+    tid = text_or_empty(F.col("tracking_id"))
+    ident = F.concat_ws("|", F.nullif(tid, F.lit("")), F.col("_url"), condition(F.col("is_warehouse")))
+    rows = tagged(keyed(prev, "prev"), keyed(fresh, "fresh"), keyed(fresh_stock, "stock", True)).withColumn("_id", ident)
+    gone = F.when(F.col("_url") == "", F.lit(False)).otherwise(any_of("stock") | any_of("fresh", keys=("_id",)))
+    kept = rows.withColumn("_gone", gone)
     if removed is not None:
-        gone = gone.union(removed.select(F.col("identity").alias("_id")))
-    gone = gone.where("_id != ''").distinct()
-    stock_links = fresh_stock.select(link.alias("_url")).where("_url != ''").distinct()
-    fresh_links = keyed.select("_url").where("_url != ''").union(stock_links).distinct()
-    kept = with_keys(prev).join(gone, ["_id"], "left_anti").join(stock_links, ["_url"], "left_anti").drop("_id", "_url")
-    kept_stock = prev_stock.withColumn("_url", link).join(fresh_links, ["_url"], "left_anti").drop("_url")
-    return kept.unionByName(fresh), kept_stock.unionByName(fresh_stock)
+        taken = removed.select(F.col("identity").alias("_id"), F.lit("prev").alias("_tag")).where("_id != ''")
+        kept = kept.join(taken.distinct(), ["_id", "_tag"], "left_anti")
+    stock = tagged(keyed(prev_stock, "prev"), keyed(fresh_stock, "fresh"), keyed(fresh, "row", True))
+    stock = stock.withColumn("_gone", F.when(F.col("_url") == "", F.lit(False)).otherwise(any_of("fresh", "row")))
+    return chosen(kept, prev.columns), chosen(stock, prev_stock.columns)
 
 
 # --- groups -----------------------------------------------------------------

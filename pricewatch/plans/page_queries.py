@@ -165,8 +165,8 @@ def drain(spark, stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(folder + "/out")
 
 
-def in_parts(spark, df: DataFrame, time: str, key: str, parts: int = 3) -> DataFrame:
-    """The rows of a table as a stream in the order of their time, in at least `parts` micro-batches.
+def in_parts(spark, df: DataFrame, time: str, key: str, parts: int = 3, last: DataFrame | None = None) -> DataFrame:
+    """The rows of a table as a stream in the order of `time`, in at least `parts` micro-batches; then `last`, if given.
 
     Each part holds a span of time; the rows of a key within it share a file, so no key overtakes itself.
     """
@@ -177,9 +177,20 @@ def in_parts(spark, df: DataFrame, time: str, key: str, parts: int = 3) -> DataF
     place = sum((F.coalesce(at > c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
     for i in range(len(cuts) + 1):
         df.where(place == i).repartition(2, key).write.parquet(f"{folder}/part={i}")
+    if last is not None:
+        last.write.parquet(f"{folder}/part={len(cuts) + 1}")
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
 
 
+def late_rows(spark, df: DataFrame, key: str) -> DataFrame:
+    """`df` as a stream in which each row arrives up to 48 hours after its time, so that rows of a key overtake each other in and
+    between micro-batches. A row of another key at the far end of time moves the watermark past all others."""
+    arriving = df.withColumn("_arrival", F.col("observed_at") + F.make_interval(hours=F.pmod(F.xxhash64("seq"), F.lit(49)).cast("int")))
+    end = arriving.orderBy(F.desc("observed_at")).limit(1).withColumns(
+        {key: F.lit("-1"), "observed_at": F.col("observed_at") + F.expr("interval 30 days"), "seq": F.lit(-1).cast("bigint")})
+    return in_parts(spark, arriving, "_arrival", key, 6, end.select(*arriving.columns)).drop("_arrival")
+
+
 @query(f"WITH {SQL_HITS} SELECT message_id, channel, keyword FROM hits")
 def keyword_alert_stream(spark, folder):
     """Every message arrives twice, the second time in a later micro-batch."""
@@ -202,7 +213,7 @@ def offer_alert_stream(spark, folder):
         F.col("value").cast("decimal(18,4)").alias("price"), F.lit(60).cast("decimal(18,4)").alias("target_price"),
         (F.col("user_id") % 3 > 0).alias("notify_once_in_24h"), F.lit(False).alias("forced_sent"),
     )
-    rows = drain(spark, streams.offer_alerts(in_parts(spark, checks, "observed_at", "offer_key")))
+    rows = drain(spark, streams.offer_alerts(late_rows(spark, checks, "offer_key"), "72 hours"))
     money = [F.col(c).cast(t.MONEY).alias(c) for c in ("price", "min_price", "max_price")]
     return rows.select(F.col("offer_key").cast("bigint").alias("offer_key"), F.col("seq").alias("event_id"), *money,
                        "min_price_at", "max_price_at", "sent")
@@ -229,7 +240,7 @@ def stock_return_stream(spark, folder):
         F.col("user_id").cast("string").alias("watch_key"), F.lit("bengurme").alias("site"), F.col("ts").cast("timestamp").alias("observed_at"),
         F.col("event_id").alias("seq"), outcome.alias("outcome"),
         F.array(offer(0, "a", price), offer(1, "b", F.when(even, price - 1).otherwise(price)), offer(2, "c", price)).alias("offers"))
-    rows = drain(spark, streams.stock_returns(in_parts(spark, cycles, "observed_at", "watch_key")))
+    rows = drain(spark, streams.stock_returns(late_rows(spark, cycles, "watch_key"), lateness="72 hours"))
     return rows.select(F.col("watch_key").cast("bigint").alias("watch_key"), "seq", "title", F.col("price").cast(t.MONEY).alias("price"))
 
 
@@ -242,12 +253,9 @@ FROM docs d LEFT JOIN (SELECT channel, max(n) AS n, make_timestamp((1704067200 +
     string_agg(message_id, ',' ORDER BY rn) FILTER (WHERE rn <= 5) AS recent FROM h GROUP BY 1) x USING (channel) GROUP BY 1""")
 def channel_status_stream(spark, folder):
     """The newest status of each channel after all micro-batches."""
-    from ..operators.matching import first_keyword
-    from ..functions.text import contains_any, fold_text, fold_word, text_or_empty
+    from ..operators.matching import with_keyword
 
-    folded = fold_text(text_or_empty(F.col("text")))
-    word = F.when(~contains_any(folded, [fold_word(w) for w in t.EXCLUDED]), first_keyword(folded, t.KEYWORDS))
-    messages = in_parts(spark, t.messages(spark, folder), "ts", "channel").withColumn("keyword", word)
+    messages = with_keyword(in_parts(spark, t.messages(spark, folder), "ts", "channel"), t.KEYWORDS, t.EXCLUDED)
     rows = drain(spark, streams.channel_status(messages))
     newest = rows.groupBy("channel").agg(F.max_by(F.struct(*rows.columns[1:]), "messages").alias("s")).select("channel", "s.*")
     return newest.withColumn("recent", F.array_join(F.transform("recent", lambda r: r["message_id"].cast("string")), ","))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise on reliable storage, so that a lost executor cannot change or repeat what was computed."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write a table next to the checkpoints and read it back.
+
+    Like `cut_lineage`, for tables whose partitions and order don't matter. A table that is read back carries no constraints of the plan
+    that made it; those of a checkpoint do, and over many derived columns their number explodes in the optimizer.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

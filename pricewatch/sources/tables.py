@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BinaryType
 
 from .. import fixed
+from ..functions.charset import decode_page
 from ..functions.checks import optional_int, optional_price, parse_flag, required_text
 from ..functions.dates import duration_text
 from ..functions.labels import default_group
@@ -117,14 +119,15 @@ def rejected_links(cards: DataFrame, hosts: list[tuple[str, str]] | None = None)
 
 
 def config_signature(watches: DataFrame) -> DataFrame:
-    """One digest of the active rules. Each row is hashed in its task; only the digests, in rule order, are joined."""
+    """One digest of the active rules and their places. Each rule is hashed in its task, and the digests are summed in eight parts, so
+    that no task gathers the rules and their order of arrival doesn't matter."""
     text = F.concat_ws(
-        ":", "site", "url", F.col("target_price").cast("string"), F.col("minimum_price").cast("string"),
+        ":", "card_pos", "url_pos", "site", "url", F.col("target_price").cast("string"), F.col("minimum_price").cast("string"),
         F.array_join("excluded_terms", ","), "size", F.col("include_variations").cast("string"),
     )
-    rows = watches.select(F.struct("card_pos", "url_pos", F.sha2(text, 256).alias("h")).alias("r"))
-    # Watches are the user's own list; two digests per rule reach the last task.
-    return rows.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["h"]), ","), 256).alias("signature"))
+    rows = watches.select(F.sha2(text, 256).alias("h"))
+    parts = [F.coalesce(F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(10,0)")), F.lit(0)).cast("string") for i in range(8)]
+    return rows.agg(F.sha2(F.concat_ws(",", F.count(F.lit(1)).cast("string"), *parts), 256).alias("signature"))
 
 
 def read_offer_state(spark: SparkSession, path: str) -> DataFrame:
@@ -169,9 +172,13 @@ def read_summary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("price is not null and target_price is not null"), stock.where("target_price is not null")
 
 
-def read_pages(spark: SparkSession, path: str, column: str = "html") -> DataFrame:
-    """Archived pages with damaged encoding repaired."""
-    return spark.read.parquet(path).withColumn(column, repair_mojibake(F.col(column)))
+def read_pages(spark: SparkSession, path: str, column: str = "html", content_type: str | None = None) -> DataFrame:
+    """Archived pages as text. Bytes are decoded by the header in the column `content_type`, if it is named, the byte order mark and
+    the page's own declaration; text has damaged encoding repaired."""
+    pages = spark.read.parquet(path)
+    if isinstance(pages.schema[column].dataType, BinaryType):
+        return pages.withColumn(column, decode_page(F.col(column), None if content_type is None else F.col(content_type)))
+    return pages.withColumn(column, repair_mojibake(F.col(column)))
 
 
 def read_messages(spark: SparkSession, path: str, schema: str, channels: list[str] | None = None) -> DataFrame:
@@ -249,6 +256,33 @@ def stock_alert_rows(returns: DataFrame) -> DataFrame:
     return returns.select(F.lit("stock").alias("kind"), F.concat(seller, F.lit(" stok alarmi")).alias("title"), body.alias("body"), "url", "observed_at")
 
 
+def _filled(lines: list[str], **values: Column) -> Column:
+    """Lines of a message with the values in their places."""
+    text = F.lit("\n".join(lines))
+    for name, value in values.items():
+        text = F.replace(text, F.lit(f"{{{name}}}"), value.cast("string"))
+    return text
+
+
+def row_count_alert_rows(counts: DataFrame, sender: str = "", keep: list[str] | None = None) -> DataFrame:
+    """Health alerts of `row_count_alerts`: the rows that alert, with title, body and an empty link. `sender` begins the title, `keep` are
+    columns that stay."""
+    body = _filled(fixed.SUMMARY_WARNING_LINES, expected=F.col("expected"), found=F.col("row_count"), missing=F.col("expected") - F.col("row_count"))
+    return counts.where("alert").select(
+        *(keep or []), F.lit("health").alias("kind"), F.lit(f"{sender} {fixed.SUMMARY_WARNING}".strip()).alias("title"), body.alias("body"),
+        F.lit("").alias("url"), F.col("cycle_at").alias("observed_at"))
+
+
+def search_failure_alert_rows(totals: DataFrame, lines: DataFrame, sender: str = "") -> DataFrame:
+    """Health alerts of `search_failure_alerts`. `lines` is `failure_lines` of the same events by tracker and cycle."""
+    said = totals.where("alert").join(lines, ["tracker", "cycle_at"])
+    head = _filled(fixed.SEARCH_WARNING_LINES, pages=F.col("pages"), links=F.col("links"))
+    body = F.left(F.concat(head, F.lit("\n"), F.array_join("lines", "\n")), F.lit(fixed.MESSAGE_LIMIT))
+    return said.select(
+        F.lit("health").alias("kind"), F.lit(f"{sender} {fixed.SEARCH_WARNING}".strip()).alias("title"), body.alias("body"),
+        F.lit("").alias("url"), F.col("cycle_at").alias("observed_at"))
+
+
 def write_alerts(alerts: DataFrame, path: str) -> None:
     alerts.write.mode("append").parquet(path)
 

@@ -2,8 +2,9 @@
 
 Message streams have a watermark of 24 hours, the expiry of conversations: later rows are dropped, prompts end by a timer,
 and the memory of seen messages is bounded by that time instead of by a count. Offer and stock streams keep the last state of
-each key for good, as the price history does; rows of a key are taken in order of time within a micro-batch and in order of
-arrival between them. Give file sources a trigger limit (`maxFilesPerTrigger`), which also bounds the rows of a key in one batch.
+each key for good, as the price history does. Their rows may arrive in any order: each waits in state until the watermark has
+passed its time, and rows are then taken in order of time, so that the result is that of the whole history in a batch. What waits
+for a key are its rows of the lateness, in buckets of state; without a lateness, rows are taken as they arrive.
 """
 
 from __future__ import annotations
@@ -131,73 +132,169 @@ def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return (pd.concat(parts) if len(parts) > 1 else parts[0]).sort_values(by)
 
 
-class OfferAlerts(StatefulProcessor):
-    """Bounds and the alert rule per offer; the state is what the two need and nothing else."""
+class InOrder(StatefulProcessor):
+    """Rows of a key in the order of (time, seq), however they arrive.
+
+    With `wait`, rows go to buckets of map state, one for each BUCKET of time. A timer at the oldest waiting row fires when the
+    watermark has passed it; then all rows up to the watermark are due, and no earlier one can come any more. A row with the time
+    and seq of one that waits replaces it. Subclasses name their columns in `fields` and handle due rows in `take`.
+    """
+
+    BUCKET = 3600 * 1_000_000
+    time, seq = "observed_at", "seq"
+    fields: dict[str, Callable] = {}
+    columns: list[str] = []
+
+    def __init__(self, wait: bool):
+        self.wait = wait
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("alert", OFFER_STATE)
+        self.handle = handle
+        if self.wait:
+            self.waiting = handle.getMapState("waiting", "bucket bigint", "rows string")
+
+    def take(self, key, rows: list[tuple]) -> list[tuple]:
+        """Output rows of due rows (micros, seq, then `fields`), which come in order."""
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new: dict[int, list[tuple]] = {}
+        for frame in rows:
+            values = [frame[c].tolist() for c in self.fields]
+            for at, seq, *rest in zip(frame[self.time].tolist(), frame[self.seq].tolist(), *values):
+                micros = at.value // 1000
+                new.setdefault(micros // self.BUCKET if self.wait else 0, []).append(
+                    (micros, int(seq), *[None if v is None or v is pd.NA or v is pd.NaT else v for v in rest]))
+        if not self.wait:
+            yield self._out(self.take(key, sorted(new.get(0, []), key=lambda r: r[:2])))
+            return
+        for bucket, found in new.items():
+            held = self._load(bucket) if self.waiting.containsKey((bucket,)) else []
+            self._store(bucket, list({r[:2]: r for r in held + found}.values()))
+        self._wake(min(r[0] for found in new.values() for r in found), True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        due, first = [], None
+        for bucket in sorted(k[0] for k in self.waiting.keys()):
+            if bucket * self.BUCKET > mark:
+                first = min(r[0] for r in self._load(bucket)) if first is None else first
+                break
+            held = self._load(bucket)
+            due += [r for r in held if r[0] <= mark]
+            left = [r for r in held if r[0] > mark]
+            if left:
+                self._store(bucket, left)
+                first = min(r[0] for r in left)
+            else:
+                self.waiting.removeKey((bucket,))
+        if first is not None:
+            self._wake(first, False)
+        yield self._out(self.take(key, sorted(due, key=lambda r: r[:2])))
+
+    def _wake(self, micros: int, replace: bool) -> None:
+        """One timer for each key: at its oldest waiting row."""
+        at = micros // 1000 + 1
+        timers = list(self.handle.listTimers()) if replace else []
+        if not timers or at < min(timers):
+            for other in timers:
+                self.handle.deleteTimer(other)
+            self.handle.registerTimer(at)
+
+    def _load(self, bucket: int) -> list[tuple]:
+        kinds = [int, int, *self.fields.values()]
+        return [tuple(None if v is None else kind(v) for kind, v in zip(kinds, r)) for r in json.loads(self.waiting.getValue((bucket,))[0])]
+
+    def _store(self, bucket: int, rows: list[tuple]) -> None:
+        self.waiting.updateValue((bucket,), (json.dumps(rows, default=str),))
+
+    def _out(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(rows: DataFrame, key: str, processor: type, schema: str, lateness: str | None) -> DataFrame:
+    wait = rows.isStreaming and lateness is not None
+    rows = rows.withWatermark("observed_at", lateness) if wait else rows
+    return rows.groupBy(key).transformWithStateInPandas(processor(wait), schema, "Append", "EventTime" if wait else "None")
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.replace("(18,4)", "").split(", ")]
+
+
+class OfferAlerts(InOrder):
+    """Bounds and the alert rule per offer; the state is what the two need, and the rows that wait."""
+
+    fields = {"price": Decimal, "target_price": Decimal, "notify_once_in_24h": bool, "forced_sent": bool}
+    columns = _names(OFFER_ALERTS)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.state = handle.getValueState("alert", OFFER_STATE)
+
+    def take(self, key, rows: list[tuple]) -> list[tuple]:
         state, last, low, low_at, high, high_at = (None, None, False), None, None, None, None, None
         money = lambda x: None if x is None else Decimal(x)
         if self.state.exists():
             price, at, below, last, low, low_at, high, high_at = self.state.get()
             state, last, low, high = (money(price), at, below), money(last), money(low), money(high)
         out = []
-        for r in _ordered(rows, ["observed_at", "seq"]).itertuples(index=False):
-            at = r.observed_at.value // 1000
-            absurd = is_spike(r.price, r.target_price, last)
+        for at, seq, price, target, daily, forced in rows:
+            absurd = is_spike(price, target, last)
             if low is None or not absurd:
-                if low is None or r.price < low:
-                    low, low_at = r.price, at
-                if high is None or r.price > high:
-                    high, high_at = r.price, at
-            last = r.price
-            check = Check(r.price, r.target_price, at, bool(r.notify_once_in_24h), bool(r.forced_sent))
-            state, (sent, reason) = alert_step(state, check)
-            out.append((key[0], r.observed_at, r.seq, r.price, r.target_price, low, high, pd.Timestamp(low_at, unit="us"),
+                if low is None or price < low:
+                    low, low_at = price, at
+                if high is None or price > high:
+                    high, high_at = price, at
+            last = price
+            state, (sent, reason) = alert_step(state, Check(price, target, at, bool(daily), bool(forced)))
+            out.append((key[0], pd.Timestamp(at, unit="us"), seq, price, target, low, high, pd.Timestamp(low_at, unit="us"),
                         pd.Timestamp(high_at, unit="us"), absurd, sent, reason))
         text = lambda x: None if x is None else str(x)
-        self.state.update((text(state[0]), state[1], state[2], text(last), text(low), low_at, text(high), high_at))
-        names = [c.split()[0] for c in OFFER_ALERTS.replace("(18,4)", "").split(", ")]
-        yield pd.DataFrame(out, columns=names)
+        if rows:
+            self.state.update((text(state[0]), state[1], state[2], text(last), text(low), low_at, text(high), high_at))
+        return out
 
-    def close(self) -> None:
-        pass
 
+def offer_alerts(observations: DataFrame, lateness: str | None = "10 minutes") -> DataFrame:
+    """Bounds and alert decision of every observation; works on a stream and on a batch.
 
-def offer_alerts(observations: DataFrame) -> DataFrame:
-    """Bounds and alert decision of every observation; works on a stream and on a batch."""
-    return observations.groupBy("offer_key").transformWithStateInPandas(OfferAlerts(), OFFER_ALERTS, "Append", "None")
+    In a stream an observation is decided when nothing earlier can come any more, `lateness` after its time.
+    """
+    return _in_order(observations, "offer_key", OfferAlerts, OFFER_ALERTS, lateness)
 
 
 RETURNS = "watch_key string, site string, observed_at timestamp, seq bigint, title string, price decimal(18,4), url string"
 
 
-class StockReturns(StatefulProcessor):
+class StockReturns(InOrder):
     """First success after out-of-stock per watch, on its cheapest offer; failures and empty searches change nothing."""
 
+    fields = {"site": str, "outcome": str, "title": str, "price": Decimal, "url": str}
+    columns = _names(RETURNS)
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.state = handle.getValueState("outcome", "outcome string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def take(self, key, rows: list[tuple]) -> list[tuple]:
         before = self.state.get()[0] if self.state.exists() else None
         out = []
-        for r in _ordered(rows, ["observed_at", "seq"]).itertuples(index=False):
-            if r.outcome not in ("ok", "out_of_stock"):
+        for at, seq, site, outcome, title, price, url in rows:
+            if outcome not in ("ok", "out_of_stock"):
                 continue
-            if r.outcome == "ok" and before == "out_of_stock":
-                out.append((key[0], r.site, r.observed_at, r.seq, r.title, r.price, r.url))
-            before = r.outcome
+            if outcome == "ok" and before == "out_of_stock":
+                out.append((key[0], site, pd.Timestamp(at, unit="us"), seq, title, price, url))
+            before = outcome
         if before is not None:
             self.state.update((before,))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in RETURNS.replace("(18,4)", "").split(", ")])
-
-    def close(self) -> None:
-        pass
+        return out
 
 
-def stock_returns(cycles: DataFrame, sites: list[str] | None = None) -> DataFrame:
+def stock_returns(cycles: DataFrame, sites: list[str] | None = None, lateness: str | None = "10 minutes") -> DataFrame:
     """Stock alerts of the configured sites: `cycles` has watch_key, site, observed_at, seq, outcome and the offers of the check,
     an array (at most the scan limit) of offer_pos, title, price, url; the first of the cheapest is named."""
     wanted = fixed.STOCK_RETURN_SITES if sites is None else sites
@@ -205,7 +302,7 @@ def stock_returns(cycles: DataFrame, sites: list[str] | None = None) -> DataFram
         o["price"].alias("price"), o["offer_pos"].alias("offer_pos"), o["title"].alias("title"), o["url"].alias("url"))))
     rows = cycles.where(F.col("site").isin(wanted)).withColumn("_best", cheapest).select(
         "watch_key", "site", "observed_at", "seq", "outcome", "_best.title", F.col("_best.price").cast("decimal(18,4)").alias("price"), "_best.url")
-    return rows.groupBy("watch_key").transformWithStateInPandas(StockReturns(), RETURNS, "Append", "None")
+    return _in_order(rows, "watch_key", StockReturns, RETURNS, lateness)
 
 
 # --- quick add --------------------------------------------------------------
@@ -295,15 +392,19 @@ def new_links_only(adds: DataFrame, tracked: DataFrame) -> DataFrame:
 
 
 # --- publishing -------------------------------------------------------------
-def early_publish(read_previous: Callable[[], tuple[DataFrame, DataFrame]],
-                  publish: Callable[[DataFrame, DataFrame], None]) -> Callable[[DataFrame, int], None]:
+def early_publish(read_previous: Callable[[], tuple[DataFrame, DataFrame]], publish: Callable[[DataFrame, DataFrame], None],
+                  last_batch: Callable[[], int | None] | None = None) -> Callable[[DataFrame, int], None]:
     """Function for `foreachBatch`: merge the events of each micro-batch into the published summary.
 
     An event has `event` and the columns of both tables: `row` is a fresh price row, `stock` a fresh stock row (its link's price
-    rows go), `removed` names in `identity` a price row that a failed watch takes back.
+    rows go), `removed` names in `identity` a price row that a failed watch takes back. A micro-batch that is not newer than
+    `last_batch()` was published before and is left out. `sources.published.publisher` is this over a table of its own.
     """
 
     def on_batch(events: DataFrame, batch_id: int) -> None:
+        done = None if last_batch is None else last_batch()
+        if done is not None and batch_id <= done:
+            return
         rows, stock = read_previous()
         kind = F.col("event")
         publish(*merge_summary(rows, events.where(kind == "row").select(*rows.columns), stock,

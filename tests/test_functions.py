@@ -238,3 +238,38 @@ def test_long_lists_are_not_cut(spark):
     word = "a" * 5000
     got = spark.createDataFrame([(f"https://shop.example.org/{word}-p-1",)], "u string").select(urls.title_from_url(F.col("u")).alias("t")).first().t
     assert got == "A" + word[1:]
+
+
+@pytest.mark.parametrize("content, header, text", [
+    ("İstanbul çay".encode("utf-8"), None, "İstanbul çay"),
+    ("İstanbul çay".encode("utf-8"), "text/html; charset=ISO-8859-1", "İstanbul çay"),
+    ("İstanbul çay".encode("iso-8859-9"), "text/html; charset=iso-8859-9", "İstanbul çay"),
+    ('<meta charset="windows-1254">İstanbul çay'.encode("cp1254"), "text/html", '<meta charset="windows-1254">İstanbul çay'),
+    ("<meta http-equiv='x' content='text/html; charset=iso-8859-9'>ığüş".encode("iso-8859-9"), None, "<meta http-equiv='x' content='text/html; charset=iso-8859-9'>ığüş"),
+    (b"\xef\xbb\xbfa", None, "a"), (b"\xff\xfea\x00", "text/html", "a"), (b"\xfe\xff\x00a", None, "a"),
+    ("é".encode("latin-1"), None, "é"), ("é".encode("latin-1"), "text/html; charset=no-such", "é"),
+    ("SÃO".encode("latin-1"), "text/html; charset=iso-8859-1", "SÃO"), (b"", None, ""), (b"\xff", "text/html; charset=utf-8", "�")])
+def test_charset(content, header, text):
+    from pricewatch.functions.charset import page_text
+
+    assert page_text(content, header) == text
+
+
+def test_pages_of_bytes(spark, tmp_path):
+    from pricewatch.sources import tables
+
+    rows = [(1, "ş".encode("iso-8859-9"), "text/html; charset=iso-8859-9"), (2, "ş".encode(), None), (3, None, "x")]
+    spark.createDataFrame(rows, "page_id int, html binary, type string").write.parquet(str(tmp_path / "p"))
+    assert {r.page_id: r.html for r in tables.read_pages(spark, str(tmp_path / "p"), "html", "type").collect()} == {1: "ş", 2: "ş", 3: None}
+
+
+def test_config_signature_knows_no_order(spark):
+    from pricewatch.sources import tables
+
+    schema = ("card_pos int, url_pos int, site string, url string, target_price decimal(18,4), minimum_price decimal(18,4), excluded_terms array<string>, "
+              "size string, include_variations boolean")
+    rows = [(i, 0, "s", f"u{i}", None, None, ["a"], "", False) for i in range(50)]
+    sign = lambda r, n=3: tables.config_signature(spark.createDataFrame(r, schema).repartition(n)).first()[0]
+    plan = tables.config_signature(spark.createDataFrame(rows, schema))._jdf.queryExecution().toString()
+    assert sign(rows) == sign(rows[::-1], 7) and "collect_list" not in plan
+    assert len({sign(rows), sign(rows[1:]), sign(rows + rows[:1]), sign([(1, *rows[0][1:]), (0, *rows[1][1:]), *rows[2:]]), sign([])}) == 5

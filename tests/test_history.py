@@ -59,7 +59,7 @@ def plain_alerts(rows):
     return out
 
 
-SMALL_BLOCKS = HistoryScan(["offer_key"], "observed_at", ["seq"], hot_min_rows=20, block_seconds=3600 * 7)
+SMALL_BLOCKS = HistoryScan(["offer_key"], "observed_at", ["seq"], hot_min_rows=20, block_rows=15)
 
 
 @pytest.mark.parametrize("scan", [None, SMALL_BLOCKS])

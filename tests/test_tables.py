@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pricewatch.operators import matching, offers, skew, summary
 from pricewatch.plans import price_cycle
-from pricewatch.sources import tables
+from pricewatch.sources import published, tables
 
 T0 = datetime(2026, 1, 1)
 
@@ -149,3 +149,71 @@ def test_mark_forced(spark):
     back = spark.createDataFrame([("w", 2)], "watch_key string, seq bigint")
     got = {(r.watch_key, r.seq): r.forced_sent for r in alerts.mark_forced(obs, back).collect()}
     assert got == {("w", 1): False, ("w", 2): True, ("v", 1): False}
+
+
+# --- published tables -------------------------------------------------------
+ROW = "seller string, product_title string, product_url string, price decimal(18,4), is_warehouse boolean, tracking_id string"
+STOCK = "seller string, product_title string, product_url string, reason string"
+EVENT = "event string, " + ROW + ", reason string, identity string"
+
+
+def shop(i, price):
+    return ("row", "s", f"p{i}", f"https://x.org/{i}", D(price), False, "", None, None)
+
+
+def test_published_summary_is_idempotent(spark, tmp_path):
+    table = published.summary_tables(spark, str(tmp_path), ROW, STOCK, buckets=8)
+    batches = [
+        [shop(i, 10 + i) for i in range(30)],
+        [shop(3, 1), shop(40, 5), ("stock", "s", "p7", "https://x.org/7", None, None, None, "yok", None),
+         ("removed", None, None, None, None, None, None, None, "https://x.org/9|normal")],
+        [shop(7, 2)],
+    ]
+    want, gaps = {}, set()
+    for n, events in enumerate(batches):
+        df = spark.createDataFrame(events, EVENT)
+        before = table.versions()
+        assert published.publish_events(table, df, n)
+        for e in events:
+            link = e[3]
+            if e[0] == "row":
+                want[link] = e[4]
+                gaps.discard(link)
+            elif e[0] == "stock":
+                want.pop(link, None)
+                gaps.add(link)
+            else:
+                want.pop(e[8].split("|")[0], None)
+        state = lambda: ({r.product_url: r.price for r in table.read("rows").collect()}, {r.product_url for r in table.read("stock").collect()})
+        assert state() == (want, gaps)
+        now = table.versions()
+        assert not published.publish_events(table, df, n) and table.versions() == now and state() == (want, gaps)
+        changed = {b for (t, b), v in now.items() if v == n} | {b for t, b in set(before) - set(now)}
+        assert len(changed) <= len(events) and (n == 0 or all(now[k] == v for k, v in before.items() if k[1] not in changed))
+    table.expire(keep=1)
+    assert table.batches() == [2] and {r.product_url: r.price for r in table.read("rows").collect()} == want
+
+
+def test_a_batch_that_was_cut_off_is_written_anew(spark, tmp_path):
+    table = published.BucketedTables(spark, str(tmp_path), {"state": "k string, v int"}, buckets=4)
+    first = spark.createDataFrame([(f"k{i}", i) for i in range(20)], "k string, v int")
+    assert published.merge_keyed(table, "state", first, "k", 0)
+    # data of batch 1 without a manifest: readers don't see it
+    spark.createDataFrame([("x", 1, 2)], "k string, v int, _bucket int").write.partitionBy("_bucket").parquet(f"{tmp_path}/data/state/version=1")
+    assert table.read("state").count() == 20
+    more = spark.createDataFrame([("k3", 300), ("new", 1)], "k string, v int")
+    assert published.merge_keyed(table, "state", more, "k", 1) and not published.merge_keyed(table, "state", more, "k", 1)
+    got = {r.k: r.v for r in table.read("state").collect()}
+    assert got == {**{f"k{i}": i for i in range(20)}, "k3": 300, "new": 1}
+    touched = {b for (_, b), v in table.versions().items() if v == 1}
+    assert 1 <= len(touched) <= 2 and table.read("state", [99]).count() == 0
+
+
+def test_publisher_in_a_stream(spark, tmp_path):
+    table = published.summary_tables(spark, str(tmp_path / "t"), ROW, STOCK, buckets=4)
+    for i in range(3):
+        spark.createDataFrame([shop(i, 5), shop(9, i)], EVENT).coalesce(1).write.parquet(f"{tmp_path}/in/part={i}")
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/part=*")
+    q = stream.writeStream.foreachBatch(published.publisher(table)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {r.product_title for r in table.read("rows").collect()} == {"p0", "p1", "p2", "p9"} and len(table.batches()) == 3
