@@ -188,7 +188,7 @@ def late_rows(spark, df: DataFrame, key: str) -> DataFrame:
     arriving = df.withColumn("_arrival", F.col("observed_at") + F.make_interval(hours=F.pmod(F.xxhash64("seq"), F.lit(49)).cast("int")))
     end = arriving.orderBy(F.desc("observed_at")).limit(1).withColumns(
         {key: F.lit("-1"), "observed_at": F.col("observed_at") + F.expr("interval 30 days"), "seq": F.lit(-1).cast("bigint")})
-    return in_parts(spark, arriving, "_arrival", key, 6, end.select(*arriving.columns)).drop("_arrival")
+    return in_parts(spark, arriving, "_arrival", key, 3, end.select(*arriving.columns)).drop("_arrival")
 
 
 @query(f"WITH {SQL_HITS} SELECT message_id, channel, keyword FROM hits")

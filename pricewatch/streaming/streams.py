@@ -140,7 +140,7 @@ class InOrder(StatefulProcessor):
     and seq of one that waits replaces it. Subclasses name their columns in `fields` and handle due rows in `take`.
     """
 
-    BUCKET = 3600 * 1_000_000
+    BUCKET = 24 * 3600 * 1_000_000
     time, seq = "observed_at", "seq"
     fields: dict[str, Callable] = {}
     columns: list[str] = []
