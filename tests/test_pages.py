@@ -271,3 +271,12 @@ def test_long_scripts_are_scanned_once():
     begun = time.time()
     assert list(dom._payloads("", [{"type": "", "text": '"' + "\\\"a" * 300_000}])) == []
     assert time.time() - begun < 20
+
+
+def test_references_without_a_semicolon(spark):
+    html = "<a href='/x?a=1&lt=2'>k</a><h1>a&amp;&amp &lt;b&gt &am &#65;&#66 &amp;lt</h1><script>var s = 'x&amp';</script>"
+    pages = spark.createDataFrame([(1, "s", "u", html)], PAGES)
+    title = lambda parsed: evidence.extract_titles(parsed).first().title
+    assert title(dom.parse_pages(pages)) == "a&& <b> &am AB &lt"
+    assert dom.parse_pages(pages, open_references=False).first().scripts[0].text == "var s = 'x&amp';"
+    assert title(dom.parse_pages(pages, open_references=False)) == "a&&amp <b&gt &am A&#66 &lt"
