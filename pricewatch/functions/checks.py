@@ -51,13 +51,14 @@ def required_text(c: Column, name: str, context: Column | None = None) -> Column
 
 
 # --- page and error gates ---------------------------------------------------
-def age_gate(html: Column) -> Column:
-    return contains_any(fold_text(html), fixed.AGE_WORDS)
+# A page that goes through several gates is folded once: `folded` is its `fold_text`, in a column of an earlier stage.
+def age_gate(html: Column, folded: Column | None = None) -> Column:
+    return contains_any(fold_text(html) if folded is None else folded, fixed.AGE_WORDS)
 
 
-def bot_gate(site: Column, html: Column) -> Column:
+def bot_gate(site: Column, html: Column, folded: Column | None = None) -> Column:
     """True for a protection page of the given site."""
-    text, low = fold_text(html), F.lower(html)
+    text, low = fold_text(html) if folded is None else folded, F.lower(html)
     generic = F.contains(low, F.lit("captcha")) & F.contains(low, F.lit("robot"))
     nordbron_ok = (site == "nordbron") & F.contains(low, F.lit("product-detail_price"))
     return (
@@ -99,14 +100,14 @@ def usable_page(site: Column, html: Column, url: Column) -> Column:
     )
 
 
-def missing_price_error(text: Column) -> Column:
+def missing_price_error(text: Column, folded: Column | None = None) -> Column:
     """True for errors that mean the item or its price vanished."""
-    return contains_any(fold_text(text), fixed.MISSING_PRICE_WORDS)
+    return contains_any(fold_text(text) if folded is None else folded, fixed.MISSING_PRICE_WORDS)
 
 
-def empty_search_is_normal(outcome: Column, text: Column) -> Column:
+def empty_search_is_normal(outcome: Column, text: Column, folded: Column | None = None) -> Column:
     """Classify a failed search: an empty result is normal, anything else is a failure."""
-    normal = (outcome == "empty_search") | contains_any(fold_text(text), fixed.EMPTY_SEARCH_WORDS)
+    normal = (outcome == "empty_search") | contains_any(fold_text(text) if folded is None else folded, fixed.EMPTY_SEARCH_WORDS)
     return F.coalesce(normal, F.lit(False))
 
 

@@ -157,12 +157,14 @@ def page_gates(spark, folder):
     rows = t.load_spread(spark, folder, "documents", "doc_id").withColumn("kind", (F.col("doc_id") % 5).cast("int"))
     body = F.coalesce("text", F.lit(""))
     mark = pick("18 yaşından büyük müsünüz", "CAPTCHA: are you a robot", "", "Amazon arama sayfasında okunabilir fiyat bulunamadı", "Ürün STOKTA DEĞİL")
-    page = F.concat(body, F.lit(" "), mark, F.lit(" "), body)
+    rows = rows.withColumns({"mark": mark, "page": F.concat(body, F.lit(" "), mark, F.lit(" "), body)})
+    rows = rows.withColumn("folded", text.fold_text(F.col("page")))
+    page, folded = F.col("page"), F.col("folded")
     outcome = F.when(F.col("kind") == 0, "empty_search").otherwise("failed")
     return rows.select(
-        "doc_id", checks.age_gate(page).alias("age"), checks.bot_gate(F.lit("amazon"), page).alias("bot"),
-        checks.empty_search_is_normal(outcome, page).alias("normal_empty"), checks.missing_price_error(page).alias("missing"),
-        checks.block_error(F.when(F.col("kind") == 2, fixed.BLOCK_STATUS[0]).otherwise(200), mark).alias("blocked"))
+        "doc_id", checks.age_gate(page, folded).alias("age"), checks.bot_gate(F.lit("amazon"), page, folded).alias("bot"),
+        checks.empty_search_is_normal(outcome, page, folded).alias("normal_empty"), checks.missing_price_error(page, folded).alias("missing"),
+        checks.block_error(F.when(F.col("kind") == 2, fixed.BLOCK_STATUS[0]).otherwise(200), F.col("mark")).alias("blocked"))
 
 
 # --- operators over rows ----------------------------------------------------

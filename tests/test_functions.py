@@ -273,3 +273,11 @@ def test_config_signature_knows_no_order(spark):
     plan = tables.config_signature(spark.createDataFrame(rows, schema))._jdf.queryExecution().toString()
     assert sign(rows) == sign(rows[::-1], 7) and "collect_list" not in plan
     assert len({sign(rows), sign(rows[1:]), sign(rows + rows[:1]), sign([(1, *rows[0][1:]), (0, *rows[1][1:]), *rows[2:]]), sign([])}) == 5
+
+
+def test_page_gates_fold_a_page_once(spark):
+    from pricewatch.plans.column_queries import page_gates
+
+    plan = page_gates(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # one fold tests once for letters that become several
+    assert plan.count("translate(") == 1
