@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.text import text_or_empty
 from ..functions.urls import canonical_url, row_identity
 from ..operators.summary import merge_summary
+from ..session import written
 
 BUCKETS = 64
 BUCKET = "_bucket"
@@ -105,9 +106,9 @@ def merge_keyed(table: BucketedTables, name: str, updates: DataFrame, key: str,
     """
     if batch in table.batches():
         return False
-    new = updates.withColumn(BUCKET, table.bucket_of(F.col(key)))
+    new = written(updates.withColumn(BUCKET, table.bucket_of(F.col(key))))
     touched = table.touched(new)
-    left = table.read(name, touched).join(updates.select(key), [key], "left_anti")
+    left = table.read(name, touched).join(new.select(key), [key], "left_anti")
     table.commit(batch, {name: left.unionByName(new, allowMissingColumns=True)}, touched)
     return True
 
@@ -126,11 +127,12 @@ def publish_events(table: BucketedTables, events: DataFrame, batch: int) -> bool
     """
     if batch in table.batches():
         return False
+    # the events are often the result of other work, and they are read for the buckets and for the merge: made once, with their buckets
+    events = written(events.withColumn(BUCKET, table.bucket_of(canonical_url(text_or_empty(F.col("product_url"))))))
     kind = F.col("event")
     names = {n: [c for c in table.read(n).columns if c != BUCKET] for n in table.tables}
-    where = lambda rows: rows.withColumn(BUCKET, table.bucket_of(canonical_url(text_or_empty(F.col("product_url")))))
-    fresh = where(events.where(kind == "row").select(*names["rows"]))
-    gaps = where(events.where(kind == "stock").select(*names["stock"]))
+    fresh = events.where(kind == "row").select(*names["rows"], BUCKET)
+    gaps = events.where(kind == "stock").select(*names["stock"], BUCKET)
     removed = events.where((kind == "removed") & (F.coalesce("identity", F.lit("")) != "")).select("identity").distinct()
     # an identity doesn't tell its bucket: it is looked up among the published identities
     identity = row_identity(F.col("tracking_id"), F.col("product_url"), F.col("is_warehouse"))

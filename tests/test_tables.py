@@ -217,3 +217,18 @@ def test_publisher_in_a_stream(spark, tmp_path):
     q = stream.writeStream.foreachBatch(published.publisher(table)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r.product_title for r in table.read("rows").collect()} == {"p0", "p1", "p2", "p9"} and len(table.batches()) == 3
+
+
+def test_events_are_made_once(spark, tmp_path):
+    """A batch reads its events for buckets and for the merge; what makes them runs once."""
+    table = published.summary_tables(spark, str(tmp_path), ROW, STOCK, buckets=4)
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame([shop(i, 10 + i) for i in range(30)], EVENT)
+    assert published.publish_events(table, df.mapInArrow(count, df.schema), 0)
+    assert made.value == 30 and table.read("rows").count() == 30
