@@ -48,8 +48,8 @@ def format_signed(c: Column, currency: bool = False) -> Column:
 
 def money_from_text(c: Column) -> Column:
     """Amount from text the display functions wrote: dots are always thousands."""
-    text = F.regexp_replace(strip(text_or_empty(c)), r"TL|[ +.]", "")
-    return let(F.replace(text, F.lit(","), F.lit(".")), lambda x: F.when(x.rlike(r"^-?\d+(\.\d*)?$"), x.try_cast(MONEY)))
+    plain = F.translate(F.replace(strip(text_or_empty(c)), F.lit("TL"), F.lit("")), ", +.", ".")
+    return let(plain, lambda x: F.when(x.rlike(r"^-?\d+(\.\d*)?$"), x.try_cast(MONEY)))
 
 
 def display_money(c: Column, signed: bool = False) -> Column:

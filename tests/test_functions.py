@@ -281,3 +281,10 @@ def test_page_gates_fold_a_page_once(spark):
     plan = page_gates(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     # one fold tests once for letters that become several
     assert plan.count("translate(") == 1
+
+
+def test_money_from_text_without_regular_replacement(spark):
+    df = spark.createDataFrame([(x,) for x in ("1.234 TL", "-12,50TL", "+1 000,5 TL", "T.L5", "TTLL5", "TL", "12-5", "", None, "5,", ",5")], "a string")
+    out = df.select(money.money_from_text(df.a).alias("x"))
+    assert [r.x for r in out.collect()] == [1234, D("-12.5"), D("1000.5"), None, None, None, None, None, None, 5, None]
+    assert "regexp_replace" not in out._jdf.queryExecution().optimizedPlan().toString()
