@@ -138,3 +138,26 @@ def test_best_runs_are_those_of_brute_force():
                    for q in range(max(0, bm - k + 1), min(bm, 28 - k) + 1))
         assert abs(got - want) < 1e-12 and abs(compact_windows.similarity_of(a[s:s + n], b[u:u + k]) - got) < 1e-12
         assert s <= am < s + n and u <= bm < u + k
+
+
+def test_links_beside_the_first_of_a_passage(spark):
+    """Two passages that are alike are a pair though the first document of each signature, which holds a piece of them, is like neither."""
+    rng = random.Random(17)
+    docs, want = [], set()
+    for _ in range(6):
+        base = prose(rng, 60).split()
+        near = list(base)
+        near[30] = "near"
+        docs += [f"{prose(rng, 60)} {' '.join(words)} {prose(rng, 60)}" for words in (base[:30], base[15:45], base[30:], base, near)]
+        want.add((len(docs) - 2, len(docs) - 1))
+    got = passage_pairs(compact_windows.shared_passages(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")))
+    assert {(r[0], r[3]) for r in got} == want
+
+
+def test_pairs_in_tiles(spark):
+    """All classes of a signature meet once, copies meet the first of their class."""
+    rows = [(d, d, 7, 0, 3, 60, 0 if d < 9 else 5) for d in range(14)]
+    hits = spark.createDataFrame(rows, "doc_id long, row long, key long, l int, m int, r int, same long")
+    for tile in (1, 3, 256):
+        got = sorted((r.a, r.b) for r in compact_windows._pairs(hits, tile).collect())
+        assert got == sorted([(a, b) for a in range(10) for b in range(a + 1, 10)] + [(9, b) for b in range(10, 14)])
