@@ -200,31 +200,33 @@ def attach_groups(rows: DataFrame, state: DataFrame, cards: DataFrame) -> DataFr
     watches and entries with a stored group count. Within a source the first entry with a label names the group;
     for a link the last entry wins.
     """
-    source_site = F.coalesce(F.nullif(strip(text_or_empty(F.col("site"))), F.lit("")), detect_site(F.col("configured_url")))
-    entries = state.withColumns(
-        {
-            "configured_url": strip(text_or_empty(F.col("configured_url"))),
-            "url": strip(text_or_empty(F.col("url"))),
-            "site": source_site,
-        }
-    ).where("configured_url != '' and url != '' and site is not null")
+    # Links and titles repeat over the entries: of entries with equal texts only the first (for a name) or the last (for a link) can
+    # count, so texts are worked on once for each combination, not for each entry.
+    own = ["site", "configured_url", "include_variations", "search_group"]
+    linked = state.where(strip(text_or_empty(F.col("url"))) != "")
     variations = cards.where("include_variations").select(
         detect_site(F.col("url")).alias("site"), canonical_url(F.col("url")).alias("_source"), F.lit(True).alias("_var")
     ).where("site is not null").distinct()
-    entries = entries.withColumn("_source", canonical_url(F.col("configured_url"))).join(
-        variations, ["site", "_source"], "left"
-    )
     group = strip(text_or_empty(F.col("search_group")))
+
+    def eligible(entries: DataFrame) -> DataFrame:
+        source_site = F.coalesce(F.nullif(strip(text_or_empty(F.col("site"))), F.lit("")), detect_site(F.col("configured_url")))
+        found = entries.withColumns({"configured_url": strip(text_or_empty(F.col("configured_url"))), "site": source_site}).where(
+            "configured_url != '' and site is not null")
+        found = found.withColumn("_source", canonical_url(F.col("configured_url"))).join(variations, ["site", "_source"], "left")
+        return found.where(
+            F.coalesce("include_variations", F.lit(False))
+            | F.coalesce("_var", F.lit(False))
+            | (F.col("site").isin("amazon", "hepsiburada") & is_search_url(F.col("configured_url")))
+            | (group != "")
+        )
+
+    named_entries = linked.groupBy(*own, "watch_name", "title", "search_group_label").agg(F.min("seq").alias("seq"))
+    links = linked.groupBy(*own, "url").agg(F.max("seq").alias("seq"))
     name = strip(text_or_empty(F.col("watch_name")))
     label = F.coalesce(F.nullif(name, F.lit("")), variant_group_label(F.col("title")))
-    eligible = entries.where(
-        F.coalesce("include_variations", F.lit(False))
-        | F.coalesce("_var", F.lit(False))
-        | (F.col("site").isin("amazon", "hepsiburada") & is_search_url(F.col("configured_url")))
-        | (group != "")
-    )
     named = F.coalesce(F.nullif(name, F.lit("")), F.col("configured_url"))
-    meta = eligible.where(label != "").select(
+    meta = eligible(named_entries).where(label != "").select(
         "site",
         "configured_url",
         F.col("seq").alias("_from"),
@@ -233,7 +235,7 @@ def attach_groups(rows: DataFrame, state: DataFrame, cards: DataFrame) -> DataFr
     )
     source = ["site", "configured_url"]
     first = top_per_key(meta, source, [F.col("_from")])
-    by_link = eligible.select(*source, "seq", canonical_url(F.col("url")).alias("_link")).join(first, source).where(
+    by_link = eligible(links).select(*source, "seq", canonical_url(F.col("url")).alias("_link")).join(first, source).where(
         F.col("seq") >= F.col("_from")
     )
     last = by_link.groupBy("_link").agg(F.max_by(F.struct("_group", "_glabel"), "seq").alias("_m"))
