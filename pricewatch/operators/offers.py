@@ -40,11 +40,14 @@ def search_group(site: Column, tracking_id: Column, name: Column, url: Column, t
 def offers_for_watches(watches: DataFrame, offers: DataFrame, hot_min_rows: int = 1_000_000) -> DataFrame:
     """Route every offer to the watches of its page: inner join on site and canonical page URL.
 
-    A page that many offers come from is a hot key of the offer side and is salted.
+    A link is brought to its canonical form once, not for each of its offers, and offers are joined by the link as it is written. A link
+    that many offers come from is a hot key of the offer side and is salted.
     """
     w = watches.withColumn("_page", canonical_url(F.col("url"))).withColumnRenamed("url", "watch_url")
-    o = offers.withColumn("_page", canonical_url(F.col("page_url")))
-    return salted_join(o, w, ["site", "_page"], "inner", F.col("seq"), hot_min_rows=hot_min_rows).drop("_page")
+    o = offers.withColumn("_link", text_or_empty(F.col("page_url")))
+    links = o.select("site", "_link").distinct().withColumn("_page", canonical_url(F.col("_link")))
+    found = links.join(w, ["site", "_page"]).drop("_page")
+    return salted_join(o, found, ["site", "_link"], "inner", F.col("seq"), hot_min_rows=hot_min_rows).drop("_link")
 
 
 def with_offer_state(offers: DataFrame, state: DataFrame) -> DataFrame:
