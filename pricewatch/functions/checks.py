@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from .. import fixed
 from .money import parse_money
-from .text import contains_any, fold_text, key_text, strip, text_or_empty
+from .text import contains_any, fold_text, key_text, let, rec, strip, text_or_empty
 
 
 def parse_flag(c: Column, default: bool = False) -> Column:
@@ -16,26 +16,31 @@ def parse_flag(c: Column, default: bool = False) -> Column:
 
 
 def _checked(value: Column, error: Column) -> Column:
-    return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))
+    return rec(value=F.when(error.isNull(), value), error=error)
 
 
 def bounded_int(c: Column, name: str, default: int, low: int, high: int) -> Column:
     """Struct(value, error); null takes the default."""
-    value = F.when(c.isNull(), F.lit(default).cast("bigint")).otherwise(strip(c.cast("string")).try_cast("bigint"))
-    error = F.when(value.isNull(), F.lit(f"{name} tam sayı olmalı.")).when(
-        ~value.between(low, high), F.lit(f"{name} {low} ile {high} arasında olmalı.")
-    )
-    return _checked(value, error)
+    def checked(value):
+        error = F.when(value.isNull(), F.lit(f"{name} tam sayı olmalı.")).when(
+            ~value.between(low, high), F.lit(f"{name} {low} ile {high} arasında olmalı.")
+        )
+        return _checked(value, error)
+
+    given = strip(c.cast("string")).try_cast("bigint")
+    return let(F.when(c.isNull(), F.lit(default).cast("bigint")).otherwise(given), checked)
 
 
 def optional_int(c: Column, name: str, low: int | None = None, high: int | None = None) -> Column:
     """Struct(value, error); null and blank are allowed."""
-    text = strip(text_or_empty(c))
-    value = text.try_cast("bigint")
-    error = F.when((text != "") & value.isNull(), F.lit(f"{name} tam sayı olmalı."))
-    if low is not None:
-        error = error.when(~value.between(low, high), F.lit(f"{name} {low} ile {high} arasında olmalı."))
-    return _checked(value, error)
+    def checked(text):
+        value = text.try_cast("bigint")
+        error = F.when((text != "") & value.isNull(), F.lit(f"{name} tam sayı olmalı."))
+        if low is not None:
+            error = error.when(~value.between(low, high), F.lit(f"{name} {low} ile {high} arasında olmalı."))
+        return _checked(value, error)
+
+    return let(strip(text_or_empty(c)), checked)
 
 
 def optional_price(c: Column, name: str = "price") -> Column:

@@ -99,8 +99,11 @@ def price_from_form(c: Column) -> Column:
 
 
 def price_input_text(c: Column) -> Column:
-    text = strip(text_or_empty(c))
-    return F.when(text == "", F.lit("")).otherwise(F.coalesce(format_money(parse_money(text)), text))
+    def shown(text):
+        amount = let(parse_money(text), format_money)
+        return F.when(text == "", F.lit("")).otherwise(F.coalesce(amount, text))
+
+    return let(strip(text_or_empty(c)), shown)
 
 
 def number_or_text(c: Column) -> Column:
@@ -117,8 +120,7 @@ def number_or_text(c: Column) -> Column:
 
 def target_reply(c: Column) -> Column:
     """Target price of a reply: must be a readable amount above zero."""
-    amount = parse_money(F.nullif(strip(text_or_empty(c)), F.lit("")))
-    return F.when(amount > 0, amount)
+    return let(parse_money(F.nullif(strip(text_or_empty(c)), F.lit(""))), lambda amount: F.when(amount > 0, amount))
 
 
 def price_in_range(c: Column, low=fixed.LISTING_MIN_PRICE, high=fixed.LISTING_MAX_PRICE) -> Column:
