@@ -122,8 +122,10 @@ def alert_decisions(obs: DataFrame, state: DataFrame | None = None, scan: Histor
         due = daily & below & ~cut & F.coalesce(at - F.col("_cut_at") >= DAY_MICROS, F.lit(False))
         rows = scan.any_in(rows, "_due", due, ["_segment"])
         # Of the rows at one moment only strictly falling prices can alert; the others need not enter the fold.
-        moment = Window.partitionBy(*KEYS, "_segment", TIME, "notify_once_in_24h").orderBy(*TIES)
-        seen = F.min(F.when(told, price)).over(moment.rowsBetween(Window.unboundedPreceding, -1))
+        # One running value for each mode, so that this window needs no other order than those before and after it.
+        moment = Window.partitionBy(*KEYS, "_segment", TIME).orderBy(*TIES).rowsBetween(Window.unboundedPreceding, -1)
+        modes = [daily, ~daily, daily.isNull()]
+        seen = F.coalesce(*[F.when(mode, F.min(F.when(told & mode, price)).over(moment)) for mode in modes])
         can_alert = told & (seen.isNull() | (price < seen) | cut)
         # what is left out of `can_alert` never alerts, and changes nothing
         rows = rows.withColumn("_fold", F.col("_due") & can_alert)
