@@ -6,7 +6,7 @@ that passes a test against it". Followed row by row that is a loop over the whol
 * `first_below` finds the next row of every row at once, whether chosen or not, by a tree of block minima: FANOUT ranks make a
   node, FANOUT nodes a node of the next level. A search climbs until a node holds a passing row and goes down to it again. Each
   level is one equi-join with arrays of at most FANOUT entries.
-* `on_chain` follows the pointers from the start rows by pointer doubling: after k rounds all rows within 2^k steps are marked.
+* `on_chain` follows the pointers from the start rows by jumps of doubled length, which only rows that such a jump can reach keep.
 
 Groups of up to SHORT rows need neither: their rows fit in one bounded array, over which the rule runs as a fold expression.
 
@@ -80,15 +80,30 @@ def first_below(rows: DataFrame, tests: Tests, out: str = "_next") -> DataFrame:
 def on_chain(pointers: DataFrame, start: DataFrame) -> DataFrame:
     """(_k, _rank) of the rows that are reached from the start rows (_k, _rank) by following _next of `pointers` (_k, _rank, _next).
 
-    The chains of different start rows must not meet.
+    Jumps of 1, 2, 4 and more steps are made one after the other, each only for the start rows and the rows that such a jump reaches, as no
+    other row is that many steps or a multiple of them from a start row; where chains flow together these soon become few. Jumps
+    end at the next start row. Then the longest jumps are followed first.
     """
-    jump = written(pointers.where("_next is not null").select("_k", "_rank", "_next"))
-    marked = written(start.select("_k", "_rank"))
+    flags = [F.lit(None).cast("long").alias("_next"), F.lit(False).alias("_start"), F.lit(True).alias("_hit")]
+
+    def kept(jumps: DataFrame) -> DataFrame:
+        hit = jumps.where("_next is not null").select("_k", F.col("_next").cast("long").alias("_rank"), *flags)
+        joined = jumps.withColumn("_hit", F.lit(False)).unionByName(hit)
+        return written(joined.groupBy("_k", "_rank").agg(F.max("_next").alias("_next"), F.max("_start").alias("_start"), F.max("_hit").alias("_hit"))
+                       .where("_next is not null and (_start or _hit)").drop("_hit"))
+
+    number = [F.col("_rank").cast("long").alias("_rank")]
+    marked = written(start.select("_k", *number).distinct())
+    jump = kept(pointers.where("_next is not null").select("_k", *number, F.col("_next").cast("long").alias("_next"), F.lit(False).alias("_start"))
+                .unionByName(marked.select("_k", "_rank", *flags[:1], F.lit(True).alias("_start"))))
+    jumps = []
     while not jump.isEmpty():
+        jumps.append(jump)
+        onward = jump.where("not _start").select("_k", F.col("_rank").alias("_next"), F.col("_next").alias("_far"))
+        jump = kept(written(jump.join(onward, ["_k", "_next"]).select("_k", "_rank", F.col("_far").alias("_next"), "_start")))
+    for jump in reversed(jumps):
         step = marked.join(jump, ["_k", "_rank"]).select("_k", F.col("_next").alias("_rank"))
-        marked = written(marked.union(step))
-        onward = jump.select("_k", F.col("_rank").alias("_next"), F.col("_next").alias("_far"))
-        jump = written(jump.join(onward, ["_k", "_next"]).select("_k", "_rank", F.col("_far").alias("_next")))
+        marked = written(marked.union(step).distinct())
     return marked
 
 

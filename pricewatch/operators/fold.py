@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import written
-from .chains import chosen
-from .skew import HOT_MIN_ROWS, HistoryScan
+from .chains import on_chain
+from .skew import HOT_MIN_ROWS, HistoryScan, join_groups
 
 
 def spaced_pick(df: DataFrame, keys: list[str], time: str, ties: list[str], seconds: int, out: str = "picked",
@@ -15,39 +15,30 @@ def spaced_pick(df: DataFrame, keys: list[str], time: str, ties: list[str], seco
     """Mark the rows a cooldown lets through: the first, then each first row at least `seconds` after the last one
     let through. `since` names a column with the time of an earlier pick; rows that are not `eligible` never pass.
 
-    A row that comes `seconds` or more after the row before it always passes, so the history splits there into
-    independent islands. In an island shorter than `seconds` only its first row passes. In longer ones the first row of each
-    moment points to the first one at least `seconds` later, and the chain of pointers is followed (`chains`).
+    Only the distinct moments of a key decide. One scan against time over the moments and, `seconds` later, their questions gives
+    each moment the first one that may follow it. It also counts both: where as many questions are passed as moments, all earlier moments
+    are at least `seconds` before, so that this one always passes. The chains of pointers between those are followed
+    (`chains.on_chain`), and the moments on them are joined to the rows.
     """
     span = seconds * 1_000_000
-    work = ["_at", "_opens", "_island", "_began", "_fold", "_rank"]
     base = F.lit(None).cast("bigint") if since is None else F.unix_micros(F.col(since))
+    ok = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
+    late = base.isNull() | (F.col("_at") - base >= span)
+    rows = written(df.withColumn("_at", F.unix_micros(F.col(time))).withColumn("_may", ok & late))
+    moments = written(rows.where("_may and _at is not null").select(*keys, "_at").distinct())
+    asked = moments.select(*keys, (-F.col("_at") - span).alias("_back"), F.lit(1).alias("_asks"), "_at", F.lit(None).cast("bigint").alias("_value"))
+    both = moments.select(*keys, (-F.col("_at")).alias("_back"), F.lit(0).alias("_asks"), "_at", F.col("_at").alias("_value")).unionByName(asked)
 
     def build(rows: DataFrame, scan: HistoryScan) -> DataFrame:
-        ok = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
-        rows = rows.withColumns({"_at": F.unix_micros(F.col(time)), "_may": ok})
-        rows = scan.add(rows, {"_before": ("last", F.when(F.col("_may"), F.col("_at")))}, include_current=False)
-        before = F.coalesce(F.col("_before"), base)
-        rows = rows.withColumn("_opens", F.col("_may") & (before.isNull() | (F.col("_at") - before >= span)))
-        rows = scan.add(
-            rows,
-            {"_island": ("sum", F.col("_opens").cast("bigint")), "_began": ("last", F.when(F.col("_opens"), F.col("_at")))},
-            include_current=True,
-        )
-        rows = rows.withColumn("_began", F.coalesce(F.col("_began"), base))
-        rows = scan.any_in(rows, "_long", F.col("_may") & F.coalesce(F.col("_at") - F.col("_began") >= span, F.lit(False)), ["_island"])
-        moment = Window.partitionBy(*keys, "_island", time, "_may").orderBy(*(ties or [time]))
-        rows = rows.withColumn("_fold", F.col("_long") & F.col("_may") & (F.row_number().over(moment) == 1))
-        rows = written(scan.add(rows, {"_rank": ("sum", F.col("_fold").cast("bigint"))}, True, ["_island"]).drop("_before", "_long", "_may"))
-        plain = rows.where(~F.col("_fold")).withColumn(out, F.col("_opens"))
-        dense = rows.where("_fold")
-        if dense.isEmpty():
-            return plain.drop(*work)
-        # later is smaller: the first row with -at below -(at + span) + 1
-        dense = dense.withColumns({"_k": F.struct(*keys, "_island"), "_value": -F.col("_at"), "_bound": 1 - F.col("_at") - span})
-        # an island that no row opens goes on from the pick before it
-        began = dense.groupBy("_k").agg(F.max("_opens").alias("o"), F.max("_began").alias("b")).where("not o")
-        roots = began.select("_k", F.lit(0).cast("long").alias("_rank"), (1 - F.col("b") - span).alias("_bound"))
-        return plain.unionByName(chosen(dense, [("_value", "_bound")], F.col("_opens"), roots, out).drop("_k", "_value", "_bound")).drop(*work)
-
-    return HistoryScan(keys, time, ties, hot_min_rows).apply(df, build)
+        values = {"_next": ("last", F.col("_value")), "_open": ("sum", (1 - 2 * F.col("_asks")).cast("bigint"))}
+        return scan.add(rows, values, include_current=True).select(F.struct(*keys).alias("_k"), F.col("_at").alias("_rank"), "_asks", "_next", "_open")
+
+    scanned = written(HistoryScan(keys, "_back", ["_asks"], hot_min_rows).apply(both, build))
+    picks = on_chain(scanned.where("_asks = 1"), scanned.where("_asks = 0 and _open = 0"))
+    found = picks.select("_k.*", F.col("_rank").alias("_at"), F.lit(True).alias("_on"))
+    # a row without a time passes if nothing was let through before
+    marked = written(join_groups(rows, found, [*keys, "_at"]).withColumn("_on", F.when(F.col("_at").isNull(), F.col("_may")).otherwise(F.col("_may") & F.col("_on").isNotNull())))
+    timed = F.col("_on") & F.col("_at").isNotNull()
+    first = F.row_number().over(Window.partitionBy(*keys, "_at").orderBy(*(ties or [time]))) == 1
+    plain = marked.where(~F.coalesce(timed, F.lit(False))).withColumn(out, F.col("_on"))
+    return plain.unionByName(marked.where(timed).withColumn(out, first)).drop("_at", "_may", "_on")

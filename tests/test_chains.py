@@ -1,3 +1,4 @@
+import bisect
 import random
 from datetime import datetime, timedelta
 from decimal import Decimal as D
@@ -63,6 +64,37 @@ def test_no_python_in_the_plans(spark):
         assert "MapInPandas" not in plan and "InArrow" not in plan and "Python" not in plan
 
 
+def test_jump_tables_shrink_where_chains_flow_together(spark, monkeypatch):
+    """Pointers of a dense cooldown: all tables of jumps together have a few times the rows, not rows times rounds."""
+    n, rnd, sizes = 20_000, random.Random(8), []
+    at = sorted(rnd.sample(range(40 * n), n))
+    target = [bisect.bisect_left(at, t + 1_000) for t in at]
+    df = written(spark.createDataFrame([(("a",), t, at[j] if j < n else None) for t, j in zip(at, target)], "_k struct<k:string>, _rank long, _next long"))
+
+    def counted(table):
+        table = written(table)
+        sizes.append(table.count())
+        return table
+
+    monkeypatch.setattr(chains, "written", counted)
+    start = spark.createDataFrame([(("a",), at[0])], "_k struct<k:string>, _rank long")
+    got = sorted(r["_rank"] for r in chains.on_chain(df, start).collect())
+    want, i = [], 0
+    while i < n:
+        want.append(at[i])
+        i = target[i]
+    assert got == want and sum(sizes) < 5 * n
+
+
+def test_cooldown_of_odd_rows(spark):
+    """Rows at one moment, without a time or a key: of a moment one row passes, without a time all before the first pick."""
+    rows = [("a", T0, 2, True), ("a", T0, 1, True), ("a", T0, 0, False), ("a", None, 3, True), ("a", None, 4, False), (None, T0, 5, True), (None, None, 6, True),
+            ("a", T0 + timedelta(minutes=15), 7, True), ("a", T0 + timedelta(minutes=29), 8, True), ("a", T0 + timedelta(minutes=30), 9, None), ("a", T0, 1, True)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, seq bigint, ok boolean")
+    out = fold.spaced_pick(df, ["k"], "ts", ["seq"], 900, eligible=F.col("ok")).collect()
+    assert len(out) == len(rows) and sorted(r.seq for r in out if r.picked) == [1, 3, 5, 6, 7]
+
+
 def test_long_cooldown_island(spark):
     rows = [("a", T0 + timedelta(minutes=i), i) for i in range(20_000)] + [(None, T0 + timedelta(minutes=40 * i), i) for i in range(300)]
     df = spark.createDataFrame(rows, "k string, ts timestamp, seq bigint")
