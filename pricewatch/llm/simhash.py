@@ -35,6 +35,10 @@ BUCKET = 16
 #: Fingerprints that ball_keys() takes: 64 bits, two segments each.
 PRINTS = 4
 SEED = 42
+#: Longs of a sketch: 64 cells each.
+SKETCH = 64
+#: Sets of a key up to which they are compared in pairs.
+PAIRED = 64
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -151,26 +155,70 @@ def _least_shared(n: int, percent: int) -> int:
 
 def prefixes(texts: DataFrame, percent: int, bitmap=None) -> DataFrame:
     """key, id, n: of the shingle set of each text (id, text) the first n - _least_shared() + 1 of its n hashes in an order common to all
-    sets: those in the bit map last. Two sets of this similarity have one of these keys in common, whatever the order."""
+    sets: those in the bit map last. Two sets of this similarity have one of these keys in common, whatever the order. With a bit map, the
+    first row of a text also has `bits`: the cells of SKETCH longs that its hashes fall into."""
     shared = None if bitmap is None else texts.sparkSession.sparkContext.broadcast(bitmap)
+    names = ["key", "id", "n"] if bitmap is None else ["key", "id", "n", "bits"]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 512):
-                keys, ids, sizes = [np.zeros(0, dtype=np.int64)], [], []
+                keys, ids, sizes, bits = [np.zeros(0, dtype=np.int64)], [], [], []
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     x = shingle_set(text).view(np.int64)
-                    if len(x) and shared is not None:
+                    if not len(x):
+                        continue
+                    if shared is not None:
+                        bits += [sketch(x), *[None] * (len(x) - _least_shared(len(x), percent))]
                         x = x[np.argsort(in_filter(shared.value, mix(x.view(np.uint64), 7)), kind="stable")]
-                    keys.append(x[:len(x) - _least_shared(len(x), percent) + 1] if len(x) else x)
+                    keys.append(x[:len(x) - _least_shared(len(x), percent) + 1])
                     ids.append(i)
                     sizes.append(len(x))
                 times = [len(k) for k in keys[1:]]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(ids, dtype=np.int64), times)),
-                    pa.array(np.repeat(np.array(sizes, dtype=np.int64), times))], names=["key", "id", "n"])
+                columns = [pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(ids, dtype=np.int64), times)),
+                           pa.array(np.repeat(np.array(sizes, dtype=np.int64), times)), pa.array(bits, type=pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns[:len(names)], names=names)
 
-    return texts.select("id", "text").mapInArrow(run, "key long, id long, n long")
+    return texts.select("id", "text").mapInArrow(run, "key long, id long, n long" + ("" if bitmap is None else ", bits array<long>"))
+
+
+def sketch(x: np.ndarray) -> np.ndarray:
+    """The cells of 64 * SKETCH that hold an element of a set of hashes, as bits."""
+    cells = np.zeros(64 * SKETCH, dtype=np.uint8)
+    cells[(x.view(np.uint64) >> np.uint64(20)) % np.uint64(64 * SKETCH)] = 1
+    return np.packbits(cells, bitorder="little").view("<i8").astype(np.int64)
+
+
+def _bounded(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that can have this similarity: each cell that only one set fills holds an element that the other hasn't."""
+    side = lambda i, n, c: sketches.select(F.col("id").alias(i), F.col("n").alias(n), F.col("bits").alias(c))
+    both = pairs.join(side("a", "na", "p"), "a").join(side("b", "nb", "q"), "b")
+
+    def alone(p: str, q: str) -> Column:
+        return F.aggregate(F.zip_with(p, q, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, c: s + c)
+
+    most = F.least(F.col("na") - alone("p", "q"), F.col("nb") - alone("q", "p"))
+    return both.where(100 * most >= percent * (F.col("na") + F.col("nb") - most)).select("a", "b").distinct()
+
+
+def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, s: shingle sets of the texts with these ids, found by a bit map and so without a shuffle of texts, and of few others."""
+
+    def make():
+        return lambda rows: [pa.array([shingle_set(t).view(np.int64) for t in rows], type=pa.list_(pa.int64()))]
+
+    return stored(map_texts(_listed(texts, "id", repeated_filter(_mixed(ids))), ["id"], "text", [("s", "array<long>")], make), "sets")
+
+
+def _listed(rows: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
+    """The rows whose value of a column is in the bit map."""
+    shared, at = rows.sparkSession.sparkContext.broadcast(bitmap), rows.columns.index(column)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_filter(shared.value, mix(batch.column(at).to_numpy().view(np.uint64), 7))))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def similar_links(texts: DataFrame, percent: int, bucket: int = BUCKET) -> DataFrame:
@@ -178,18 +226,34 @@ def similar_links(texts: DataFrame, percent: int, bucket: int = BUCKET) -> DataF
     similarity of percent / 100 or more; each one verified on the full sets.
 
     Pairs meet under a key of their prefixes. Keys of more than `bucket` sets go to the end of the order, which keeps lines that many
-    texts have out of the prefixes. Under each key all are compared with one of them; what is open then is compared in blocks
-    (blocks.py). `texts` is a stored table; sets are made again from it, and stored for the texts that meet another one only.
+    texts have out of the prefixes. Under each key all are compared with one of them; then all of different components under keys
+    of at most PAIRED sets, and those under larger keys in blocks (blocks.py). Pairs that a bound from their sketches rules out
+    are not verified. Sets are made again from the texts, and stored for those that are verified only.
     """
     often = prefixes(texts, percent).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("key")
-    met = met_under_keys(prefixes(texts, percent, repeated_filter(_mixed(often))))
-
-    def make():
-        return lambda rows: [pa.array([shingle_set(t).view(np.int64) for t in rows], type=pa.list_(pa.int64()))]
-
-    wanted = stored(met.select("id").distinct(), "wanted")
-    sets = stored(map_texts(texts.join(wanted, "id", "left_semi"), ["id"], "text", [("s", "array<long>")], make), "sets")
-    return open_links(met, stored(verified(stars(met, percent), sets, percent), "links"), sets, percent)
+    entries = stored(prefixes(texts, percent, repeated_filter(_mixed(often))), "entries")
+    again = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    met = met_under_keys(_listed(entries.select("key", "id", "n"), "key", repeated_filter(_mixed(again))))
+    sketches = entries.where("bits is not null").select("id", "n", "bits")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        able = stored(_bounded(pairs, sketches, percent), "able")
+        return stored(verified(able, _sets_of(texts, able.select(F.explode(F.array("a", "b")).alias("id")).distinct()), percent).distinct(), "links")
+
+    found = links_of(stars(met, percent))
+    size = stored(met.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 2"), "sizes")
+    few, many = size.where(F.col("k") <= PAIRED).select("key"), size.where(F.col("k") > PAIRED).select("key")
+    roots = connected_components(found)
+    side = stored(met.join(few, "key", "left_semi").where("id <> x").join(roots, met["id"] == roots["node"], "left")
+                  .select("key", "id", "n", F.coalesce("root", "id").alias("root")), "few")
+    other = side.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("root").alias("t"))
+    pairs = (side.join(other, "key").where(F.col("id") < F.col("b")).where("root <> t")
+             .where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(F.col("id").alias("a"), "b").distinct())
+    found = found.union(links_of(stored(pairs, "paired")))
+    if many.isEmpty():
+        return found
+    crowded = stored(met.join(many, "key", "left_semi"), "crowded")
+    return open_links(crowded, found, _sets_of(texts, crowded.select("id").distinct()), percent)
 
 
 def _mixed(keys: DataFrame) -> DataFrame:
@@ -201,12 +265,16 @@ def _mixed(keys: DataFrame) -> DataFrame:
 
 
 def _first_texts(plain: DataFrame, prints: DataFrame, classes: DataFrame) -> DataFrame:
-    """id, text of the first document of each class."""
-    lead = classes.select("id", F.col("first.d").alias("__d"), F.col("first.r").alias("__r"))
-    found = plain.join(lead, (plain["__raw"] == lead["__r"]) & plain["__id"].eqNullSafe(lead["__d"]))
-    texts = found.select("id", F.coalesce(F.col("__text").cast("string"), F.lit("")).alias("text"))
+    """id, text of the first document of each class, and of few others: their ids are in a bit map, so that texts are not shuffled."""
+    named = plain.select(_row_id().alias("id"), F.coalesce(F.col("__text").cast("string"), F.lit("")).alias("text"))
+    texts = _listed(named, "id", repeated_filter(_mixed(classes.select("id"))))
     repeated = prints.groupBy("__id", "__raw").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return stored(texts if repeated.isEmpty() else texts.dropDuplicates(["id"]), "texts")
+    return texts if repeated.isEmpty() else stored(texts.dropDuplicates(["id"]), "texts")
+
+
+def _row_id() -> Column:
+    """A 64-bit hash of a document's id and text hash, by which its row is known without a join."""
+    return F.xxhash64("__id", "__raw")
 
 
 def dedup(docs: DataFrame, similarity: float | None = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,10 +294,10 @@ def dedup(docs: DataFrame, similarity: float | None = 0.8, radius: int = 2, id_c
         return work
 
     prints = stored(map_texts(plain, ["__id", "__raw"], "__text", [("fp", "long"), ("h", "long")], make)
-                    .withColumn("row", F.monotonically_increasing_id()), "prints")
+                    .withColumn("row", _row_id()), "prints")
     first = F.min(F.struct(F.col("__id").isNull().alias("z"), F.col("__id").alias("d"), F.col("__raw").alias("r")))
     # equal texts but for white space and case are one class
-    classes = stored(prints.groupBy("fp", "h").agg(first.alias("first"), F.min("row").alias("id")).drop("h"), "classes")
+    classes = stored(prints.groupBy("fp", "h").agg(first.alias("first"), F.min_by("row", F.struct(F.col("__id").isNull(), "__id", "__raw")).alias("id")).drop("h"), "classes")
     heads = stored(classes.groupBy("fp").agg(F.min("id").alias("head")), "heads")
     near = links(heads.select("fp"), radius)
     near = (near.join(heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src")

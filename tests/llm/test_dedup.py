@@ -205,3 +205,18 @@ def test_similar_links_are_those_of_brute_force(spark):
         assert [found.get(i, i) for i in range(len(docs))] == want
     kept = simhash.dedup(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
+
+
+def test_keys_of_few_texts_need_no_blocks(spark, monkeypatch):
+    """Three texts under one key, the second and third of which are alike, are compared in pairs; what a sketch rules out is not alike."""
+    rng = random.Random(5)
+    docs = []
+    for _ in range(12):
+        line = prose(rng, 12)
+        base = prose(rng, 90).split()
+        near = [*base[:-1], "changed"]
+        docs += [f"{prose(rng, 80)} {line}", f"{line} {' '.join(base)}", f"{line} {' '.join(near)}"]
+    df = spark.createDataFrame(list(enumerate(docs)), "id long, text string")
+    monkeypatch.setattr(simhash, "open_links", lambda *a: pytest.fail("blocks for keys of three texts"))
+    links = {tuple(sorted((r.src, r.dst))) for r in simhash.similar_links(df, 80).collect()}
+    assert links == {(i + 1, i + 2) for i in range(0, 36, 3)}
