@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricewatch.llm.bitmap import in_filter, repeated_filter
+from pricewatch.llm.bitmap import in_filter, listed, repeated_filter
 from pricewatch.llm.blocks import met_under_keys, open_links, stars, verified
 from pricewatch.llm.components import connected_components
 from pricewatch.llm.shared import map_texts, mix, slices, stored, words_of
@@ -212,13 +212,7 @@ def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _listed(rows: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
     """The rows whose value of a column is in the bit map."""
-    shared, at = rows.sparkSession.sparkContext.broadcast(bitmap), rows.columns.index(column)
-
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(in_filter(shared.value, mix(batch.column(at).to_numpy().view(np.uint64), 7))))
-
-    return rows.mapInArrow(run, rows.schema)
+    return listed(rows, F.col(column), bitmap, 7)
 
 
 def similar_links(texts: DataFrame, percent: int, bucket: int = BUCKET) -> DataFrame:

@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricewatch.llm.shared import map_texts, stored
+from pricewatch.llm.shared import map_texts, slices, stored, text_column
 
 SAMPLE = 20_000
 #: Lengths of word beginnings that are tried; entries of the lexicon at most, the strongest first.
 PREFIXES, ENTRIES = range(4, 9), 4096
+#: Words whose tags a reader remembers at most.
+KNOWN = 100_000
 TRIM = ".,;:!?\"'()[]{}«»¡¿…"
 CLAUSE_END = ".;:!?"
 
@@ -122,7 +124,7 @@ class Reader:
     def sums(self, text: str) -> list[float]:
         """Weights of the emissions of each kind, summed over all clauses."""
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > KNOWN:
             known.clear()
         words = text.lower().split()
         total = [0.0] * KINDS
@@ -175,9 +177,10 @@ def _counted(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
     def run(batches):
         counts: Counter[str] = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = parts_of(text or "")
-                counts.update(found if shared is None else found & shared.value)
+            for part in slices(batch):
+                for text in part.column(0).to_pylist():
+                    found = parts_of(text or "")
+                    counts.update(found if shared is None else found & shared.value)
         names = list(counts)
         for at in range(0, len(names), 50_000):
             some = names[at:at + 50_000]
@@ -272,7 +275,12 @@ def score(docs: DataFrame, grammar: Grammar, keep: list[str] | None = None, name
 def clean_only(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows that aren't toxic, with all their columns."""
     grammar = train(docs, labels)
-    return score(docs, grammar, docs.columns, "__score").where(F.col("__score") < threshold).select(*docs.columns)
+
+    def make():
+        reader = Reader(grammar)
+        return lambda texts: pa.array([float(reader.score(t)) for t in texts], type=pa.float64())
+
+    return docs.where(text_column(docs["text"], "double", make) < threshold)
 
 
 def crc_mod5(doc_id: int) -> int:

@@ -5,6 +5,7 @@ import re
 import pytest
 import xxhash
 from conftest import prose
+from pyspark.sql import functions as F
 
 from pricewatch.llm import exact_dedup, simhash
 from pricewatch.llm.components import connected_components
@@ -220,3 +221,12 @@ def test_keys_of_few_texts_need_no_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "open_links", lambda *a: pytest.fail("blocks for keys of three texts"))
     links = {tuple(sorted((r.src, r.dst))) for r in simhash.similar_links(df, 80).collect()}
     assert links == {(i + 1, i + 2) for i in range(0, 36, 3)}
+
+
+def test_listed_rows_stay_out_of_python(spark):
+    """Of rows that a bit map chooses, only the key goes to Python."""
+    rows = spark.range(1000).select("id", F.repeat(F.lit("x"), 100).alias("text"))
+    bitmap = simhash.repeated_filter(simhash._mixed(rows.where("id % 50 = 3").select("id")))
+    got = simhash._listed(rows, "id", bitmap)
+    assert sorted(r.id for r in got.collect()) == list(range(3, 1000, 50)) and got.columns == ["id", "text"]
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()

@@ -88,6 +88,20 @@ def test_toxicity_held_out(spark, rng, odd, odd_rows, empty):
     assert toxicity.train(d, nulls).stems == {}
 
 
+def test_toxic_filter_sends_only_the_text_to_python(spark, odd):
+    """Whole rows went to Python and back, each text twice, which took an executor's memory on large tables."""
+    plan = toxicity.clean_only(odd, spark.createDataFrame([], "doc_id long, toxic int"))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+
+
+def test_reader_remembers_a_bounded_number_of_words():
+    reader = toxicity.Reader(toxicity.Grammar())
+    for i in range(30):
+        reader.sums(" ".join(f"w{i * 10_000 + k}" for k in range(10_000)))
+    assert len(reader.known) <= toxicity.KNOWN + 10_000
+    assert reader.sums("you idiot")[toxicity.TARGETED] > 0
+
+
 def test_lm_score(spark, rng, odd, odd_rows, empty):
     docs = [(i, prose(rng, 60) if i % 2 else "zq " * 40 + prose(rng, 5)) for i in range(300)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
