@@ -161,3 +161,21 @@ def test_pairs_in_tiles(spark):
     for tile in (1, 3, 256):
         got = sorted((r.a, r.b) for r in compact_windows._pairs(hits, tile).collect())
         assert got == sorted([(a, b) for a in range(10) for b in range(a + 1, 10)] + [(9, b) for b in range(10, 14)])
+
+
+def test_repeated_windows_make_one_pair_of_texts(spark):
+    """Windows that a text repeats were joined each with each: 50 of them in 20 texts made 475,000 rows."""
+    rows = [(d, d, 7, m, m, m + 50, 0) for d in range(20) for m in range(50)]
+    hits = spark.createDataFrame(rows, "doc_id long, row long, key long, l int, m int, r int, same long")
+    assert compact_windows._pairs(hits).count() == 190
+
+
+def test_windows_of_a_repeated_line_are_few():
+    """Of a line that a text repeats, windows in equal surroundings are kept once."""
+    h = np.tile(np.random.default_rng(3).integers(1, 1 << 62, 12).astype(np.uint64), 60)
+    recurs = np.ones(len(h), dtype=bool)
+    inside, low, high = compact_windows.contexts(h, recurs, 46, 0.8)
+    made = np.array(compact_windows.windows(h, 46), dtype=np.int64)
+    got = compact_windows.named(h, made, h, low, high)
+    assert inside.all() and len(made) > 50 and got.shape[1] <= 12
+    assert 0 in got[2] and set(got[2].tolist()) <= set(made[:, 1].tolist())
