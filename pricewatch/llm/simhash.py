@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pricewatch.llm.bitmap import in_filter, listed, repeated_filter
 from pricewatch.llm.blocks import met_under_keys, open_links, stars, verified
 from pricewatch.llm.components import connected_components
-from pricewatch.llm.shared import map_texts, mix, slices, stored, words_of
+from pricewatch.llm.shared import map_texts, mix, slices, stored, unbroadcast, words_of
 
 #: Fingerprints under one table key beyond which their pairs are found the other way.
 BUCKET = 16
@@ -107,7 +107,7 @@ def links(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
     crowded = stored(table.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("seg", "key"), "crowded")
     sparse = table.join(crowded, ["seg", "key"], "left_anti")
     # both directions: of two fingerprints, one may lie under a crowded key and the other not
-    found = (asked.join(sparse, ["seg", "key"]).where((F.col("a") != F.col("b")) & near)
+    found = (unbroadcast(asked).join(sparse, ["seg", "key"]).where((F.col("a") != F.col("b")) & near)
              .select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")))
     guests = table.join(crowded, ["seg", "key"], "left_semi").select(F.col("b").alias("fp")).distinct()
     half = radius // 2
@@ -118,7 +118,7 @@ def links(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
         hosts = meet.where("far = 0").groupBy("at").agg(F.min("fp").alias("b"))
     else:
         hosts = meet.groupBy("at").agg(F.min("fp").alias("b"))
-    met = (meet.join(hosts, "at").select(F.col("fp").alias("a"), "b").where((F.col("a") != F.col("b")) & near)
+    met = (unbroadcast(meet).join(hosts, "at").select(F.col("fp").alias("a"), "b").where((F.col("a") != F.col("b")) & near)
            .select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")))
     return found.union(met).distinct()
 

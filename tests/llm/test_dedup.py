@@ -113,6 +113,25 @@ def test_links_find_every_component(spark, radius, bucket):
     assert sorted(map(sorted, sets.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_links_broadcast_no_exploded_rows(spark):
+    """Each fingerprint asks for 34 keys and, under crowded keys, meets at 65 points: Spark sizes these rows like the fingerprints they come from."""
+    rows = spark.range(3000).select(F.xxhash64("id").alias("fp"))
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b")) == 10 << 20
+    links = simhash.links(rows)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+
+    def built(lines):
+        """The lines below each broadcast, cut off where the tree goes on beside it."""
+        for i, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                depth = line.index("BroadcastExchange")
+                below = lines[i + 1:]
+                n = next((k for k, x in enumerate(below) if len(x) - len(x.lstrip(" :+-")) <= depth), len(below))
+                yield below[:n]
+
+    assert "Generate" in plan and not any("Generate" in x for below in built(plan.splitlines()) for x in below)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + rng.randint(1, 400)) for _ in range(300)]
