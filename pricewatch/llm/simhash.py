@@ -39,6 +39,8 @@ SEED = 42
 SKETCH = 64
 #: Sets of a key up to which they are compared in pairs.
 PAIRED = 64
+#: Keys of dropped documents up to which they are broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -153,16 +155,26 @@ def _least_shared(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def prefixes(texts: DataFrame, percent: int, bitmap=None) -> DataFrame:
-    """key, id, n: of the shingle set of each text (id, text) the first n - _least_shared() + 1 of its n hashes in an order common to all
+def _chosen(rows: pa.RecordBatch, bitmap: np.ndarray | None) -> pa.RecordBatch:
+    """The rows of a batch (id, text) whose id, mixed, is in the bit map; all of them without one."""
+    if bitmap is None:
+        return rows
+    return rows.filter(pa.array(in_filter(bitmap, mix(rows.column(0).to_numpy().view(np.uint64), 7))))
+
+
+def prefixes(texts: DataFrame, percent: int, bitmap=None, chosen=None) -> DataFrame:
+    """key, id, n: of the shingle set of each text (id, text), or of those with an id in the bit map `chosen`, the first n - _least_shared() + 1 of its n hashes in an order common to all
     sets: those in the bit map last. Two sets of this similarity have one of these keys in common, whatever the order. With a bit map, the
     first row of a text also has `bits`: the cells of SKETCH longs that its hashes fall into."""
-    shared = None if bitmap is None else texts.sparkSession.sparkContext.broadcast(bitmap)
+    context = texts.sparkSession.sparkContext
+    shared = None if bitmap is None else context.broadcast(bitmap)
+    only = None if chosen is None else context.broadcast(chosen)
     names = ["key", "id", "n"] if bitmap is None else ["key", "id", "n", "bits"]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 512):
+                part = _chosen(part, None if only is None else only.value)
                 keys, ids, sizes, bits = [np.zeros(0, dtype=np.int64)], [], [], []
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     x = shingle_set(text).view(np.int64)
@@ -202,12 +214,18 @@ def _bounded(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, s: shingle sets of the texts with these ids, found by a bit map and so without a shuffle of texts, and of few others."""
+    """id, s: shingle sets of the texts with these ids, found by a bit map and so without a shuffle of texts, and of few others. One step in
+    Python chooses and makes them: two would hold two Python processes and the texts between them in each task."""
+    shared = texts.sparkSession.sparkContext.broadcast(repeated_filter(ids, 7))
 
-    def make():
-        return lambda rows: [pa.array([shingle_set(t).view(np.int64) for t in rows], type=pa.list_(pa.int64()))]
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 512):
+                part = _chosen(part, shared.value)
+                sets = [shingle_set(t).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, type=pa.list_(pa.int64()))], names=["id", "s"])
 
-    return stored(map_texts(_listed(texts, "id", repeated_filter(_mixed(ids))), ["id"], "text", [("s", "array<long>")], make), "sets")
+    return stored(texts.select("id", "text").mapInArrow(run, "id long, s array<long>"), "sets")
 
 
 def _listed(rows: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
@@ -215,8 +233,8 @@ def _listed(rows: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
     return listed(rows, F.col(column), bitmap, 7)
 
 
-def similar_links(texts: DataFrame, percent: int, bucket: int = BUCKET) -> DataFrame:
-    """Links (src, dst) among texts (id, text), enough that the components are those of all pairs whose five-word shingles have a Jaccard
+def similar_links(texts: DataFrame, percent: int, bucket: int = BUCKET, chosen: np.ndarray | None = None) -> DataFrame:
+    """Links (src, dst) among texts (id, text), or those with an id in the bit map `chosen`, enough that the components are those of all pairs whose five-word shingles have a Jaccard
     similarity of percent / 100 or more; each one verified on the full sets.
 
     Pairs meet under a key of their prefixes. Keys of more than `bucket` sets go to the end of the order, which keeps lines that many
@@ -224,10 +242,10 @@ def similar_links(texts: DataFrame, percent: int, bucket: int = BUCKET) -> DataF
     of at most PAIRED sets, and those under larger keys in blocks (blocks.py). Pairs that a bound from their sketches rules out
     are not verified. Sets are made again from the texts, and stored for those that are verified only.
     """
-    often = prefixes(texts, percent).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("key")
-    entries = stored(prefixes(texts, percent, repeated_filter(_mixed(often))), "entries")
+    often = prefixes(texts, percent, chosen=chosen).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("key")
+    entries = stored(prefixes(texts, percent, repeated_filter(often, 7), chosen), "entries")
     again = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    met = met_under_keys(_listed(entries.select("key", "id", "n"), "key", repeated_filter(_mixed(again))))
+    met = met_under_keys(_listed(entries.select("key", "id", "n"), "key", repeated_filter(again, 7)))
     sketches = entries.where("bits is not null").select("id", "n", "bits")
 
     def links_of(pairs: DataFrame) -> DataFrame:
@@ -251,6 +269,8 @@ def similar_links(texts: DataFrame, percent: int, bucket: int = BUCKET) -> DataF
 
 
 def _mixed(keys: DataFrame) -> DataFrame:
+    """The keys as _listed() looks them up; repeated_filter(keys, 7) mixes them in its own step."""
+
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column(0).to_numpy().view(np.uint64), 7).view(np.int64))], names=["key"])
@@ -258,12 +278,21 @@ def _mixed(keys: DataFrame) -> DataFrame:
     return keys.mapInArrow(run, "key long")
 
 
-def _first_texts(plain: DataFrame, prints: DataFrame, classes: DataFrame) -> DataFrame:
-    """id, text of the first document of each class, and of few others: their ids are in a bit map, so that texts are not shuffled."""
+def _first_texts(plain: DataFrame, classes: DataFrame, repeated: bool) -> tuple[DataFrame, np.ndarray]:
+    """id, text of the documents, one for each id, and a bit map of the ids of the first of each class, so that texts are not shuffled."""
     named = plain.select(_row_id().alias("id"), F.coalesce(F.col("__text").cast("string"), F.lit("")).alias("text"))
-    texts = _listed(named, "id", repeated_filter(_mixed(classes.select("id"))))
-    repeated = prints.groupBy("__id", "__raw").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return texts if repeated.isEmpty() else stored(texts.dropDuplicates(["id"]), "texts")
+    chosen = repeated_filter(classes.select("id"), 7)
+    return stored(_listed(named, "id", chosen).dropDuplicates(["id"]), "texts") if repeated else named, chosen
+
+
+def _without(docs: DataFrame, key: dict[str, Column], kept: DataFrame, prints: DataFrame, bound: int) -> DataFrame:
+    """The documents whose key is in `kept`. They are most of them as a rule, so that the others are left out: up to `bound` keys, which are
+    broadcast; beyond, the texts are shuffled. A table of keys takes many times the memory of its file, by which Spark would choose."""
+    same = lambda rows, other: [rows[c].eqNullSafe(other[c]) for c in key]
+    named = prints.select(*key).distinct()
+    dropped = stored(named.join(unbroadcast(kept), same(named, kept), "left_anti"), "dropped")
+    keyed = docs.withColumns(key)
+    return keyed.join(F.broadcast(dropped) if dropped.count() <= bound else unbroadcast(dropped), same(keyed, dropped), "left_anti")
 
 
 def _row_id() -> Column:
@@ -290,6 +319,7 @@ def dedup(docs: DataFrame, similarity: float | None = 0.8, radius: int = 2, id_c
     prints = stored(map_texts(plain, ["__id", "__raw"], "__text", [("fp", "long"), ("h", "long")], make)
                     .withColumn("row", _row_id()), "prints")
     first = F.min(F.struct(F.col("__id").isNull().alias("z"), F.col("__id").alias("d"), F.col("__raw").alias("r")))
+    repeated = not prints.groupBy("__id", "__raw").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     # equal texts but for white space and case are one class
     classes = stored(prints.groupBy("fp", "h").agg(first.alias("first"), F.min_by("row", F.struct(F.col("__id").isNull(), "__id", "__raw")).alias("id")).drop("h"), "classes")
     heads = stored(classes.groupBy("fp").agg(F.min("id").alias("head")), "heads")
@@ -299,11 +329,11 @@ def dedup(docs: DataFrame, similarity: float | None = 0.8, radius: int = 2, id_c
     same = classes.select("fp", "id").join(heads, "fp").where("id <> head").select(F.col("id").alias("src"), F.col("head").alias("dst"))
     edges = near.union(same)
     if similarity is not None:
-        edges = edges.union(similar_links(_first_texts(plain, prints, classes), round(100 * similarity)))
+        texts, chosen = _first_texts(plain, classes, repeated)
+        edges = edges.union(similar_links(texts, round(100 * similarity), chosen=chosen))
     roots = connected_components(edges)
     rooted = classes.join(roots, classes["id"] == roots["node"], "left").select("first", F.coalesce("root", "id").alias("root"))
     kept = stored(rooted.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.d").alias("__id"), F.col("f.r").alias("__raw")), "kept")
     key = {"__id": F.col(id_col), "__raw": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))}
-    keyed = docs.withColumns(key)
-    on = [keyed[c].eqNullSafe(kept[c]) for c in key]
-    return keyed.join(kept, on, "left_semi").dropDuplicates(list(key)).select(*docs.columns)
+    left = _without(docs, key, kept, prints, BROADCAST_ROWS)
+    return (left.dropDuplicates(list(key)) if repeated else left).select(*docs.columns)

@@ -249,3 +249,29 @@ def test_listed_rows_stay_out_of_python(spark):
     got = simhash._listed(rows, "id", bitmap)
     assert sorted(r.id for r in got.collect()) == list(range(3, 1000, 50)) and got.columns == ["id", "text"]
     assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chosen_texts_take_one_python_step(spark):
+    """Texts are chosen by their ids where their sets are made: a task holds one Python process and no texts that wait between two."""
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, prose(rng, 30)) for i in range(200)], "id long, text string")
+    few = docs.where("id % 20 = 3").select("id")
+    made = simhash.prefixes(docs, 80, simhash.repeated_filter(few, 7), chosen=simhash.repeated_filter(few, 7))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("InArrow") == 1 and "ArrowEvalPython" not in plan
+    assert {r.id for r in made.collect()} == set(range(3, 200, 20))
+    want = {r.id: sorted(simhash.shingle_set(r.text).view("int64").tolist()) for r in docs.collect() if r.id % 20 == 3}
+    assert {r.id: sorted(r.s) for r in simhash._sets_of(docs, few).collect()} == want
+
+
+@pytest.mark.parametrize("bound", [0, 100])
+def test_kept_documents_need_no_broadcast(spark, bound):
+    """Documents that stay are those whose keys aren't dropped, ids of null included; the many keys that stay are never broadcast."""
+    docs = spark.createDataFrame([(i if i % 7 else None, f"text {i}") for i in range(60)], "doc_id long, text string")
+    key = {"__id": F.col("doc_id"), "__raw": F.xxhash64("text")}
+    prints = simhash.stored(docs.withColumns(key), "prints")
+    kept = simhash.stored(prints.where("cast(substr(text, 6) as int) % 5 > 0").select(*key), "kept")
+    got = simhash._without(docs, key, kept, prints, bound)
+    assert sorted(r.text for r in got.collect()) == sorted(f"text {i}" for i in range(60) if i % 5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in plan) == (bound > 0) and "kept" not in plan and "LeftAnti" in plan
