@@ -84,8 +84,27 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links (row, column) of a matrix, a spanning forest: what they connect, with fewer links than rows and columns."""
+    rows, columns, new = [], [], [np.ones(n, dtype=bool) for n in linked.shape]
+    for start in np.flatnonzero(linked.any(axis=1)).tolist():
+        if not new[0][start]:
+            continue
+        new[0][start], todo = False, [(0, start)]
+        while todo:
+            side, at = todo.pop()
+            found = np.flatnonzero((linked[:, at] if side else linked[at]) & new[1 - side])
+            new[1 - side][found] = False
+            here = np.full(len(found), at)
+            rows.append(found if side else here)
+            columns.append(here if side else found)
+            todo += [(1 - side, k) for k in found.tolist()]
+    return np.concatenate([np.zeros(0, dtype=np.int64), *rows]), np.concatenate([np.zeros(0, dtype=np.int64), *columns])
+
+
 def _block_links(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """src, dst: links between members of different components, from each pair of tiles."""
+    """src, dst: links between members of different components, from each pair of tiles: no more than its members, and enough of them that
+    all are connected that are alike."""
     rows = tiles.join(sets, "id").select("cluster", "left", "right", "tile", "id", "root", "s")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -99,7 +118,7 @@ def _block_links(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             size = np.array([len(s) for s in sets_], dtype=np.int64)
             common = _common([sets_[k] for k in i], [sets_[k] for k in j])
             linked = 100 * common >= percent * (size[i][:, None] + size[j][None, :] - common)
-            x, y = np.nonzero(linked & (roots[i][:, None] != roots[j][None, :]))
+            x, y = _forest(linked & (roots[i][:, None] != roots[j][None, :]))
             src, dst = ids[i[x]], ids[j[y]]
         return pa.table({"src": pa.array(src), "dst": pa.array(dst)})
 

@@ -2,12 +2,13 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from conftest import prose
 from pyspark.sql import functions as F
 
-from pricewatch.llm import exact_dedup, simhash
+from pricewatch.llm import blocks, exact_dedup, simhash
 from pricewatch.llm.components import connected_components
 
 
@@ -275,3 +276,26 @@ def test_kept_documents_need_no_broadcast(spark, bound):
     assert sorted(r.text for r in got.collect()) == sorted(f"text {i}" for i in range(60) if i % 5)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert ("BroadcastHashJoin" in plan) == (bound > 0) and "kept" not in plan and "LeftAnti" in plan
+
+
+def test_a_block_returns_a_forest_of_links(spark):
+    """Members of a block that are all alike are connected by fewer links than members, not by all their pairs; chains stay whole."""
+    rng = np.random.default_rng(4)
+    for shape in ((1, 1), (7, 3), (40, 40), (60, 25)):
+        linked = rng.random(shape) < 1.2 / max(shape)
+        x, y = blocks._forest(linked)
+        assert linked[x, y].all() and len(x) < sum(shape)
+
+        def parts(i, j):
+            of = list(range(sum(shape)))
+            for _ in of:
+                for a, b in zip(i, j):
+                    of[a] = of[shape[0] + b] = min(of[a], of[shape[0] + b])
+            return of
+
+        assert parts(x.tolist(), y.tolist()) == parts(*(k.tolist() for k in np.nonzero(linked)))
+    members = spark.range(50).selectExpr("0L as cluster", "id", "3L as n", "id as root")
+    sets = spark.range(50).selectExpr("id", "array(1L, 2L, 3L) as s")
+    links = [(r.src, r.dst) for r in blocks._block_links(blocks._tiles(members, 80), sets, 80).collect()]
+    found = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "src long, dst long")).collect()}
+    assert len(links) < 100 and [found.get(i, i) for i in range(50)] == [0] * 50
